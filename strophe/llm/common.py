@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -57,6 +58,9 @@ class Tables:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._strophe_path)
             path.getFileSystem(conf).delete(path, True)
+        # shuffle files of finished steps go as soon as their plans are collected
+        gc.collect()
+        jvm.System.gc()
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -79,3 +83,16 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         now = after
     tables.drop(both)
     return now.select("node", F.col("label").alias("component"))
+
+
+def ordered(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``uid, doc_id, text`` with a unique uid in the order of the ids; whether the id is the uid.
+
+    The id itself if it is unique and not null. Otherwise rows are numbered in
+    order of id (nulls first) and text, so of rows that share an id the one
+    with the smaller text counts as the earlier.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text"), True
+    return tables.write(rows.sort(F.col("doc_id").asc_nulls_first(), "text").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")), False

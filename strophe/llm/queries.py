@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.llm import chat, exact, mixing, packing, quality, urls
+from strophe.llm import ann, chat, exact, mixing, neardup, packing, quality, secrets, suffix, urls
 
 #: The rules of ``op7``: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -29,14 +29,30 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=100)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -46,7 +62,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).sort("position", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op4_quality, op7_url_filter, op9_exact_dedup, op10_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_best_fit_packing, op3_nearest_neighbours, op4_quality, op5_near_dedup,
+        op6_suffix_dedup, op7_url_filter, op8_secret_scan, op9_exact_dedup, op10_mix_sources,
+    )
+}
 
 ORACLES = {
     "op1_chat_format": r"""
