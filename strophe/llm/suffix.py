@@ -241,16 +241,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spread(x: np.ndarray, reach: int, pick: np.ufunc) -> np.ndarray:
+    """Least or largest of ``reach`` values from each place on, by doubling."""
+    span = 1
+    while span * 2 <= reach:
+        x = pick(x[:-span], x[span:])
+        span *= 2
+    return pick(x[:len(x) - (reach - span)], x[reach - span:]) if span < reach else x
+
+
+def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int, count: bool = False) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: document, place in it, windows, anchor.
 
-    ``data`` holds the documents one after the other.
+    ``data`` holds the documents one after the other. With ``count`` the
+    last item is how often the anchor stands in the run.
     """
     none = np.empty(0, np.int64)
     ends = np.cumsum(sizes)
     n = len(data) - width + 1
     if n < 1 or not (sizes >= width).any():
-        return none, none, none, none
+        return (none, none, none, none, none) if count else (none, none, none, none)
     w = words_at(data, 16)
     m = len(data) - ANCHOR + 1
     h = w[:m] * np.uint64(0x9E3779B97F4A7C15)
@@ -259,13 +269,8 @@ def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.nda
     h ^= h >> np.uint64(28)
     h += w[16:16 + m] * np.uint64(0x165667B19E3779F9)
     h = mixed(h)
-    reach, span = width - ANCHOR + 1, 1  # least of ``reach`` hashes from each place on
-    while span * 2 <= reach:
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    if span < reach:
-        h = np.minimum(h[:len(h) - (reach - span)], h[reach - span:])
-    least = h[:n]
+    reach = width - ANCHOR + 1
+    least = spread(h, reach, np.minimum)
     # windows that stay inside their document
     inside = np.zeros(len(data) + 1, np.int32)
     fits = sizes >= width
@@ -282,7 +287,16 @@ def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.nda
     # a run ends where the next one starts or where its document's windows end
     doc = np.searchsorted(ends, at, "right")
     stop = np.minimum(np.append(at[1:], n), ends[doc] - width + 1)
-    return doc, at - starts[doc], stop - at, least[at].astype(np.int64)
+    anchor = least[at]
+    if not count:
+        return doc, at - starts[doc], stop - at, anchor.astype(np.int64)
+    # places that are the anchor of some window around them, then those of each run
+    edge = np.zeros(reach - 1, np.uint64)
+    held = np.flatnonzero(spread(np.concatenate((edge, least, edge)), reach, np.maximum) == h)
+    a, b = np.searchsorted(held, at), np.searchsorted(held, stop + reach - 1)
+    run = np.repeat(np.arange(len(at)), b - a)
+    own = h[held[np.arange(len(run)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[run]]] == anchor[run]
+    return doc, at - starts[doc], stop - at, anchor.astype(np.int64), np.bincount(run[own], minlength=len(at))
 
 
 def document_parts(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -303,14 +317,13 @@ def count_anchors(width: int):
         for batch in batches:
             ids = batch.column("uid").to_numpy()
             for at, data, sizes in document_parts(batch):
-                doc, _, n, anchor = anchor_runs(data, sizes, width)
+                doc, _, _, anchor, stands = anchor_runs(data, sizes, width, True)
                 order = np.lexsort((anchor, doc))
                 doc, anchor = doc[order], anchor[order]
-                # a run of more windows than one anchor can serve holds its anchor twice
-                twice = np.append(0, np.cumsum(n[order] > width - ANCHOR + 1))
+                total = np.append(0, np.cumsum(stands[order]))
                 first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]))) if len(doc) else np.empty(0, np.int64)
                 stop = np.append(first[1:], len(doc))
-                times = stop - first + twice[stop] - twice[first]
+                times = total[stop] - total[first]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(ids[at + doc[first]]), pa.array(times.astype(np.int32))], names=["anchor", "uid", "times"])
 
     return run
