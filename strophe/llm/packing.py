@@ -60,7 +60,7 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], price=cost) -> tuple[
     return (best[1], best[2]) if best else ([], [])
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = 8192, id_col: str = "doc_id", text_col: str | None = "text", size_col: str | None = None, keep_order: bool = False) -> DataFrame:
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = 8192, id_col: str = "doc_id", text_col: str | None = "text", size_col: str | None = None, group_col: str | None = None, order_col: str | None = None) -> DataFrame:
     """``bin_id, seq_len, slot, doc_id, piece, start, n_words`` for each piece.
 
     Sizes are words of ``text_col``, or ``size_col`` if given. A document of
@@ -68,14 +68,16 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = 8192, i
     ``start`` and ``n_words``. A document without words (null text too) gives
     one row with null bin, piece 0 and size 0. ``block``: pieces that are
     packed together, which bounds memory. Repeated rows are packed as often as
-    they stand. ``keep_order`` packs the partitions as they come, for input
-    that is range-sorted by training position; otherwise rows are dealt by
-    hash and sorted by id, so that reruns agree.
+    they stand. With ``group_col`` and ``order_col`` (longs, not null) the
+    groups, such as files of range-sorted input, are packed one by one in that
+    order and bins are numbered by group; otherwise rows are dealt by hash and
+    sorted by id. Either way reruns agree.
     """
     size = F.col(size_col) if size_col else F.regexp_count(F.col(text_col), F.lit(WORD))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("n_words"))
-    if not keep_order:
-        rows = rows.repartition(F.xxhash64("doc_id", "n_words")).sortWithinPartitions("doc_id", "n_words")
+    group, order = (F.col(group_col), F.col(order_col)) if group_col else (F.lit(None).cast("long"), F.lit(None).cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("long").alias("n_words"), group.alias("g"), order.alias("o"))
+    rows = rows.repartition("g") if group_col else rows.repartition(F.xxhash64("doc_id", "n_words"))
+    rows = rows.sortWithinPartitions("g", "o", "doc_id", "n_words").select("doc_id", "n_words", "g")
     longest, lengths = max(lengths), tuple(lengths)
     schema = "bin_id long, seq_len int, slot int, doc_id long, piece int, start long, n_words long"
 
@@ -83,7 +85,7 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = 8192, i
         from pyspark import TaskContext
 
         kinds = [("bin_id", pa.int64()), ("seq_len", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_words", pa.int64())]
-        base, opened = TaskContext.get().partitionId() << 40, 0
+        base, opened, group = TaskContext.get().partitionId() << 32, 0, None
         pieces: list[tuple] = []
 
         def frame(out: list[tuple]) -> pa.RecordBatch:
@@ -103,7 +105,11 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, block: int = 8192, i
 
         for batch in batches:
             empty = []
-            for d, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, n, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g is not None and g != group:
+                    if pieces:
+                        yield flush()
+                    base, opened, group = g << 32, 0, g
                 if n <= 0:
                     empty.append((None, None, None, d, 0, 0, 0))
                 for k, at in enumerate(range(0, max(n, 0), longest)):

@@ -165,15 +165,16 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_ratio double")
 
 
-def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0.999) -> float:
-    """The log ratio that parts good from bad among the labelled rows held out.
+def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0.999, margin: float = 8.0) -> float:
+    """The log ratio above which documents count as good.
 
-    The largest cut that keeps ``share_kept`` of the good ones, or, where the
-    bad ones reach higher, still that cut; without labels: no cut.
+    All but ``1 - share_kept`` of the good rows held out from the fit are above
+    it by ``margin``, which is wider than the noise reaches downwards, so good
+    text isn't lost to the noise. Without labels: no cut.
     """
     known = fit_sample(labels, sample).where("test and good")
     got = scored.join(F.broadcast(known), "doc_id").select("log_ratio").orderBy("log_ratio").limit(sample).toPandas()["log_ratio"].to_numpy()
-    return float(got[int(len(got) * (1 - share_kept))]) if len(got) else float("-inf")
+    return float(got[int(len(got) * (1 - share_kept))]) - margin if len(got) else float("-inf")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:

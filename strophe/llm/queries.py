@@ -62,11 +62,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).sort("position", "doc_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_best_fit_packing, op3_nearest_neighbours, op4_quality, op5_near_dedup,
-        op6_suffix_dedup, op7_url_filter, op8_secret_scan, op9_exact_dedup, op10_mix_sources,
+        op6_suffix_dedup, op7_url_filter, op8_secret_scan, op9_exact_dedup, op10_mix_sources, pipeline,
     )
 }
 
