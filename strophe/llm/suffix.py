@@ -9,7 +9,9 @@ strings in them), so the corpus can be dealt into shards by anchor:
 2. documents with such anchors are cut into segments, the runs of windows with
    one anchor. Equal segments are pre-aggregated: the first stays, every window
    of the others is repeated;
-3. the segments that stay go to shards by anchor. Each shard is sorted by
+3. the segments that stay and share their anchor with a different one, or hold
+   it twice, go to shards by anchor. (One that does neither can't hold or meet
+   an equal window.) Each shard is sorted by
    induced sorting (suffixes are classified, leftmost-smaller substrings are
    sorted recursively, and the array is induced in two linear scans), and the
    permuted common prefixes show which windows are equal;
@@ -123,40 +125,66 @@ def induce_by_bucket(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int)
     return sa
 
 
-def induce_by_letter(t: list[int], small: list[bool], lms: list[int], k: int) -> list[int]:
+def induce_by_letter(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The same, suffix by suffix, for alphabets as large as the string."""
     n = len(t)
-    sizes = [0] * (k + 1)
-    for c in t:
-        sizes[c] += 1
-    starts, at = [0] * k, 0
-    for c in range(k):
-        starts[c] = at
-        at += sizes[c]
-    ends = [starts[c] + sizes[c] for c in range(k)]
-    sa, tails = [-1] * n, ends[:]
-    for j in reversed(lms):
-        c = t[j]
-        tails[c] -= 1
-        sa[tails[c]] = j
-    heads = starts[:]
-    c = t[n - 1]
+    ends = np.cumsum(np.bincount(t, minlength=k))
+    heads = (ends - np.bincount(t, minlength=k)).tolist()
+    # a suffix sends the one before it if that is larger (first scan) or smaller (second); -1 sends nothing
+    before = np.arange(-1, n)
+    before[0] = -1
+    kinds = np.append(False, small)
+    larger, smaller = np.where(kinds, -1, before), np.where(kinds, before, -1)
+    larger[0] = -1
+    letters, sends = t.tolist(), np.append(larger[:n], -1).tolist()
+    sa = np.full(n, n, np.int64)
+    count = np.bincount(t[lms], minlength=k)
+    sa[np.repeat(ends - count, count) + np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)] = lms
+    sa = sa.tolist()
+    c = letters[n - 1]
     sa[heads[c]] = n - 1
     heads[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = t[j]
-            sa[heads[c]] = j
-            heads[c] += 1
-    tails = ends[:]
+    for j in sa:
+        p = sends[j]
+        if p >= 0:
+            c = letters[p]
+            h = heads[c]
+            sa[h] = p
+            heads[c] = h + 1
+    tails, sends = (ends - 1).tolist(), np.append(smaller[:n], -1).tolist()
     for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = t[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
-    return sa
+        p = sends[sa[i]]
+        if p >= 0:
+            c = letters[p]
+            h = tails[c]
+            sa[h] = p
+            tails[c] = h - 1
+    return np.array(sa, np.int32)
+
+
+def sort_substrings(t: np.ndarray, lms: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost-smaller substrings in order, and where a new one starts, letter by letter among ties.
+
+    Where one ends and the other goes on, the longer is the smaller: its next
+    letter belongs to a larger-type suffix.
+    """
+    order = np.argsort(t[lms], kind="stable")
+    first = t[lms[order]]
+    new = np.append(True, first[1:] != first[:-1])
+    live, depth = np.arange(len(lms)), 1
+    while len(live):
+        group = np.cumsum(new[live]) - 1
+        live = live[(np.bincount(group)[group] > 1) & (size[lms[order[live]]] >= depth)]
+        at = lms[order[live]]
+        letter = np.where(depth >= size[at], k, t[np.minimum(at + depth, len(t) - 1)])
+        letter[at + depth >= len(t)] = -1
+        group = np.cumsum(new[live]) - 1
+        by = np.argsort(group * (k + 2) + letter + 1, kind="stable")
+        order[live] = order[live][by]
+        letter = letter[by]
+        new[live[1:]] |= (group[1:] == group[:-1]) & (letter[1:] != letter[:-1])
+        depth += 1
+    return order, new
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -166,34 +194,36 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         return np.arange(n, dtype=np.int32)
     small = small_types(t)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if k <= 1024:
-        induce = lambda order: induce_by_bucket(t, small, order[np.argsort(t[order], kind="stable")], k)
-    else:
-        letters, kinds = t.tolist(), small.tolist()
-        induce = lambda order: np.array(induce_by_letter(letters, kinds, order[np.argsort(t[order], kind="stable")].tolist(), k), np.int32)
+    by_bucket = k <= 1024
+    induce = induce_by_bucket if by_bucket else induce_by_letter
+    ordered_lms = lambda order: order[np.argsort(t[order], kind="stable")]
     if len(lms) < 2:
-        return induce(lms)
-    # sort the leftmost-smaller substrings by inducing from unsorted ones, and name them
-    sa = induce(lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
+        return induce(t, small, lms, k)
     size = np.zeros(n, np.int32)
     size[lms[:-1]] = np.diff(lms) + 1
     size[lms[-1]] = n + 2  # ends with the empty suffix, like no other
-    a, b = order[:-1], order[1:]
-    new = np.ones(len(order), bool)
-    alike = np.flatnonzero(size[a] == size[b])
-    if len(alike):
-        span = size[a[alike]]
-        offset = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
-        odd = t[np.repeat(a[alike], span) + offset] != t[np.repeat(b[alike], span) + offset]
-        new[alike + 1] = np.logical_or.reduceat(odd, np.cumsum(span) - span)
+    if by_bucket:
+        # sort the leftmost-smaller substrings by inducing from unsorted ones, then compare neighbours
+        sa = induce(t, small, ordered_lms(lms), k)
+        is_lms = np.zeros(n, bool)
+        is_lms[lms] = True
+        order = sa[is_lms[sa]]
+        a, b = order[:-1], order[1:]
+        new = np.ones(len(order), bool)
+        alike = np.flatnonzero(size[a] == size[b])
+        if len(alike):
+            span = size[a[alike]]
+            offset = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
+            odd = t[np.repeat(a[alike], span) + offset] != t[np.repeat(b[alike], span) + offset]
+            new[alike + 1] = np.logical_or.reduceat(odd, np.cumsum(span) - span)
+    else:
+        by, new = sort_substrings(t, lms, size, k)
+        order = lms[by]
     names = np.zeros(n, np.int64)
     names[order] = np.cumsum(new) - 1
     if not new.all():
         order = lms[suffix_array(names[lms], int(new.sum()))]
-    return induce(order)
+    return induce(t, small, ordered_lms(order), k)
 
 
 def words_at(data: np.ndarray, pad: int) -> np.ndarray:
@@ -329,25 +359,40 @@ def count_anchors(width: int):
     return run
 
 
-def cut_segments(width: int):
+def describe_segments(width: int):
+    """Segments of the wanted anchors: digest of the bytes, place, windows, and whether the anchor stands more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, anchors = batch.column("uid").to_numpy(), batch.column("anchors")
             for at, data, sizes in document_parts(batch):
-                doc, place, n, anchor = anchor_runs(data, sizes, width)
+                doc, place, n, anchor, stands = anchor_runs(data, sizes, width, True)
                 here = anchors.slice(at, len(sizes))
                 wanted = here.flatten().to_numpy()
                 owner = np.repeat(np.arange(len(sizes)), pa.compute.list_value_length(here).to_numpy())
-                pairs = np.stack((np.concatenate((owner, doc)), np.concatenate((wanted, anchor))))
-                order = np.lexsort((pairs[1], pairs[0]))
-                fresh = np.append(True, (pairs[:, order][:, 1:] != pairs[:, order][:, :-1]).any(axis=0))
+                d, x = np.concatenate((owner, doc)), np.concatenate((wanted, anchor))
+                order = np.lexsort((x, d))
+                d, x = d[order], x[order]
                 code = np.empty(len(order), np.int64)
-                code[order] = np.cumsum(fresh)
-                keep = np.flatnonzero(np.isin(code[len(owner):], code[:len(owner)]))
+                code[order] = np.cumsum(np.append(True, (d[1:] != d[:-1]) | (x[1:] != x[:-1]))) if len(order) else 0
+                known = np.zeros(len(order) + 2, bool)
+                known[code[:len(owner)]] = True
+                keep = np.flatnonzero(known[code[len(owner):]])
                 start = (np.cumsum(sizes) - sizes)[doc[keep]] + place[keep]
                 raw = data.tobytes()
-                parts = [raw[a:a + x] for a, x in zip(start.tolist(), (n[keep] + width - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(parts, pa.binary()), pa.array(ids[at + doc[keep]]), pa.array(place[keep])], names=["anchor", "segment", "uid", "place"])
+                sids = [hashlib.md5(raw[a:b]).digest() for a, b in zip(start.tolist(), (start + n[keep] + width - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(sids, pa.binary()), pa.array(ids[at + doc[keep]]), pa.array(place[keep]), pa.array(n[keep]), pa.array(stands[keep] > 1)], names=["anchor", "sid", "uid", "place", "n", "again"])
+
+    return run
+
+
+def cut_segments(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, text, parts in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "parts")), strict=True):
+                raw = text.encode()
+                cut = [raw[x["place"]:x["place"] + x["n"] + width - 1] for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in parts], pa.int64()), pa.array(cut, pa.binary()), pa.array([uid] * len(cut), pa.int64()), pa.array([x["place"] for x in parts], pa.int64())], names=["anchor", "segment", "uid", "place"])
 
     return run
 
@@ -436,13 +481,10 @@ def digests(width: int):
 # --- the operator --------------------------------------------------------------
 
 
-def first_and_later(occ: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, DataFrame]:
-    """Of equal segments: the first one's place, and runs of windows for the others."""
-    groups = occ.groupBy(*keys).agg(F.min(F.struct("uid", "place")).alias("f"), F.count(F.lit(1)).alias("c"))
-    first = groups.select(*keys, "f.uid", "f.place")
-    many = groups.where("c > 1").select(F.md5("segment").alias("sid"), "f")
-    later = occ.select(F.md5("segment").alias("sid"), "uid", "place", (F.length("segment") - (width - 1)).cast("long").alias("n")).join(many, "sid").where(F.struct("uid", "place") > F.col("f"))
-    return first, later.select("uid", "place", "n")
+def later_windows(windows: DataFrame) -> DataFrame:
+    """Of equal windows all but the first, as runs of one: ``uid, place, n``."""
+    many = windows.groupBy("segment").agg(F.min(F.struct("uid", "place")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("segment", "f")
+    return windows.join(many, "segment").where(F.struct("uid", "place") > F.col("f")).select("uid", "place", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED) -> DataFrame:
@@ -456,26 +498,31 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     common = anchors.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1")
     wanted = tables.write(anchors.join(common, "anchor", "left_semi").groupBy("uid").agg(F.collect_list("anchor").alias("anchors")))
     tables.drop(anchors)
-    occ = tables.write(texts.join(wanted, "uid").mapInArrow(cut_segments(width), "anchor long, segment binary, uid long, place long"))
+    occ = tables.write(texts.join(wanted, "uid").mapInArrow(describe_segments(width), "anchor long, sid binary, uid long, place long, n long, again boolean"))
     tables.drop(wanted)
-    first, later = first_and_later(occ, ["anchor", "segment"], width)
-    first, later = tables.write(first), tables.write(later)
-    tables.drop(occ)
+    # equal segments: every window of all but the first is repeated (order as one number, so that sums stay in hash maps)
+    order = F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("place").cast("decimal(11,0)")
+    keyed = occ.withColumn("at", order)
+    groups = tables.write(keyed.groupBy("anchor", "sid").agg(F.min("at").alias("f"), F.count(F.lit(1)).alias("c"), F.max("again").alias("again")))
+    # a segment alone under an anchor that stands once has all its windows different and meets no other
+    mixed_anchors = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("x")).where("k > 1 or x").select("anchor", F.lit(True).alias("open"))
+    tagged = groups.join(mixed_anchors, "anchor", "left").where("c > 1 or open").select("anchor", "sid", "f", "open")
+    joined = tables.write(keyed.join(tagged, ["anchor", "sid"]).select("anchor", "uid", "place", "n", (F.col("at") > F.col("f")).alias("later"), F.coalesce("open", F.lit(False)).alias("open")))
+    tables.drop(occ, groups)
+    later = joined.where("later").select("uid", "place", "n")
+    parts = joined.where("open and not later").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("parts"))
+    first = tables.write(texts.join(parts, "uid").mapInArrow(cut_segments(width), "anchor long, segment binary, uid long, place long"))
     crowds = first.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor")
     total = first.agg(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     calm = first.join(crowds, "anchor", "left_anti").repartition(shards, "anchor").sortWithinPartitions("anchor", "uid", "place")
     found = tables.write(calm.select("anchor", "segment", "uid", "place").mapInArrow(shard_repeats(width, 2 * shard_bytes), "uid long, place long, n long"))
-    parts = [later, found]
+    out = later.union(found)
     if not crowds.isEmpty():
         split = tables.write(first.join(crowds, "anchor", "left_semi").select("segment", "uid", "place").mapInArrow(single_windows(width), "segment binary, uid long, place long"))
-        again = tables.write(first_and_later(split, ["segment"], width)[1])
+        out = out.union(tables.write(later_windows(split)))
         tables.drop(split)
-        parts.append(again)
     tables.drop(first)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
     return out
 
 
