@@ -11,10 +11,12 @@ thousand.
 Buckets of the index are never expanded into pairs. Each bucket's smallest
 member is compared with the others and the links are confirmed on the full
 sets; buckets whose members are then in one component are done. The others
-draw further leaders, and what is still apart is compared on signatures inside
-the bucket, of which only near pairs from different components are confirmed.
-Buckets too large for that are split by the index of a second, independent
-signature.
+draw a further leader, and what is still apart is compared on signatures inside
+the bucket. From there come only the edges of a forest over near signatures,
+whose trees are clusters that may hold more links. In each cluster the
+documents outside its largest component meet all others block by block, on the
+full sets, and again only links that join components come out. Buckets too
+large to compare are split by the index of a second, independent signature.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from strophe.llm.common import Tables, components, ordered, ship
 #: Minima per signature, bits of each, chunks, and the distance above which no pair is confirmed.
 POSITIONS, BITS, CHUNKS, FAR = 65, 16, 13, 32
 #: Members above which a bucket is split by the second signature; further leaders before comparing.
-CROWDED, LEADERS = 8192, 2
+CROWDED, LEADERS = 8192, 1
+#: Documents of a cluster in a block.
+BLOCK = 256
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -211,38 +215,81 @@ def similar(percent: int):
     return run
 
 
-def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs from different components in each bucket; rows come sorted by bucket."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list]:
+    """The columns of each group of rows with equal keys; rows come sorted, groups may span batches."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        edges = np.append(np.flatnonzero(np.append(True, (k[:, 1:] != k[:, :-1]).any(axis=0))), batch.num_rows)
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (now := tuple(k[:, s].tolist())) != key:
+                if held:
+                    yield [pa.chunked_array(x) for x in zip(*held, strict=True)]
+                key, held = now, []
+            held.append([batch.column(c).slice(s, e - s) for c in columns])
+    if held:
+        yield [pa.chunked_array(x) for x in zip(*held, strict=True)]
 
-    def compare(uid: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest over the near pairs from different components in each bucket."""
+    for uid, comp, sig in grouped(batches, ["key"], ["uid", "component", "sig"]):
+        uid, comp, sig = uid.to_numpy(), comp.to_numpy(), stacked(sig)
+        label = np.arange(len(uid))
         for i in range(len(uid) - 1):
-            other = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+            other = np.flatnonzero((comp[i + 1:] != comp[i]) & (label[i + 1:] != label[i])) + i + 1
             near = other[(sig[other] != sig[i]).sum(axis=1) <= FAR]
-            a.append(np.full(len(near), uid[i]))
-            b.append(uid[near])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if len(near):
+                label[np.isin(label, np.append(label[near], label[i]))] = min(label[i], label[near].min())
+        joined = label != np.arange(len(uid))
+        yield pa.RecordBatch.from_arrays([pa.array(uid[label[joined]]), pa.array(uid[joined])], names=["a", "b"])
 
-    key, held = None, []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+def link_blocks(percent: int):
+    """Links that join components, of each block of outliers with a block of their cluster."""
 
-    for batch in batches:
-        keys = batch.column("key").to_numpy()
-        if not len(keys):
-            continue
-        uid, comp, sig = batch.column("uid").to_numpy(), batch.column("component").to_numpy(), stacked(batch.column("sig"))
-        edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if keys[s] != key:
-                yield from flush()
-                key, held = keys[s], []
-            held.append((uid[s:e], comp[s:e], sig[s:e]))
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side, uid, comp, sets in grouped(batches, ["cluster", "i", "j"], ["outlier", "uid", "component", "hashes"]):
+            side, uid, comp = side.to_numpy(), uid.to_numpy(), comp.to_numpy()
+            rows = [np.frombuffer(x, np.uint64) for x in sets.to_pylist()]
+            size = np.array([len(x) for x in rows])
+            _, place, times = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(rows)), size)
+            shared = times[place] > 1
+            number = np.cumsum(times > 1) - 1
+            column, owner = number[place[shared]], owner[shared]
+            outliers, others = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+            common = np.zeros((len(outliers), len(others)), np.float64)
+            width, last = 16384, int(column.max(initial=-1)) + 1
+            for at in range(0, last, width):
+                here = (column >= at) & (column < at + width)
+                m = np.zeros((len(rows), min(width, last - at)), np.float32)
+                m[owner[here], column[here] - at] = 1
+                common += m[outliers] @ m[others].T
+            union = size[outliers][:, None] + size[others][None, :] - common
+            o, x = np.nonzero((100 * common >= percent * union) & (comp[outliers][:, None] != comp[others][None, :]))
+            o, x = outliers[o], others[x]
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = root.get(up, up)
+                    c = up
+                return c
+
+            links = []
+            pairs = np.stack((comp[o], comp[x]), axis=1)
+            _, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (None, [])
+            for k in first:
+                a, b = find(int(comp[o[k]])), find(int(comp[x[k]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    links.append((int(uid[o[k]]), int(uid[x[k]])))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 class Join:
@@ -301,12 +348,26 @@ class Join:
         big = self.tables.write(rest.groupBy("key").count().where(F.col("count") > crowded).select("key"))
         small = rest.join(big, "key", "left_anti") if split else rest
         near = small.join(self.sigs.select("uid", "sig"), "uid").repartition("key").sortWithinPartitions("key", "uid").select("key", "uid", "component", "sig").mapInArrow(apart, "a long, b long")
-        self.confirm(near.distinct())
+        self.link_clusters(near.distinct(), rest.select("uid", "component").distinct())
         if split and not big.isEmpty():
             second = self.tables.write(self.sets.mapInArrow(second_signatures, "uid long, sig binary"))
             inner = rest.join(big, "key", "left_semi").join(second, "uid").select("uid", "sig", F.col("key").alias("outer"))
             self.search(self.members(inner), crowded, False)
 
+    def link_clusters(self, edges: DataFrame, comp: DataFrame) -> None:
+        """Links between the components in each cluster of ``edges``, by blocks of full sets."""
+        clusters = components(edges.toDF("u", "v"), self.tables).toDF("uid", "cluster")
+        rows = self.tables.write(clusters.join(comp, "uid"))
+        each = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+        sizes = each.groupBy("cluster").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("g"))
+        sizes = sizes.select("cluster", F.col("g.component").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("g.c")) / BLOCK).alias("out")).where("out > 0")
+        rows = rows.join(sizes, "cluster").withColumn("h", F.xxhash64("uid"))
+        here, there = F.pmod("h", "all"), F.pmod("h", "out")
+        every = rows.select("cluster", here.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("j"), F.lit(0).alias("outlier"), "uid", "component")
+        out = rows.where("component <> largest").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("i"), there.alias("j"), F.lit(1).alias("outlier"), "uid", "component")
+        blocks = every.union(out).join(self.sets, "uid").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "outlier", "uid", "component", "hashes")
+        self.links.append(self.tables.write(blocks.mapInArrow(link_blocks(self.percent), "a long, b long")))
+
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
