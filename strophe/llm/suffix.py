@@ -26,6 +26,7 @@ combined before its shuffle.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,21 +127,23 @@ def induce_by_bucket(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int)
 
 
 def induce_by_letter(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """The same, suffix by suffix, for alphabets as large as the string."""
+    """The same, suffix by suffix, for alphabets as large as the string.
+
+    Works on compact arrays, which stay in cache where lists of objects don't.
+    """
+    compact = lambda x: array("i", x.astype(np.int32).tobytes())
     n = len(t)
     ends = np.cumsum(np.bincount(t, minlength=k))
-    heads = (ends - np.bincount(t, minlength=k)).tolist()
+    heads = compact(ends - np.bincount(t, minlength=k))
     # a suffix sends the one before it if that is larger (first scan) or smaller (second); -1 sends nothing
     before = np.arange(-1, n)
-    before[0] = -1
     kinds = np.append(False, small)
-    larger, smaller = np.where(kinds, -1, before), np.where(kinds, before, -1)
-    larger[0] = -1
-    letters, sends = t.tolist(), np.append(larger[:n], -1).tolist()
-    sa = np.full(n, n, np.int64)
+    letters, sends = compact(t), compact(np.append(np.where(kinds, -1, before)[:n], -1))
+    sends[0] = -1
+    start = np.full(n, n)
     count = np.bincount(t[lms], minlength=k)
-    sa[np.repeat(ends - count, count) + np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)] = lms
-    sa = sa.tolist()
+    start[np.repeat(ends - count, count) + np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)] = lms
+    sa = compact(start)
     c = letters[n - 1]
     sa[heads[c]] = n - 1
     heads[c] += 1
@@ -151,7 +154,7 @@ def induce_by_letter(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int)
             h = heads[c]
             sa[h] = p
             heads[c] = h + 1
-    tails, sends = (ends - 1).tolist(), np.append(smaller[:n], -1).tolist()
+    tails, sends = compact(ends - 1), compact(np.append(np.where(kinds, before, -1)[:n], -1))
     for i in range(n - 1, -1, -1):
         p = sends[sa[i]]
         if p >= 0:
@@ -159,7 +162,7 @@ def induce_by_letter(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int)
             h = tails[c]
             sa[h] = p
             tails[c] = h - 1
-    return np.array(sa, np.int32)
+    return np.frombuffer(sa, np.int32)
 
 
 def sort_substrings(t: np.ndarray, lms: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
