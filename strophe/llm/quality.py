@@ -94,7 +94,7 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most ``limit`` characters, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy()
     at, held = 0, 0
