@@ -1,0 +1,383 @@
+"""Entity resolution: fingerprints, owners, groups of one song, set-aside rules, aliases.
+
+Everything here is joins and aggregations over songs' word counts; only the
+alignment of similar titles by a greedy order runs in Python, per artist.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strophe.functions.text import match_key
+from strophe.functions.titles import INTERLUDE, MEDLEY, NOT_A_SONG, REMIX, SKIT, is_plain_title, pseudo_artist, squashed, version_clauses
+from strophe.operators.song import word_counts
+
+# --- what a text is ---------------------------------------------------------------
+
+
+def fingerprints(tokens: DataFrame, stop: tuple[str, ...], first: int = 40, k: int = 12, letters: int = 3) -> DataFrame:
+    """``song_id, artist, fp``: the first ``k`` content words among a text's most used, sorted and joined.
+
+    The ``first`` most used are taken (ties by first use), then filtered. Texts
+    without content words have none.
+    """
+    ranked = word_counts(tokens, "song_id", "artist").withColumn("r", F.row_number().over(W.partitionBy("song_id").orderBy(F.desc("uses"), "first"))).where(F.col("r") <= first)
+    left = ranked.where((F.length("word") >= letters) & ~F.col("word").isin(*stop))
+    words = left.groupBy("song_id", "artist").agg(F.array_sort(F.collect_list(F.struct("r", "word"))).alias("x"))
+    return words.select("song_id", "artist", F.array_join(F.array_sort(F.transform(F.slice("x", 1, k), lambda s: s["word"])), "|").alias("fp"))
+
+
+def owner_index(prints: DataFrame, titles: DataFrame) -> DataFrame:
+    """``fp, artist, uploads, title``: how often each artist has a text, with the first title by code point."""
+    return prints.join(titles, ["song_id", "artist"]).groupBy("fp", "artist").agg(F.count(F.lit(1)).alias("uploads"), F.min("title").alias("title"))
+
+
+def best_owner(owners: DataFrame) -> DataFrame:
+    """``fp, artist, uploads, owner, owner_uploads``: for each holder the other artist with most uploads of the text."""
+    top = owners.groupBy("fp").agg(F.max(F.struct("uploads", "artist")).alias("a"))
+    second = owners.join(top, "fp").where(F.col("artist") != F.col("a.artist")).groupBy("fp").agg(F.max(F.struct("uploads", "artist")).alias("b"))
+    both = owners.join(top, "fp").join(second, "fp", "left")
+    other = F.when(F.col("a.artist") == F.col("artist"), F.col("b")).otherwise(F.col("a"))
+    return both.select("fp", "artist", "uploads", other["artist"].alias("owner"), other["uploads"].alias("owner_uploads"))
+
+
+def canonical_dedupe(rows: DataFrame) -> DataFrame:
+    """Of an artist's rows with one title key the longest text stays, under the shortest title.
+
+    ``rows``: ``artist, key, song_id, title, wc``. Ties: smaller id; of equally
+    short titles the later one.
+    """
+    best = F.max(F.struct("wc", (-F.col("song_id")).alias("o")))
+    title = F.min(F.struct(F.length("title").alias("l"), (-F.col("song_id")).alias("o"), "title"))
+    return rows.groupBy("artist", "key").agg(best.alias("b"), title.alias("t"), F.count(F.lit(1)).alias("versions")).select("artist", "key", (-F.col("b.o")).alias("song_id"), F.col("b.wc").alias("wc"), F.col("t.title").alias("title"), "versions")
+
+
+# --- which songs are one ------------------------------------------------------------
+
+
+def containment_pairs(tokens: DataFrame, stop: tuple[str, ...], least: float = 0.85, size: int = 25, top: int = 6, posting: int = 300) -> DataFrame:
+    """``artist, part, whole, shared``: texts of one artist of which one's words are mostly in the other.
+
+    Candidates meet on one of their ``top`` content words (most used, then
+    rarest), in posting lists of 2 to ``posting`` texts, the rule of this
+    operator for words that tell nothing. ``shared`` is the smaller text's
+    share of uses that the larger one has.
+    """
+    words = word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses")
+    sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n")).where(F.col("n") >= size)
+    df = words.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("df"))
+    keyed = words.join(sizes, ["artist", "song_id"]).join(df, ["artist", "word"])
+    leading = keyed.withColumn("r", F.row_number().over(W.partitionBy("artist", "song_id").orderBy(F.desc("uses"), "df", "word"))).where((F.col("r") <= top) & F.col("df").between(2, posting))
+    index = leading.select("artist", "word", "song_id", "n")
+    other = index.select("artist", "word", F.col("song_id").alias("song_b"), F.col("n").alias("n_b"))
+    pairs = index.join(other, ["artist", "word"]).where((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("song_id") < F.col("song_b"))))
+    pairs = pairs.select("artist", F.col("song_id").alias("part"), F.col("song_b").alias("whole"), "n").distinct()
+    a = words.select(F.col("song_id").alias("part"), "word", F.col("uses").alias("u"))
+    b = words.select(F.col("song_id").alias("whole"), "word", F.col("uses").alias("v"))
+    got = pairs.join(a, "part").join(b, ["whole", "word"]).groupBy("artist", "part", "whole", "n").agg(F.sum(F.least("u", "v")).alias("s"))
+    return got.withColumn("shared", F.bround(F.col("s") / F.col("n"), 4)).where(F.col("shared") >= least).select("artist", "part", "whole", "shared")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage cut by a reliable checkpoint in the shared folder (a temporary one where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strophe-"))
+    return df.checkpoint()
+
+
+def label_components(edges: DataFrame) -> DataFrame:
+    """``node, component``: smallest node that ``edges(u, v)`` reach, by rounds of joins with pointer jumps."""
+    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    now = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")))
+    while True:
+        near = both.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
+        step = now.select("node", F.col("label").alias("old")).join(near, "node").select("node", "old", F.least("old", "m").alias("label"))
+        step = cut(step.join(step.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        if step.where(F.col("old") != F.col("label")).isEmpty():
+            return step.select("node", F.col("label").alias("component"))
+        now = step.select("node", "label")
+
+
+def song_groups(rows: DataFrame) -> DataFrame:
+    """``song_id, artist, group_id``: rows of one artist that share a title key or a fingerprint.
+
+    ``rows``: ``song_id, artist, key, fp``. Keys under 3 characters, and keys
+    that are the artist's name, join nothing. A stray row, whose fingerprint
+    mostly lives under another key, joins by fingerprint alone. The group is
+    named by its smallest id. Rows are linked to the first of their key or
+    fingerprint, so edges grow with the rows.
+    """
+    per = rows.groupBy("artist", "fp", "key").agg(F.count(F.lit(1)).alias("n")).where("fp is not null")
+    home = per.groupBy("artist", "fp").agg(F.max(F.struct("n", "key")).alias("h"))
+    marked = rows.join(home, ["artist", "fp"], "left")
+    own = per.select("artist", "fp", "key", F.col("n").alias("own"))
+    marked = marked.join(own, ["artist", "fp", "key"], "left").withColumn("stray", F.coalesce((F.col("h.key") != F.col("key")) & (F.col("h.n") > F.col("own")), F.lit(False)))
+    keyed = marked.where(~F.col("stray") & (F.length("key") >= 3) & (F.col("key") != F.lower("artist")))
+    by_key = keyed.join(keyed.groupBy("artist", "key").agg(F.min("song_id").alias("v")), ["artist", "key"]).select(F.col("song_id").alias("u"), "v")
+    printed = rows.where("fp is not null")
+    by_fp = printed.join(printed.groupBy("artist", "fp").agg(F.min("song_id").alias("v")), ["artist", "fp"]).select(F.col("song_id").alias("u"), "v")
+    comp = label_components(by_key.union(by_fp))
+    return rows.join(comp.withColumnRenamed("node", "song_id"), "song_id", "left").select("song_id", "artist", F.coalesce("component", "song_id").alias("group_id"))
+
+
+def representative(rows: DataFrame) -> DataFrame:
+    """``artist, group_id, song_id``: the row that stands for a group.
+
+    Plain titles if there are any; the most common word count, then timed text,
+    then the count nearest to the median, then the smaller id.
+    """
+    one = W.partitionBy("artist", "group_id")
+    pool = rows.withColumn("plain", is_plain_title(F.col("title")).cast("int")).withColumn("best", F.max("plain").over(one)).where(F.col("plain") == F.col("best"))
+    scored = pool.withColumn("same", F.count(F.lit(1)).over(W.partitionBy("artist", "group_id", "wc"))).withColumn("off", F.abs(F.col("wc") - F.percentile("wc", F.lit(0.5)).over(one)))
+    order = one.orderBy(F.desc("same"), F.desc("has_synced"), "off", "song_id")
+    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("artist", "group_id", "song_id")
+
+
+def best_title(rows: DataFrame) -> DataFrame:
+    """``artist, group_id, title``: the most frequent title that neither shouts nor runs words together, of equals the shortest."""
+    n = rows.groupBy("artist", "group_id", "title").agg(F.count(F.lit(1)).alias("n"))
+    shout = (F.upper("title") == F.col("title")) & (F.length("title") > 3)
+    camel = F.col("title").rlike(r"[a-z][A-Z]")
+    best = F.max(F.struct("n", (~shout).alias("s"), (~camel).alias("c"), (-F.length("title")).alias("l"), "title"))
+    return n.groupBy("artist", "group_id").agg(best.alias("b")).select("artist", "group_id", F.col("b.title").alias("title"))
+
+
+# --- what is set aside ---------------------------------------------------------------
+
+
+def set_aside_reason(title: Column, artist: Column, wc: Column, uploads: Column, owner: Column, owner_uploads: Column, medley: Column | None = None, remix: Column | None = None, talk: Column | None = None, skit: Column | None = None, interlude: Column | None = None) -> Column:
+    """The first rule that sets a song aside; null for songs that stay.
+
+    The last arguments say what most of a group's titles are (see
+    ``title_votes``); by default the one title decides.
+    """
+    low = F.lower(title)
+    own = F.split(squashed(artist), " ")
+    credited = F.exists(version_clauses(title), lambda c: c.rlike(REMIX) & (F.size(F.array_intersect(F.split(squashed(c), " "), own)) > 0))
+    u, c = F.coalesce(uploads, F.lit(0)), F.coalesce(owner_uploads, F.lit(0))
+    named = F.coalesce((F.length(owner) >= 6) & F.contains(low, F.lower(owner)), F.lit(False))
+    elsewhere = ((u <= 2) & (c >= F.greatest(F.lit(5), 5 * u))) | ((u <= 5) & (c >= 10 * u)) | (named & (c >= u))
+    versus = title.rlike(r"(?i)\bvs\.?\s") & (F.size(F.array_intersect(F.split(squashed(title), " "), own)) > 0)
+    pick = lambda given, own_: own_ if given is None else given
+    return (
+        F.when(pick(medley, title.rlike(MEDLEY)), "medley or megamix")
+        .when(pick(remix, credited), "their remix of another artist's song")
+        .when(pick(talk, title.rlike(NOT_A_SONG)), "not a song")
+        .when(pick(skit, title.rlike(SKIT)) | (pick(interlude, title.rlike(INTERLUDE)) & (wc < 100)), "skit or interlude")
+        .when(versus, "mash-up")
+        .when(owner.isNotNull() & ~pseudo_artist(owner) & elsewhere, "belongs to another artist")
+    )
+
+
+def title_votes(rows: DataFrame) -> DataFrame:
+    """``artist, group_id, uploads, medley, talk, skit, interlude``: what more than half of a group's titles are."""
+    most = lambda pattern: 2 * F.count_if(F.col("title").rlike(pattern)) > F.count(F.lit(1))
+    return rows.groupBy("artist", "group_id").agg(F.count(F.lit(1)).alias("uploads"), most(MEDLEY).alias("medley"), most(NOT_A_SONG).alias("talk"), most(SKIT).alias("skit"), most(INTERLUDE).alias("interlude"))
+
+
+def credited_elsewhere(rows: DataFrame, uploads: DataFrame, least: int = 20) -> DataFrame:
+    """``song_id, other``: another artist that a title's brackets credit.
+
+    ``rows``: ``song_id, artist, title``; ``uploads``: ``key, rows``. A credited
+    name is a known artist of at least ``least`` uploads, four characters or
+    more, and neither name is part of the other.
+    """
+    parts = F.regexp_extract_all("title", F.lit(r"(?i)[(\[]\s*(?:by|feat\.?|ft\.?|featuring|with|originally by|cover of)?\s*([^)\]]+)[)\]]"), F.lit(1))
+    names = F.flatten(F.transform(parts, lambda p: F.split(p, r"(?i)\s*(?:,|&|\bfeat\.?|\bft\.?|\band\b)\s*")))
+    keyed = rows.select("song_id", F.explode(names).alias("n"), match_key(F.col("artist")).alias("own")).select("song_id", match_key(F.col("n")).alias("key"), "own")
+    known = keyed.where(F.length("key") >= 4).where(~F.contains(F.col("own"), F.col("key")) & ~F.contains(F.col("key"), F.col("own"))).join(uploads.where(F.col("rows") >= least), "key")
+    return known.groupBy("song_id").agg(F.max(F.struct("rows", "key")).alias("b")).select("song_id", F.col("b.key").alias("other"))
+
+
+def flags(uploads: Column, owner_uploads: Column) -> Column:
+    return F.when(F.coalesce(owner_uploads, F.lit(0)) >= 2 * F.coalesce(uploads, F.lit(0)), F.when(owner_uploads > 0, "more uploads elsewhere"))
+
+
+def medleys(pairs: DataFrame, sizes: DataFrame, bigger: float = 1.4, alike: float = 0.5) -> DataFrame:
+    """``artist, whole, parts``: texts that hold two or more others of their artist that aren't each other.
+
+    ``pairs`` from ``containment_pairs``, with ``sizes(song_id, n)``. A part
+    counts if the whole is ``bigger``; parts contained in one another count
+    once.
+    """
+    sized = pairs.join(sizes.toDF("part", "np"), "part").join(sizes.toDF("whole", "nw"), "whole").where(F.col("nw") >= bigger * F.col("np"))
+    inner = pairs.where(F.col("shared") >= alike).select(F.col("part").alias("p"), F.col("whole").alias("w"))
+    nested = sized.join(sized.select("whole", F.col("part").alias("w")), "whole").join(inner, ["w"]).where(F.col("p") == F.col("part")).select("whole", "part").distinct()
+    own = sized.join(nested, ["whole", "part"], "left_anti")
+    return own.groupBy("artist", "whole").agg(F.count(F.lit(1)).alias("parts")).where("parts >= 2")
+
+
+def apply_reviews(songs: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``songs`` (``artist, title``) after hand reviews (``artist, action, title, value``).
+
+    With ``only`` entries just those stay; ``drop`` removes unless ``keep``
+    holds; ``rename`` gives ``value`` as the title.
+    """
+    acts = reviews.groupBy("artist", "title").agg(F.max(F.when(F.col("action") == "drop", True)).alias("drop"), F.max(F.when(F.col("action") == "keep", True)).alias("keep"), F.max(F.when(F.col("action") == "only", True)).alias("only"), F.max(F.when(F.col("action") == "rename", F.col("value"))).alias("rename"))
+    limited = reviews.where("action = 'only'").select("artist", F.lit(True).alias("limited")).distinct()
+    rows = songs.join(acts, ["artist", "title"], "left").join(limited, "artist", "left")
+    stay = F.when(F.col("keep"), True).when(F.col("limited"), F.coalesce("only", F.lit(False))).otherwise(~F.coalesce("drop", F.lit(False)))
+    return rows.where(stay).withColumn("title", F.coalesce("rename", "title")).select(*songs.columns)
+
+
+def review_misses(songs: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``artist, title, matches``: review entries that don't match exactly one song."""
+    n = songs.groupBy("artist", "title").agg(F.count(F.lit(1)).alias("matches"))
+    return reviews.select("artist", "title").distinct().join(n, ["artist", "title"], "left").select("artist", "title", F.coalesce("matches", F.lit(0)).alias("matches")).where("matches <> 1")
+
+
+# --- which artists are one -------------------------------------------------------------
+
+
+def truncation_stubs(artists: DataFrame, times: int = 10) -> DataFrame:
+    """``name, songs, longer, longer_songs``: names cut off before a non-ASCII character.
+
+    ``artists``: ``name, songs``. A longer name of at least ``times`` as many
+    songs goes on with a character outside ASCII. Longer names offer their
+    prefixes that end there, so the join is on equality.
+    """
+    n = F.length("name")
+    cuts = F.filter(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col("name"), i + 1, F.lit(1)).rlike(r"[^\x00-\x7F]"))
+    prefixes = artists.select(F.col("name").alias("longer"), F.col("songs").alias("longer_songs"), F.explode(F.transform(cuts, lambda i: F.substr(F.col("name"), F.lit(1), i))).alias("name"))
+    return artists.join(prefixes, "name").where(F.col("longer_songs") >= times * F.col("songs")).groupBy("name", "songs").agg(F.max(F.struct("longer_songs", "longer")).alias("x")).select("name", "songs", F.col("x.longer").alias("longer"), F.col("x.longer_songs").alias("longer_songs"))
+
+
+def name_words(name: Column) -> Column:
+    """Sorted words of a name without ``the``."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "), " "), lambda w: (w != "") & (w != "the"))), " ")
+
+
+def alias_overlap(prints: DataFrame, rows: int = 5, share: float = 0.25, by: Column | None = None) -> DataFrame:
+    """``a, b, shared, overlap``: names of the same words whose texts overlap by ``share`` of the smaller set.
+
+    ``prints``: ``artist, fp``. ``by`` groups the names to compare (default: their sorted words).
+    """
+    keyed = prints.select("artist", "fp", (by if by is not None else name_words(F.col("artist"))).alias("k"))
+    sizes = keyed.groupBy("k", "artist").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("fp").alias("n")).where(F.col("rows") >= rows)
+    sets = keyed.join(sizes, ["k", "artist"]).select("k", "artist", "fp", "n").distinct()
+    pairs = sets.toDF("k", "a", "fp", "na").join(sets.toDF("k", "b", "fp", "nb"), ["k", "fp"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.withColumn("overlap", F.bround(F.col("shared") / F.least("na", "nb"), 4)).where(F.col("overlap") >= share).select("a", "b", "shared", "overlap")
+
+
+def close_aliases(aliases: DataFrame, depth: int = 20) -> DataFrame:
+    """``alias, canonical``: chains of ``aliases(alias, canonical)`` followed to their end, cycles cut at ``depth``."""
+    aliases.createOrReplaceTempView("_strophe_aliases")
+    return aliases.sparkSession.sql(f"""
+        with recursive chain(alias, canonical, depth) as (
+          select alias, canonical, 1 from _strophe_aliases
+          union all
+          select c.alias, a.canonical, c.depth + 1 from chain c join _strophe_aliases a on c.canonical = a.alias where c.depth < {depth} and a.canonical <> c.alias)
+        select alias, max_by(canonical, depth) canonical from chain group by alias""")
+
+
+def is_fragment(part: str, whole: str) -> bool:
+    """Whether a name is a piece of another's words, or spelled by them in some order."""
+    a, b = part.lower().split(), whole.lower().split()
+    if not a or len(a) >= len(b) and a != b:
+        return False
+    joined, left = "".join(a), set(b)
+    reach = {0}
+    for i in range(1, len(joined) + 1):
+        if any(joined[j:i] in left for j in reach):
+            reach.add(i)
+    return len(joined) in reach
+
+
+def similar_title_groups(rows: DataFrame, most: int = 500) -> DataFrame:
+    """``artist, song_id, keep_id``: greedy groups of similar titles per artist.
+
+    ``rows``: ``artist, song_id, title, wc, year``. A row joins the first group
+    whose first title is equal, a prefix or suffix, or within a fifth of its
+    length in edits, with word counts within 18 % (or unknown). In each group
+    rows with a year win, then shorter titles, then longer texts. Artists of
+    more than ``most`` songs compare by equal and prefix titles alone. The
+    greedy order is sequential, so each artist runs in one task.
+    """
+    schema = "artist string, song_id long, keep_id long"
+
+    def near(a: str, b: str, limit: int) -> bool:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+            if min(row) > limit:
+                return False
+        return row[-1] <= limit
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("song_id")
+        groups: list[list[int]] = []
+        titles = [" ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) for t in pdf["title"]]
+        wc = pdf["wc"].tolist()
+        for i, t in enumerate(titles):
+            for g in groups:
+                j = g[0]
+                close = not wc[i] or not wc[j] or abs(wc[i] - wc[j]) <= 0.18 * max(wc[i], wc[j])
+                same = t == titles[j] or (t and titles[j] and (t.startswith(titles[j]) or titles[j].startswith(t) or t.endswith(titles[j]) or titles[j].endswith(t)))
+                limit = max(1, max(len(t), len(titles[j])) // 5)
+                if close and (same or (len(pdf) <= most and abs(len(t) - len(titles[j])) <= limit and near(t, titles[j], limit))):
+                    g.append(i)
+                    break
+            else:
+                groups.append([i])
+        ids, years = pdf["song_id"].tolist(), pdf["year"].isna().tolist()
+        keep = {}
+        for g in groups:
+            best = min(g, key=lambda i: (years[i], len(titles[i]), -wc[i], ids[i]))
+            keep.update({i: ids[best] for i in g})
+        return pd.DataFrame({"artist": pdf["artist"], "song_id": ids, "keep_id": [keep[i] for i in range(len(ids))]})
+
+    return rows.select("artist", "song_id", "title", "wc", "year").groupBy("artist").applyInPandas(group, schema)
+
+
+def align_lines(lyrics: DataFrame, timed: DataFrame, window: int = 8, matched: float = 0.6) -> DataFrame:
+    """``song_id, line_no, at``: a time for each line of a text from timed lines of another transcription.
+
+    ``lyrics``: ``song_id, line_no, line``; ``timed``: ``song_id, at, line``.
+    Lines are matched greedily in order within ``window`` events: equal keys,
+    two events that make one line, a long key inside an event (what is left of
+    the event stays for the next line), or a similarity of 0.8. Songs of which
+    less than ``matched`` of the lines match have no rows. Sequential by
+    nature, so each song runs in one task.
+    """
+    import re
+    from difflib import SequenceMatcher
+
+    def key(x: str) -> str:
+        return re.sub(r"[\W_]", "", x.lower())
+
+    def one(pdf_l: pd.DataFrame, pdf_t: pd.DataFrame) -> pd.DataFrame:
+        lines = pdf_l.sort_values("line_no")
+        events = [[a, key(x)] for a, x in pdf_t.sort_values("at", kind="stable")[["at", "line"]].itertuples(index=False) if key(x or "")]
+        times: list[float | None] = []
+        at = 0
+        for text in lines["line"]:
+            k, hit = key(text or ""), None
+            for i in range(at, min(at + window, len(events)) if k else at):
+                t, e = events[i]
+                if e == k:
+                    hit = (t, i + 1)
+                elif i + 1 < len(events) and e + events[i + 1][1] == k:
+                    hit = (t, i + 2)
+                elif len(k) >= 8 and 0 <= e.find(k) <= 5:
+                    events[i][1] = e[e.find(k) + len(k):]
+                    hit = (t, i + (not events[i][1]))
+                elif len(k) >= 8 and abs(len(e) - len(k)) <= 8 and SequenceMatcher(None, e, k).ratio() >= 0.8:
+                    hit = (t, i + 1)
+                if hit:
+                    break
+            times.append(hit[0] if hit else None)
+            at = hit[1] if hit else at
+        found = sum(t is not None for t in times)
+        if not times or found < matched * len(times):
+            return pd.DataFrame({"song_id": [], "line_no": [], "at": []}).astype({"song_id": "int64", "line_no": "int64", "at": "float64"})
+        return pd.DataFrame({"song_id": lines["song_id"].to_numpy(), "line_no": lines["line_no"].to_numpy(), "at": pd.array(times, "Float64")})
+
+    return lyrics.select("song_id", "line_no", "line").groupBy("song_id").cogroup(timed.select("song_id", "at", "line").groupBy("song_id")).applyInPandas(one, "song_id long, line_no long, at double")

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from strophe.plans import artist_queries, corpus_queries, lookup_queries, resolve_queries, song_queries
+
+FAMILIES = (artist_queries, song_queries, corpus_queries, resolve_queries, lookup_queries)
+QUERIES = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
+ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
