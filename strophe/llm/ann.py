@@ -195,8 +195,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, beam:
     Nearness is the largest cosine, ties go to the smaller id; a row with the
     query's own id is no candidate. Vectors that are null, empty, all zero or
     hold null or non-finite components, and rows without id, take no part.
-    Vectors of different lengths are not compared. Rows that share an id are
-    candidates each; as queries their results are merged. Fewer candidates than
+    Vectors of different lengths are not compared. Rows equal in id and
+    vector count once; rows that share an id alone are candidates each, and as
+    queries their results are merged. Fewer candidates than
     ``k``: all of them. Every row is indexed.
     """
     tables = Tables(vectors.sparkSession, "ann")
@@ -205,7 +206,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, beam:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), is_query.alias("is_query")).where("vec_id is not null and vec is not null").where(fine)
     # of equal vectors the k + 1 smallest ids can be among a query's k nearest; the limit applies before the shuffle
     place = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
-    ids = rows.select("vec", "vec_id").withColumn("place", place).where(F.col("place") <= k + 1)
+    ids = rows.select("vec", "vec_id").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     unique = tables.write(ids.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     # shards of about equal size for each length of vectors
     sizes = unique.groupBy(F.size("vec").alias("d")).count().select("d", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
