@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def text_parts(text: pa.Array, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, UTF-8 bytes and byte counts of groups of texts of about ``limit`` bytes, without a copy.
+
+    A group holds at least one text and at most 4,096; null counts as empty.
+    """
+    wide = pa.types.is_large_string(text.type)
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(text):
+        take = max(1, int(np.searchsorted(ends[at + 1:at + 4097] - ends[at], limit, "right")))
+        yield at, raw[ends[at]:ends[at + take]], np.diff(ends[at:at + take + 1])
+        at += take
+
+
 class Tables:
     """Written tables that cut lineage; ``drop`` deletes one that is used up."""
 
@@ -43,6 +63,7 @@ class Tables:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self.clear)  # what results may still read goes when the driver ends
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -54,13 +75,20 @@ class Tables:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._strophe_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.delete(df._strophe_path)
         # shuffle files of finished steps go as soon as their plans are collected
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
+
+    def clear(self) -> None:
+        """Delete all tables of this run, if the session is still up."""
+        if self.spark.sparkContext._jsc is not None:
+            self.delete(self.base)
+
+    def delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -96,3 +124,6 @@ def ordered(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> tupl
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text"), True
     return tables.write(rows.sort(F.col("doc_id").asc_nulls_first(), "text").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")), False
+
+
+ship(__name__)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import Tables, components, ordered, ship
+from strophe.llm.common import Tables, components, ordered, ship, text_parts
 
 #: Minima per signature, bits of each, chunks, and the distance above which no pair is confirmed.
 POSITIONS, BITS, CHUNKS, FAR = 65, 16, 13, 32
@@ -117,18 +117,6 @@ def signatures(h: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def text_parts(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, bytes and byte counts of groups of rows of about ``limit`` bytes."""
-    text = batch.column("text")
-    sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = 0
-    while at < len(sizes):
-        take = max(1, int(np.searchsorted(np.cumsum(sizes[at:at + 4096]), limit, "right")))
-        part = text.slice(at, take).to_pylist()
-        yield at, np.frombuffer(b"".join(x.encode() for x in part if x), np.uint8), sizes[at:at + take]
-        at += take
-
-
 def packed(rows: np.ndarray) -> list[bytes]:
     raw, w = rows.tobytes(), rows.dtype.itemsize * rows.shape[1]
     return [raw[i:i + w] for i in range(0, len(raw), w)]
@@ -137,7 +125,7 @@ def packed(rows: np.ndarray) -> list[bytes]:
 def sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, sizes in text_parts(batch):
+            for at, data, sizes in text_parts(batch.column("text"), 1_000_000):
                 h, count = shingle_sets(data, sizes, k)
                 stop, raw = np.cumsum(count) * 8, h.tobytes()
                 sets = [hashlib.md5(raw[e - 8 * n:e]).digest() if n else None for e, n in zip(stop.tolist(), count.tolist(), strict=True)]
@@ -151,7 +139,7 @@ def sketch(k: int):
 def full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, sizes in text_parts(batch):
+            for at, data, sizes in text_parts(batch.column("text"), 1_000_000):
                 h, count = shingle_sets(data, sizes, k)
                 stop, raw = np.cumsum(count) * 8, h.tobytes()
                 sets = [raw[e - 8 * n:e] for e, n in zip(stop.tolist(), count.tolist(), strict=True)]

@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import Tables, ordered, ship
+from strophe.llm.common import Tables, ordered, ship, text_parts
 
 #: Bytes hashed for an anchor.
 ANCHOR = 24
-#: Bytes of segments per shard, and different segments of one anchor above which it is dealt by window.
-SHARD_BYTES, CROWDED = 3_000_000, 4096
+#: Bytes of segments per shard (what fits a core's cache), shards per task, and different segments of one anchor above which it is dealt by window.
+SHARD_BYTES, SHARDS_PER_TASK, CROWDED = 1_000_000, 3, 4096
 
 
 # --- induced sorting ---------------------------------------------------------
@@ -332,24 +332,11 @@ def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int, count: bool = F
     return doc, at - starts[doc], stop - at, anchor.astype(np.int64), np.bincount(run[own], minlength=len(at))
 
 
-def document_parts(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, bytes and sizes of groups of rows, of about ``limit`` bytes."""
-    text = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = 0
-    while at < len(sizes):
-        total = np.cumsum(sizes[at:at + 4096])
-        take = max(1, int(np.searchsorted(total, limit, "right")))
-        part = text.slice(at, take).to_pylist()
-        yield at, np.frombuffer(b"".join(x.encode() for x in part if x), np.uint8), sizes[at:at + take]
-        at += take
-
-
 def count_anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("uid").to_numpy()
-            for at, data, sizes in document_parts(batch):
+            for at, data, sizes in text_parts(batch.column("text"), 1_000_000):
                 doc, _, _, anchor, stands = anchor_runs(data, sizes, width, True)
                 order = np.lexsort((anchor, doc))
                 doc, anchor = doc[order], anchor[order]
@@ -368,7 +355,7 @@ def describe_segments(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, anchors = batch.column("uid").to_numpy(), batch.column("anchors")
-            for at, data, sizes in document_parts(batch):
+            for at, data, sizes in text_parts(batch.column("text"), 1_000_000):
                 doc, place, n, anchor, stands = anchor_runs(data, sizes, width, True)
                 here = anchors.slice(at, len(sizes))
                 wanted = here.flatten().to_numpy()
@@ -517,9 +504,9 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     first = tables.write(texts.join(parts, "uid").mapInArrow(cut_segments(width), "anchor long, segment binary, uid long, place long"))
     crowds = first.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor")
     total = first.agg(F.sum(F.length("segment"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    calm = first.join(crowds, "anchor", "left_anti").repartition(shards, "anchor").sortWithinPartitions("anchor", "uid", "place")
-    found = tables.write(calm.select("anchor", "segment", "uid", "place").mapInArrow(shard_repeats(width, 2 * shard_bytes), "uid long, place long, n long"))
+    tasks = max(1, -(-total // (shard_bytes * SHARDS_PER_TASK)))
+    calm = first.join(crowds, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor", "uid", "place")
+    found = tables.write(calm.select("anchor", "segment", "uid", "place").mapInArrow(shard_repeats(width, shard_bytes), "uid long, place long, n long"))
     out = later.union(found)
     if not crowds.isEmpty():
         split = tables.write(first.join(crowds, "anchor", "left_semi").select("segment", "uid", "place").mapInArrow(single_windows(width), "segment binary, uid long, place long"))
