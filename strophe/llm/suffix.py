@@ -485,9 +485,10 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     """
     texts = rows.select("uid", "text")
     anchors = tables.write(texts.mapInArrow(count_anchors(width), "anchor long, uid long, times int"))
-    common = anchors.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1")
+    # written, not joined as it is summed, so that AQE can split an anchor of very many rows
+    common = tables.write(anchors.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1").select("anchor"))
     wanted = tables.write(anchors.join(common, "anchor", "left_semi").groupBy("uid").agg(F.collect_list("anchor").alias("anchors")))
-    tables.drop(anchors)
+    tables.drop(anchors, common)
     occ = tables.write(texts.join(wanted, "uid").mapInArrow(describe_segments(width), "anchor long, sid binary, uid long, place long, n long, again boolean"))
     tables.drop(wanted)
     # equal segments: every window of all but the first is repeated (order as one number, so that sums stay in hash maps)
@@ -502,7 +503,7 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     later = joined.where("later").select("uid", "place", "n")
     parts = joined.where("open and not later").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("parts"))
     first = tables.write(texts.join(parts, "uid").mapInArrow(cut_segments(width), "anchor long, segment binary, uid long, place long"))
-    crowds = first.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor")
+    crowds = tables.write(first.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"))
     total = first.agg(F.sum(F.length("segment"))).first()[0] or 0
     tasks = max(1, -(-total // (shard_bytes * SHARDS_PER_TASK)))
     calm = first.join(crowds, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor", "uid", "place")
@@ -512,7 +513,7 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
         split = tables.write(first.join(crowds, "anchor", "left_semi").select("segment", "uid", "place").mapInArrow(single_windows(width), "segment binary, uid long, place long"))
         out = out.union(tables.write(later_windows(split)))
         tables.drop(split)
-    tables.drop(first)
+    tables.drop(first, crowds)
     return out
 
 
