@@ -290,9 +290,10 @@ class Join:
     def members(self, keyed: DataFrame) -> DataFrame:
         """``key, uid, lead`` of the buckets with company; counts are combined before the shuffle."""
         keys = self.tables.write(keyed.mapInArrow(index_keys, "key long, uid long"))
-        shared = keys.groupBy("key").agg(F.min("uid").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "lead")
+        # sums are written before they are joined, so that AQE can split a key of very many rows
+        shared = self.tables.write(keys.groupBy("key").agg(F.min("uid").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "lead"))
         out = self.tables.write(keys.join(shared, "key"))
-        self.tables.drop(keys)
+        self.tables.drop(keys, shared)
         return out
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -316,7 +317,7 @@ class Join:
         """``key, uid, component`` of the buckets whose members are in several components."""
         comp = self.components().toDF("uid", "component")
         rows = members.join(comp, "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
-        several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        several = self.tables.write(rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
         out = self.tables.write(rows.join(several, "key", "left_semi"))
         return None if out.isEmpty() else out
 
@@ -327,7 +328,7 @@ class Join:
         for turn in range(LEADERS):
             if rest is None:
                 return
-            lead = rest.groupBy("key").agg(F.max(F.struct(F.xxhash64("component", F.lit(turn)), "component", "uid")).alias("l")).select("key", F.col("l.component").alias("lc"), F.col("l.uid").alias("lead"))
+            lead = self.tables.write(rest.groupBy("key").agg(F.max(F.struct(F.xxhash64("component", F.lit(turn)), "component", "uid")).alias("l")).select("key", F.col("l.component").alias("lc"), F.col("l.uid").alias("lead")))
             pairs = rest.join(lead, "key").where("component <> lc").select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
             self.confirm(pairs)
             rest = self.open_buckets(rest.select("key", "uid"))
@@ -349,7 +350,7 @@ class Join:
         each = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
         sizes = each.groupBy("cluster").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("g"))
         sizes = sizes.select("cluster", F.col("g.component").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("g.c")) / BLOCK).alias("out")).where("out > 0")
-        rows = rows.join(sizes, "cluster").withColumn("h", F.xxhash64("uid"))
+        rows = rows.join(self.tables.write(sizes), "cluster").withColumn("h", F.xxhash64("uid"))
         here, there = F.pmod("h", "all"), F.pmod("h", "out")
         every = rows.select("cluster", here.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("j"), F.lit(0).alias("outlier"), "uid", "component")
         out = rows.where("component <> largest").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("i"), there.alias("j"), F.lit(1).alias("outlier"), "uid", "component")
