@@ -8,6 +8,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside hands rows to Python in batches of ``rows``, which bounds the memory of long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_parts(text: pa.Array, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, UTF-8 bytes and byte counts of groups of texts of about ``limit`` bytes, without a copy.
 
@@ -68,7 +81,8 @@ class Tables:
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strophe_path = path
         return out

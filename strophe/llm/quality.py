@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import Tables, ship
+from strophe.llm.common import Tables, ship, small_batches
 
 #: Buckets of the hashed n-grams: the first half for words, the second for shapes.
 BUCKETS = 1 << 14
@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int =
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used].astype(np.int64)), pa.array(target[used].astype(np.int64))], names=["bucket", "raw", "target"])
 
-    sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    with small_batches(docs.sparkSession):
+        sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     both = np.full((2, buckets), smooth)
     for r in sums:
         both[:, r.bucket] += r.target, r.raw
