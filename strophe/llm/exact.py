@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm.common import Tables
+
 
 def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
     """``(text_sha256, keep_id, group_size)`` of each text that occurs more than once.
@@ -19,10 +21,16 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are null). Repeated rows count as often as they stand. No rows in: no rows
     out. ``prefix`` is only a filter: survivors are compared in full.
     """
+    tables = Tables(docs.sparkSession, "exact")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    probe = base.select("id", F.octet_length("text").alias("n"), F.xxhash64(F.left("text", F.lit(prefix))).alias("p"))
-    by_length = probe.join(probe.groupBy("n").count().where("count > 1"), "n", "left_semi")
-    by_prefix = by_length.join(by_length.groupBy("n", "p").count().where("count > 1"), ["n", "p"], "left_semi")
+    # the second key holds the first, so each refinement deals its rows anew; counts are written
+    # before they are joined: so AQE can split a length or prefix of very many rows
+    n = F.octet_length("text")
+    probe = base.select("id", n.alias("n"), F.xxhash64(n, F.left("text", F.lit(prefix))).alias("p"))
+    lengths = tables.write(probe.groupBy("n").count().where("count > 1").select("n"))
+    by_length = probe.join(lengths, "n", "left_semi").select("id", "p")
+    prefixes = tables.write(by_length.groupBy("p").count().where("count > 1").select("p"))
+    by_prefix = by_length.join(prefixes, "p", "left_semi")
     alive = by_prefix.select(F.col("id").alias("alive"))
     whole = base.join(alive, F.col("id").eqNullSafe(F.col("alive")), "left_semi")
     return (
@@ -40,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced.
     """
     added = ["text_sha256", "keep_id", "group_size", "kept"]
-    groups = repeated_texts(docs, id_col, text_col, prefix)
+    # written before it is joined, so that AQE can split a text of very many rows
+    groups = Tables(docs.sparkSession, "exact").write(repeated_texts(docs, id_col, text_col, prefix))
     rows = docs.drop(*(c for c in added if c not in (id_col, text_col))).withColumn("text_sha256", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     return (
         rows.join(groups, "text_sha256", "left")
