@@ -32,9 +32,9 @@ def test_fragments_and_namesakes(spark):
 
 
 def test_sheets_and_samples(spark):
-    artists = spark.createDataFrame([("a", 30, 5), ("b", 30, 9), ("c", 2, 1), ("Various Artists", 99, 99)], "artist string, songs long, uploads long")
+    artists = spark.createDataFrame([("moss", 30, 5), ("reed", 30, 9), ("c", 2, 1), ("Various Artists", 99, 99), ("a", 99, 99)], "artist string, songs long, uploads long")
     must = spark.createDataFrame([("c",)], "artist string")
-    assert [r.artist for r in editorial.review_sheet(artists, must).orderBy("place").collect()] == ["c", "b", "a"]
+    assert [r.artist for r in editorial.review_sheet(artists, must).orderBy("place").collect()] == ["c", "reed", "moss"]
     rows = spark.createDataFrame([("a", i, i % 7) for i in range(40)], "artist string, song_id long, wc long")
     r = editorial.sampled_payload(rows, 10).first()
     assert (r.songs, len(r.sampled), r.limited) == (34, 10, False)
