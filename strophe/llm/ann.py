@@ -7,8 +7,10 @@ of "much" is relaxed in the second pass, which keeps long, diverse edges. Every
 query runs a beam search in each shard, and the shards' best are merged.
 
 Equal vectors are pre-aggregated, so a vector that a third of all rows share is
-one node. Searches run on unit vectors in single precision; what they find is
-scored in double precision on the original vectors.
+one node, and so are vectors of one direction in a shard. Distances are lengths
+of differences of unit vectors in double precision, so vectors that differ only
+in late digits are told apart. Where the whole beam lies at the distance of the
+k-th, the shard is searched exactly for that query.
 """
 
 from __future__ import annotations
@@ -27,11 +29,18 @@ from strophe.llm.common import Tables, ship
 SHARD, DEGREE, BUILD_BEAM, BEAM, RELAXED = 16384, 28, 56, 128, 1.2
 #: Nodes inserted together, best nodes expanded together, and entry points besides the medoid.
 BATCH, EXPAND, ENTRIES = 512, 4, 12
+#: Decimals to which the distance of unit vectors is taken: their rounding is some 1e-15.
+DECIMALS = 12
 
 
 def distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distance of unit vectors: of each query to its row of ids (-1: infinite)."""
-    d = 2.0 - 2.0 * np.einsum("mcd,md->mc", x[ids], q)
+    d = np.empty(ids.shape)
+    step = max(1, (1 << 18) // max(1, ids.shape[1] * x.shape[1]))
+    for at in range(0, len(ids), step):
+        apart = x[ids[at:at + step]]
+        apart -= q[at:at + step, None]
+        np.einsum("mcd,mcd->mc", apart, apart, out=d[at:at + step])
     d[ids < 0] = np.inf
     return d
 
@@ -82,8 +91,10 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
     c, d = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
     used = np.isfinite(d).any(axis=0).sum()
     c, d = c[:, :max(1, used)], d[:, :max(1, used)]
-    v = x[c]
-    apart = 2.0 - 2.0 * (v @ v.transpose(0, 2, 1))
+    # seen from the node, as cancellation is then small next to the distances compared
+    v = x[c] - x[of][:, None]
+    near = np.where(np.isfinite(d), d, 0.0)
+    apart = near[:, :, None] + near[:, None] - 2.0 * (v @ v.transpose(0, 2, 1))
     alive, rows = np.isfinite(d), np.arange(len(of))
     out = np.full((len(of), degree), -1, np.int64)
     for k in range(degree):
@@ -140,21 +151,48 @@ def search_shards(k: int, beam: int, degree: int):
 
     def unit(v: np.ndarray) -> np.ndarray:
         v = v / np.abs(v).max(axis=1, keepdims=True)
-        return (v / np.sqrt((v * v).sum(axis=1, keepdims=True))).astype(np.float32)
+        return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+    def index(vectors: list[np.ndarray], ids: list[list[int]]) -> tuple:
+        """Unit vectors of different directions with the ids of each, and their graph.
+
+        Of one direction the k + 1 smallest ids can be among a query's k nearest.
+        """
+        x = unit(np.stack(vectors))
+        _, first, of = np.unique(np.round(x, DECIMALS) + 0.0, axis=0, return_index=True, return_inverse=True)
+        own = [[] for _ in first]
+        for w, i in zip(of.ravel().tolist(), ids, strict=True):
+            own[w] += i
+        x = x[first]
+        return x, [sorted(set(i))[:k + 1] for i in own], *build_graph(x, degree)
+
+    def within(x: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query all nodes that are no farther than the (k+1)-th nearest, float error included."""
+        step = max(1, (1 << 22) // len(x))
+        for at in range(0, len(q), step):
+            s = q[at:at + step] @ x.T
+            least = np.partition(s, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+            yield from (np.flatnonzero(row >= low - 1e-11) for row, low in zip(s, least, strict=True))
 
     def answer(state: tuple, q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        vectors, ids, x, graph, entries = state
-        found, _ = beam_search(x, graph, entries, unit(q), min(max(beam, 2 * k), len(x) + 2 * k))
-        found = found[:, :4 * k + 8]
+        x, ids, graph, entries = state
+        q = unit(q)
+        found, d = beam_search(x, graph, entries, q, min(max(beam, 2 * k), len(x) + 2 * k))
+        d = np.sqrt(d)
+        # a beam that ends at the distance of the k-th may have left out others of that distance
+        tied = np.flatnonzero((found[:, -1] >= 0) & (d[:, -1] - d[:, k] <= 10.0 ** (1 - DECIMALS))) if k < min(len(x), found.shape[1]) else np.empty(0, np.int64)
+        exact = dict(zip(tied.tolist(), within(x, q[tied]), strict=True))
         out = []
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
-        for row, q_id, vec in zip(found, q_ids.tolist(), q, strict=True):
-            near = row[row >= 0]
-            score = (vectors[near] * vec).sum(axis=1) / (norms[near] * np.sqrt((vec * vec).sum()))
-            best = sorted((-s, i) for s, w in zip(score.tolist(), near.tolist(), strict=True) for i in ids[w] if i != q_id)[:k]
-            out += [(q_id, i, -s) for s, i in best]
+        for at, (row, q_id, vec) in enumerate(zip(found, q_ids.tolist(), q, strict=True)):
+            near = exact.get(at, row[row >= 0])
+            far = np.round(np.sqrt(distances(x, vec[None], near[None])[0]), DECIMALS)
+            if len(far) > k:
+                close = far <= np.partition(far, k)[k]
+                near, far = near[close], far[close]
+            best = sorted((f, i) for f, w in zip(far.tolist(), near.tolist(), strict=True) for i in ids[w] if i != q_id)[:k]
+            out += [(q_id, i, f) for f, i in best]
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, vectors, ids, state = None, [], [], None
@@ -175,9 +213,7 @@ def search_shards(k: int, beam: int, degree: int):
                     ids.append(own)
                 elif vectors:
                     if state is None:
-                        all_ = np.stack(vectors)
-                        x = unit(all_)
-                        state = (all_, ids, x, *build_graph(x, degree))
+                        state = index(vectors, ids)
                     q_ids.append(own[0])
                     q.append(vec)
                     if len(q) >= BATCH:
@@ -192,11 +228,12 @@ def search_shards(k: int, beam: int, degree: int):
 def nearest(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, beam: int = BEAM, degree: int = DEGREE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row that meets ``is_query``.
 
-    Nearness is the largest cosine, ties go to the smaller id; a row with the
-    query's own id is no candidate. Vectors that are null, empty, all zero or
+    Nearness is the largest cosine, ties go to the smaller id; cosines are
+    compared by the distance of the unit vectors to ``DECIMALS`` places. A row
+    with the query's own id is no candidate. Vectors that are null, empty, all zero or
     hold null or non-finite components, and rows without id, take no part.
     Vectors of different lengths are not compared. Rows equal in id and
-    vector count once; rows that share an id alone are candidates each, and as
+    direction count once; rows that share an id alone are candidates each, and as
     queries their results are merged. Fewer candidates than
     ``k``: all of them. Every row is indexed.
     """
@@ -214,9 +251,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, beam:
     queries = rows.where("is_query").select("vec_id", "vec").distinct().join(sizes, F.size("vec") == F.col("d"))
     queries = queries.select(F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"), "d", "vec_id", "vec").select(F.concat_ws("-", "d", "s").alias("shard"), F.lit(True).alias("is_query"), F.array("vec_id").alias("ids"), "vec")
     both = nodes.union(queries).repartition("shard").sortWithinPartitions("shard", "is_query", "ids")
-    found = tables.write(both.mapInArrow(search_shards(k, beam, degree), "query_id long, vec_id long, score double"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = tables.write(both.mapInArrow(search_shards(k, beam, degree), "query_id long, vec_id long, distance double"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
 
 
 ship(__name__)
