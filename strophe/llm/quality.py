@@ -169,13 +169,24 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0.999, margin: float = 8.0) -> float:
     """The log ratio above which documents count as good.
 
-    All but ``1 - share_kept`` of the good rows held out from the fit are above
-    it by ``margin``, which is wider than the noise reaches downwards, so good
-    text isn't lost to the noise. Without labels: no cut.
+    Of the rows held out from the fit, good and bad, the fewest are on the wrong
+    side of it (the lowest such cut counts), so wrong labels hardly move it
+    while they are fewer than the bad rows. It is lower by ``margin``, which is
+    wider than the noise reaches downwards, so good text isn't lost to the
+    noise. Without bad rows: all but ``1 - share_kept`` of the good ones are
+    above it. Without good rows: no cut.
     """
-    known = fit_sample(labels, sample).where("test and good")
-    got = scored.join(F.broadcast(known), "doc_id").select("log_ratio").orderBy("log_ratio").limit(sample).toPandas()["log_ratio"].to_numpy()
-    return float(got[int(len(got) * (1 - share_kept))]) - margin if len(got) else float("-inf")
+    known = fit_sample(labels, sample).where("test").select("doc_id", "good")
+    got = scored.join(F.broadcast(known), "doc_id").select("log_ratio", "good").orderBy(F.xxhash64("doc_id"), "log_ratio").limit(sample).toPandas().sort_values("log_ratio")
+    is_good = got["good"].to_numpy(bool)
+    z = got["log_ratio"].to_numpy()
+    good, bad = z[is_good], z[~is_good]
+    if not len(good):
+        return float("-inf")
+    if not len(bad):
+        return float(good[int(len(good) * (1 - share_kept))]) - margin
+    wrong = np.searchsorted(good, z, "left") + len(bad) - np.searchsorted(bad, z, "left")
+    return float(z[np.argmin(wrong)]) - margin
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:

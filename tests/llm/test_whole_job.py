@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.llm import ann
+from strophe.llm import ann, quality
 
 
 @pytest.mark.parametrize("kind", ["jitter 1e-3", "jitter 1e-5", "scaled"])
@@ -27,3 +27,13 @@ def test_neighbours_in_a_hot_group(spark, kind):
         want = np.lexsort((np.arange(1500), far))[:5].tolist()
         hit += len(set(want) & {r.vec_id for r in got if r.query_id == q})
     assert hit / 75 >= 0.97
+
+
+def test_quality_with_wrong_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    wrong = [r.doc_id for r in labels.where("quality = 0").orderBy("doc_id").limit(4).collect()]  # one per cent
+    told = labels.withColumn("quality", F.when(F.col("doc_id").isin(wrong), 1).otherwise(F.col("quality")))
+    got = quality.select(docs, told).join(labels, "doc_id")
+    good, bad = got.where("quality = 1"), got.where("quality = 0")
+    assert good.where("selected").count() >= 0.99 * good.count() and bad.where("not selected").count() >= 0.9 * bad.count()
