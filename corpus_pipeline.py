@@ -23,16 +23,33 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
 
 
+def own_ids(docs: DataFrame) -> bool:
+    """Whether each row has an id of its own."""
+    return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest id stays."""
+    """Of documents with equal texts, the one with the largest id stays; of rows that repeat that id too, one."""
     columns = docs.columns
-    return exact.exact_dedup(docs).where("kept").select(*columns)
+    kept = exact.exact_dedup(docs).where("kept")
+    if own_ids(docs):
+        return kept.select(*columns)
+    one = kept.where("group_size > 1").groupBy("text_sha256").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.where("group_size = 1").select(*columns).union(one)
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest id stays."""
-    kept = neardup.near_dedup(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest id stays.
+
+    Rows that share an id, or have none, get a number in order of id and text.
+    """
+    columns, key = docs.columns, "doc_id"
+    if not own_ids(docs):
+        key = "_row"
+        numbered = docs.sort(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn(key, F.monotonically_increasing_id())
+        docs = Tables(spark, "pipeline").write(numbered)  # the numbers must stay as they are
+    kept = neardup.near_dedup(docs, words=5, percent=80, id_col=key).where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, docs[key] == kept["_id"], "left_semi").select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

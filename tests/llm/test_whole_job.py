@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,3 +38,15 @@ def test_quality_with_wrong_labels(spark):
     got = quality.select(docs, told).join(labels, "doc_id")
     good, bad = got.where("quality = 1"), got.where("quality = 0")
     assert good.where("selected").count() >= 0.99 * good.count() and bad.where("not selected").count() >= 0.9 * bad.count()
+
+
+def test_pipeline_rows_that_share_an_id(spark):
+    prose = " ".join(f"word{i % 97} of the {i * i % 1013} tale" for i in range(400))
+    rows = [(7, prose, "a"), (7, prose, "a"), (7, prose, "b"), (7, prose + " the end", "a"), (7, "other text", "a"), (None, prose + " at last", "a"), (None, "alone", "a"), (8, "alone too", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exact = corpus_pipeline.exact_filter(spark, docs, "").collect()
+    assert sorted(r.text for r in exact) == sorted({t for _, t, _ in rows}) and exact[0].__fields__ == docs.columns
+    near = corpus_pipeline.near_filter(spark, spark.createDataFrame(exact, docs.schema), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in near) == [(0, "alone"), (0, prose + " at last"), (7, "other text"), (8, "alone too")]
+    again = corpus_pipeline.near_filter(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in again) == [(0, "alone"), (0, prose + " at last"), (7, "other text"), (8, "alone too")]
