@@ -31,11 +31,14 @@ def ship(name: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder takes its place.
+    Where it is unset a temporary folder takes its place if the master is local
+    (tests); on a cluster that is an error, as executors couldn't see it.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strophe-"))
         found = sc.getCheckpointDir()
     return found
