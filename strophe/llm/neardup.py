@@ -11,12 +11,14 @@ thousand.
 Buckets of the index are never expanded into pairs. Each bucket's smallest
 member is compared with the others and the links are confirmed on the full
 sets; buckets whose members are then in one component are done. The others
-draw a further leader, and what is still apart is compared on signatures inside
-the bucket. From there come only the edges of a forest over near signatures,
+draw a further leader, and what is still apart is compared on signatures: in
+one task for a bucket of at most ``CROWDED`` members, and for larger ones, and
+all that hang together with them, block by block in many tasks, so the
+guarantee holds for buckets of any size and none is gathered. From there come
+only the edges of a forest over signatures within the guaranteed distance,
 whose trees are clusters that may hold more links. In each cluster the
 documents outside its largest component meet all others block by block, on the
-full sets, and again only links that join components come out. Buckets too
-large to compare are split by the index of a second, independent signature.
+full sets, and again only links that join components come out.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import Tables, components, ordered, ship, text_parts
 
-#: Minima per signature, bits of each, chunks, and the distance above which no pair is confirmed.
+#: Minima per signature, bits of each, chunks, and the distance above which a leader's pair isn't confirmed.
 POSITIONS, BITS, CHUNKS, FAR = 65, 16, 13, 32
-#: Members above which a bucket is split by the second signature; further leaders before comparing.
-CROWDED, LEADERS = 8192, 1
-#: Documents of a cluster in a block.
-BLOCK = 256
+#: The distance within which every pair meets in the index.
+REACH = 2 * CHUNKS - 1
+#: Members above which a bucket is compared block by block; further leaders before comparing.
+CROWDED, LEADERS = 4096, 1
+#: Documents of a block: for full sets, and for signatures.
+BLOCK, SIGNATURE_BLOCK = 256, 2048
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -148,31 +152,22 @@ def full_sets(k: int):
     return run
 
 
-def second_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
-        if sets:
-            sigs = signatures(np.concatenate(sets), np.array([len(x) for x in sets]), 2)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(packed(sigs), pa.binary())], names=["uid", "sig"])
-
-
 def stacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
 def index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk with one position left out, hashed; ``outer`` (a bucket's key) is part of it."""
+    """Each chunk with one position left out, hashed."""
     width = POSITIONS // CHUNKS
     salt = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64))
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
             sig = stacked(batch.column("sig")).astype(np.uint64)
-            outer = batch.column("outer").to_numpy().astype(np.uint64)
             keys = []
             for c in range(CHUNKS):
                 for out in range(width):
-                    key = mixed(outer + salt[c * width + out])
+                    key = np.full(len(sig), salt[c * width + out])
                     for j in range(width):
                         if j != out:
                             key = mixed(key * STEP + sig[:, c * width + j])
@@ -221,16 +216,42 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[st
         yield [pa.chunked_array(x) for x in zip(*held, strict=True)]
 
 
+def forest(near_rows: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """The tree of each of ``n`` nodes, by its smallest node, where row k of ``near_rows`` holds the nodes near node k."""
+    label = np.arange(n)
+    for k, near in enumerate(near_rows):
+        if len(near):
+            trees = np.unique(np.append(label[near], label[k]))
+            if len(trees) > 1:
+                label[np.isin(label, trees)] = trees[0]
+    return label
+
+
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest over the near pairs from different components in each bucket."""
     for uid, comp, sig in grouped(batches, ["key"], ["uid", "component", "sig"]):
         uid, comp, sig = uid.to_numpy(), comp.to_numpy(), stacked(sig)
-        label = np.arange(len(uid))
-        for i in range(len(uid) - 1):
-            other = np.flatnonzero((comp[i + 1:] != comp[i]) & (label[i + 1:] != label[i])) + i + 1
-            near = other[(sig[other] != sig[i]).sum(axis=1) <= FAR]
-            if len(near):
-                label[np.isin(label, np.append(label[near], label[i]))] = min(label[i], label[near].min())
+
+        def near(i: int) -> np.ndarray:
+            other = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+            return other[(sig[other] != sig[i]).sum(axis=1) <= REACH]
+
+        label = forest(map(near, range(len(uid))), len(uid))
+        joined = label != np.arange(len(uid))
+        yield pa.RecordBatch.from_arrays([pa.array(uid[label[joined]]), pa.array(uid[joined])], names=["a", "b"])
+
+
+def near_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest over the near pairs from different components, of each block of outliers with a block of their cluster."""
+    for side, uid, comp, sig in grouped(batches, ["cluster", "i", "j"], ["outlier", "uid", "component", "sig"]):
+        order = np.argsort(-side.to_numpy(), kind="stable")  # outliers first
+        uid, comp, sig = uid.to_numpy()[order], comp.to_numpy()[order], stacked(sig)[order]
+        m = int(side.to_numpy().sum())
+        same = np.zeros((m, len(uid) - m), np.uint8)
+        for p in range(POSITIONS):
+            same += sig[:m, p, None] == sig[None, m:, p]
+        near = (same >= POSITIONS - REACH) & (comp[:m, None] != comp[None, m:])
+        label = forest((np.flatnonzero(row) + m for row in near), len(uid))
         joined = label != np.arange(len(uid))
         yield pa.RecordBatch.from_arrays([pa.array(uid[label[joined]]), pa.array(uid[joined])], names=["a", "b"])
 
@@ -321,7 +342,7 @@ class Join:
         out = self.tables.write(rows.join(several, "key", "left_semi"))
         return None if out.isEmpty() else out
 
-    def search(self, members: DataFrame, crowded: int, split: bool) -> None:
+    def search(self, members: DataFrame, crowded: int) -> None:
         """All links between members of a bucket, up to what their components imply."""
         self.confirm(members.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct())
         rest = self.open_buckets(members)
@@ -334,28 +355,32 @@ class Join:
             rest = self.open_buckets(rest.select("key", "uid"))
         if rest is None:
             return
-        big = self.tables.write(rest.groupBy("key").count().where(F.col("count") > crowded).select("key"))
-        small = rest.join(big, "key", "left_anti") if split else rest
+        big = self.tables.write(rest.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("lead")).where(F.col("c") > crowded).select("key", "lead"))
+        small = rest.join(big, "key", "left_anti")
         near = small.join(self.sigs.select("uid", "sig"), "uid").repartition("key").sortWithinPartitions("key", "uid").select("key", "uid", "component", "sig").mapInArrow(apart, "a long, b long")
-        self.link_clusters(near.distinct(), rest.select("uid", "component").distinct())
-        if split and not big.isEmpty():
-            second = self.tables.write(self.sets.mapInArrow(second_signatures, "uid long, sig binary"))
-            inner = rest.join(big, "key", "left_semi").join(second, "uid").select("uid", "sig", F.col("key").alias("outer"))
-            self.search(self.members(inner), crowded, False)
-
-    def link_clusters(self, edges: DataFrame, comp: DataFrame) -> None:
-        """Links between the components in each cluster of ``edges``, by blocks of full sets."""
-        clusters = components(edges.toDF("u", "v"), self.tables).toDF("uid", "cluster")
-        rows = self.tables.write(clusters.join(comp, "uid"))
+        comp = rest.select("uid", "component").distinct()
+        if not big.isEmpty():
+            # crowded buckets share most members: what hangs together is compared once
+            together = components(rest.join(big, "key").select(F.col("lead").alias("u"), F.col("uid").alias("v")).distinct(), self.tables).toDF("uid", "cluster")
+            near = near.union(self.blocks(together.join(comp, "uid"), self.sigs.select("uid", "sig"), "sig", SIGNATURE_BLOCK).mapInArrow(near_blocks, "a long, b long"))
+        near = self.tables.write(near.distinct())
+        clusters = components(near.toDF("u", "v"), self.tables).toDF("uid", "cluster")
+        self.links.append(self.tables.write(self.blocks(clusters.join(comp, "uid"), self.sets, "hashes", BLOCK).mapInArrow(link_blocks(self.percent), "a long, b long")))
+
+    def blocks(self, rows: DataFrame, data: DataFrame, column: str, size: int) -> DataFrame:
+        """Blocks ``i`` of each cluster in ``rows(uid, component, cluster)`` beside blocks ``j`` of its outliers, the rows outside its largest component.
+
+        Rows come with ``data(uid, column)``, those of a pair of blocks together.
+        """
+        rows = self.tables.write(rows.select("uid", "component", "cluster"))
         each = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
         sizes = each.groupBy("cluster").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("g"))
-        sizes = sizes.select("cluster", F.col("g.component").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("g.c")) / BLOCK).alias("out")).where("out > 0")
+        sizes = sizes.select("cluster", F.col("g.component").alias("largest"), F.ceil(F.col("n") / size).alias("all"), F.ceil((F.col("n") - F.col("g.c")) / size).alias("out")).where("out > 0")
         rows = rows.join(self.tables.write(sizes), "cluster").withColumn("h", F.xxhash64("uid"))
         here, there = F.pmod("h", "all"), F.pmod("h", "out")
         every = rows.select("cluster", here.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out") - 1)).alias("j"), F.lit(0).alias("outlier"), "uid", "component")
         out = rows.where("component <> largest").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("i"), there.alias("j"), F.lit(1).alias("outlier"), "uid", "component")
-        blocks = every.union(out).join(self.sets, "uid").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "outlier", "uid", "component", "hashes")
-        self.links.append(self.tables.write(blocks.mapInArrow(link_blocks(self.percent), "a long, b long")))
+        return every.union(out).join(data, "uid").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").select("cluster", "i", "j", "outlier", "uid", "component", column)
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
@@ -377,10 +402,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     first = tables.write(sketches.where("n > 0").groupBy("set_id").agg(F.min("uid").alias("first")))
     sigs = tables.write(sketches.join(first.select(F.col("first").alias("uid")), "uid", "left_semi").select("uid", "n", "sig"))
     join = Join(sigs, tables, percent)
-    members = join.members(sigs.select("uid", "sig", F.lit(0).cast("long").alias("outer")))
+    members = join.members(sigs.select("uid", "sig"))
     candidates = members.select("uid").distinct()
     join.sets = tables.write(rows.select("uid", "text").join(candidates, "uid", "left_semi").mapInArrow(full_sets(words), "uid long, hashes binary"))
-    join.search(members, crowded, True)
+    join.search(members, crowded)
     comp = join.components().toDF("first", "component")
     classes = first.join(comp, "first", "left").select("set_id", F.coalesce("component", "first").alias("component"))
     out = sketches.select("uid", "n", "set_id").join(classes, "set_id", "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("component"))

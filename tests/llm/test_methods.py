@@ -6,8 +6,10 @@ import random
 from urllib.parse import urljoin, urlsplit
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from strophe.llm import exact, urls
+from strophe.llm import exact, packing, urls
 
 
 def plain_node(url: str | None) -> str:
@@ -79,3 +81,69 @@ def test_exact_dedup_shuffles_no_text(spark):
     got = exact.exact_dedup(df).collect()
     assert {(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id % 3} == {(299, 200, False), (299, 200, True)}
     assert all(r.keep_id == r.doc_id and r.group_size == 1 for r in got if r.doc_id % 3 == 0)
+
+
+def least_cost(sizes: list[int], lengths: tuple[int, ...], price) -> float:
+    """Of all ways to deal the sizes to bins."""
+    best = [float("inf")]
+
+    def deal(i: int, bins: list[int]) -> None:
+        if i == len(sizes):
+            best[0] = min(best[0], sum(min(price(x) for x in lengths if x >= b) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= max(lengths):
+                bins[k] += sizes[i]
+                deal(i + 1, bins)
+                bins[k] -= sizes[i]
+        deal(i + 1, [*bins, sizes[i]])
+
+    deal(0, [])
+    return best[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=7), st.sampled_from([lambda x: 3.0 + x, lambda x: x + x * x / 50, lambda x: 10.0 + x**0.5]))
+def test_best_fit_near_the_optimum(sizes, price):
+    lengths = (16, 40, 100)
+    place, sized = packing.best_fit(sizes, lengths, price)
+    held = [sum(s for s, b in zip(sizes, place, strict=True) if b == k) for k in range(len(sized))]
+    assert all(h <= x for h, x in zip(held, sized, strict=True)) and sum(held) == sum(sizes)
+    assert all(price(x) == min(price(y) for y in lengths if y >= h) for h, x in zip(held, sized, strict=True))
+    least = least_cost(sizes, lengths, price)
+    assert least - 1e-9 <= sum(map(price, sized)) <= 1.35 * least
+
+
+def test_best_fit_opens_by_cost():
+    rng = random.Random(6)
+    over = []
+    for _ in range(60):
+        sizes = [rng.randint(1, 60) for _ in range(7)]
+        price = lambda x: 3.0 + x + x * x / 400
+        _, sized = packing.best_fit(sizes, (16, 40, 100), price)
+        over.append(sum(map(price, sized)) / least_cost(sizes, (16, 40, 100), price))
+    assert sum(over) / len(over) < 1.04
+    # long bins that cost no more than short ones are opened, and shrunk only if that is cheaper
+    assert packing.best_fit([10] * 10, (16, 100), lambda x: 1.0)[1] == [16] * 0 + [packing.best_fit([10] * 10, (16, 100), lambda x: 1.0)[1][0]]
+    assert sorted(packing.best_fit([10] * 10, (16, 100), lambda x: float(x) ** 2)[1]) == [16] * 10
+
+
+def test_packing_is_the_same_on_any_number_of_partitions(spark):
+    rows = [(i % 40, None if i % 50 == 0 else "w " * (i * 37 % 300)) for i in range(900)] + [(7, "same " * 30)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(key), []
+    for n in ("3", "11"):
+        spark.conf.set(key, n)
+        seen.append(sorted(map(tuple, packing.pack(df.repartition(int(n)), (64, 128, 256), block=64).collect()), key=str))
+    spark.conf.set(key, before)
+    assert seen[0] == seen[1]
+    got = packing.pack(df, (64, 128, 256), block=64).collect()
+    assert sum(r.n_words for r in got) == sum(len((t or "").split()) for _, t in rows)
+    assert sum(r.doc_id == 7 and r.n_words == 30 for r in got) >= 300
+    bins: dict = {}
+    for r in got:
+        if r.bin_id is not None:
+            bins.setdefault((r.bin_id, r.seq_len), []).append(r.n_words)
+    assert all(sum(v) <= size for (_, size), v in bins.items()) and len({b for b, _ in bins}) == len(bins)
+    assert len({b >> 32 for b, _ in bins}) > 5
