@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +28,38 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+@cache
+def folding() -> tuple[str, str]:
+    """Letters to fold and what they fold to, from Unicode's own tables; marks stand last and fold to nothing.
+
+    A letter folds if its compatibility form is one letter with combining
+    marks. Forms of several letters (ligatures, fractions, Hangul) are left to
+    ``functions.unicode``.
+    """
+    letters, marks = [], []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c:
+            letters.append((c, bare))
+    return "".join(c for c, _ in letters) + "".join(marks), "".join(b for _, b in letters)
+
+
+def unaccented(c: Column) -> Column:
+    """Letters without their accents, in generated code (see ``folding``)."""
+    return F.translate(c, *folding())
+
+
 def token_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
@@ -64,13 +100,28 @@ def section_kind(name: Column) -> Column:
     return out
 
 
-def ascii_key(c: Column) -> Column:
-    """Lookup key of names in ASCII: lower case, letters and digits alone (other scripts: ``functions.unicode``)."""
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+def name_key(c: Column) -> Column:
+    """Lookup key of names: without accents, lower case, letters and numbers alone."""
+    return F.regexp_replace(F.lower(unaccented(c)), r"[^\p{L}\p{N}]", "")
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), r"^-|-$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(unaccented(c)), r"[^\p{L}\p{N}]+", "-"), r"^-|-$", "")
+
+
+def name_tokens(c: Column) -> Column:
+    """The words of a name, as written and without accents."""
+    return F.array_union(token_array(unaccented(F.lower(c))), token_array(c))
+
+
+def line_ending(line: Column) -> Column:
+    """The last three letters of a line without accents, for end rhymes."""
+    return F.right(F.regexp_replace(unaccented(F.lower(line)), r"[^\p{L}]", ""), F.lit(3))
+
+
+def letter_words(c: Column) -> Column:
+    """Words of letters alone with inner apostrophes, lower case (text in composed form; ``unicode.composed`` gives it)."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+(?:['’]\p{L}+)*)"), F.lit(1))
 
 
 def unslug(c: Column) -> Column:
@@ -83,6 +134,11 @@ def year_of(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d{4})", 1).try_cast("int")
 
 
+def leading_year(c: Column) -> Column:
+    """The year that a date starts with; null if it doesn't start with four digits."""
+    return F.regexp_extract(c, r"^(\d{4})", 1).try_cast("int")
+
+
 def title_words(c: Column) -> Column:
     """Lower case, punctuation to blanks, blanks collapsed (the form a title classifier reads)."""
     return stripped(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
@@ -111,6 +167,13 @@ def big_number(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.concat(short, F.lit(" million"))).otherwise(F.format_number(n, 0))
 
 
+def title_case(c: Column) -> Column:
+    """Each run of non-blanks from its first word character on: that one upper case, the rest lower case."""
+    word = lambda w: F.regexp_extract(w, r"^([^A-Za-z0-9_]*)(.?)(.*)$", 2)
+    head = lambda w: F.regexp_extract(w, r"^([^A-Za-z0-9_]*)", 1)
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(head(w), F.upper(word(w)), F.lower(F.substr(w, F.length(head(w)) + F.lit(2))))), " ")
+
+
 def artist_name(c: Column) -> Column:
     """Names all in lower case get capitals; others stay as they are."""
     return F.when(c == F.lower(c), F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ")).otherwise(c)
@@ -124,6 +187,16 @@ def token_table(songs: DataFrame, text: str = "lyrics", keep: tuple[str, ...] =
     return songs.select(*keep, F.posexplode(token_array(sung(F.col(text)))).alias("pos", "word"))
 
 
+def word_table(songs: DataFrame, text: str = "lyrics", keep: tuple[str, ...] = ("song_id", "artist", "lang")) -> DataFrame:
+    """``keep..., word, first``: each token, in order of the words; ``first`` marks one of those alike in a song.
+
+    So the songs that have a word can be counted without a group for each song.
+    """
+    rows = songs.select(*keep, F.sort_array(token_array(sung(F.col(text)))).alias("_w"))
+    marked = F.transform("_w", lambda x, i: F.struct(x.alias("word"), ((i == 0) | (x != F.get("_w", F.greatest(i - 1, F.lit(0))))).alias("first")))
+    return rows.select(*keep, F.inline(marked))
+
+
 def line_table(songs: DataFrame, text: str = "lyrics", keep: tuple[str, ...] = ("song_id", "artist")) -> DataFrame:
     """``keep..., line_no, line, norm``: lines that aren't blank and open no section, numbered from 0."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), stripped), lambda x: (x != "") & ~x.rlike(HEADER))

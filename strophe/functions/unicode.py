@@ -57,6 +57,10 @@ def without_brackets(text: str) -> str:
     return " ".join("".join(out).split())
 
 
+def composed_text(text: str) -> str:
+    return unicodedata.normalize("NFC", text)
+
+
 def arrow_udf(f):
     """A string function over Arrow batches; null stays null."""
 
@@ -74,3 +78,4 @@ plain = arrow_udf(plain_title)
 line_ending = arrow_udf(ending_of)
 unaccented = arrow_udf(bare)
 unbracketed = arrow_udf(without_brackets)
+composed = arrow_udf(composed_text)

@@ -13,11 +13,22 @@ STOPWORDS = {
     "fr": ("au", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "je", "la", "le", "les", "ne", "pas", "pour", "que", "qui", "sur", "un", "une"),
     "es": ("a", "al", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para", "por", "que", "se", "su", "un", "una", "y"),
 }
-ALL_STOPWORDS = tuple(sorted({w for ws in STOPWORDS.values() for w in ws}))
+#: Words that no list of top words, print or signature counts, in English and the south Slavic languages.
+ALL_STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "of", "to", "in", "on", "at", "by", "for", "with", "as", "is", "are", "was", "were", "be", "been", "being",
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "this", "that", "these", "those",
+    "so", "do", "don", "t", "s", "m", "re", "ve", "ll", "d", "yeah", "oh", "uh", "yo", "ay", "hey", "na", "la",
+    "u", "se", "je", "su", "te", "ti", "ja", "mi", "vi", "ona", "ono", "oni", "one", "moj", "tvoj", "njegov", "njen", "naš", "vaš", "njihov", "što", "šta",
+    "ko", "ali", "ili", "pa", "da", "ne", "nije", "neka", "ako", "kao", "samo", "sad", "još", "već", "sve", "svi", "kad", "tad", "tu", "tamo", "ovde", "ovo",
+    "taj", "ova", "onaj", "bez", "od", "za", "po", "iz", "kroz", "uz", "niz", "pred", "pod", "nad", "među", "bih", "bi", "bismo", "biste", "ću", "ćeš", "će",
+    "ćemo", "ćete", "jer", "biti", "jako", "si", "sam", "smo", "ste", "kô", "k'o", "li", "nek",
+)
 #: Title words that guard a song against the junk rules.
 GUARDS = ("freestyle", "interlude", "skit", "reprise", "instrumental")
 #: Parts of titles that mark scripts, talk and events.
 NOT_SONGS = (
+    "interview", "discography", "tracklist", "tracklisting", "booklet", "conference call", "setlist", "annotated", "tour dates", "album art", "cover art", "liner notes",
+    "press release", "(album)", "full album", "q&a", "biography", "snippet", "teaser",
     "script", "screenplay", "monologue", "speech", "acceptance", "transcript", "commencement", "eulogy", "ted talk", "press conference", "manifesto", "open letter",
     "statement", "essay", "poem", "vmas", "vma performance", "bet awards", "grammy", "oscars", "super bowl", "halftime", "medley", "documentary", "trailer", "announcement",
     "phone conversation", "phone call with", "philosophy book", "the future of music",
@@ -70,4 +81,12 @@ SYLLABLES = (
 )
 INTERJECTIONS = ("wow", "ugh", "mwah", "muah", "meh", "bleh", "aha", "umm", "uhm", "pow", "baow", "sheesh")
 LABELS = ("chorus", "choruses", "refrain", "refrains", "repeat", "instrumental", "verse", "ref", "refr", "coro", "estribillo", "ritornello", "rit", "refrão", "intro", "outro", "prechorus", "copyright", "reserved")
+#: Spellings of grammar that are grammar for English singers alone.
+EN_SPELLINGS = (
+    "cos", "coz", "cus", "cah", "kuz", "dont", "cant", "wont", "aint", "thats", "youre", "youve", "youll", "youd", "ive", "isnt", "arent", "wasnt", "werent", "doesnt", "didnt",
+    "couldnt", "wouldnt", "shouldnt", "hes", "shes", "theyre", "theyve", "theyll", "theres", "heres", "whats", "whos", "weve", "lets", "somethin", "nothin", "everythin",
+    "anythin", "goin", "comin", "gettin", "havin", "makin", "sayin", "bein",
+)
+#: Ranges of scripts whose vowel signs tokens drop.
+SPLIT_SCRIPT = r"[\x{0900}-\x{0DFF}\x{0E00}-\x{0EFF}\x{0F00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]"
 CREDITS = ("copyright", "rights", "reserved", "ascap", "bmi", "socan", "publishing", "administered")

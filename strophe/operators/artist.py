@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strophe.functions.text import sung, token_array
 from strophe.functions.words import DEMOS
 from strophe.operators.classify import holds_any
-from strophe.operators.song import share, word_counts
+from strophe.operators.song import kept, share, word_counts
 
 
 def mean(ratio):
@@ -23,8 +23,25 @@ def mean(ratio):
 
 def counted_songs(songs: DataFrame) -> DataFrame:
     """``song_id, artist, title, lang, wc, uniq, ttr`` of songs that have words, from arrays in the row."""
-    w = songs.select("song_id", "artist", "title", "lang", token_array(sung(songs["lyrics"])).alias("w")).where(F.size("w") > 0)
-    return w.select("song_id", "artist", "title", "lang", F.size("w").cast("long").alias("wc"), F.size(F.array_distinct("w")).cast("long").alias("uniq"), share(F.size(F.array_distinct("w")), F.size("w")).alias("ttr"))
+    w = kept(songs.select("song_id", "artist", "title", "lang", token_array(sung(songs["lyrics"])).alias("w")), F.size("w") > 0)
+    w = w.select("song_id", "artist", "title", "lang", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("u"))
+    return w.select("song_id", "artist", "title", "lang", F.col("n").cast("long").alias("wc"), F.col("u").cast("long").alias("uniq"), share(F.col("u"), F.col("n")).alias("ttr"))
+
+
+def highlight_parts(least: int = 80) -> list:
+    """Aggregates that ``highlight_columns`` reads: the records of eligible songs and of all."""
+    fit = (F.col("wc") >= least) & ~holds_any(F.lower("title"), DEMOS)
+
+    def best(value, ok):
+        return F.max(F.when(ok, F.struct(value.alias("v"), (-F.col("song_id")).alias("o"), F.col("wc").alias("words"))))
+
+    return [best(v, ok).alias(f"_{name}{k}") for k, ok in ((0, fit), (1, F.lit(True))) for name, v in (("l", F.col("wc")), ("s", -F.col("wc")), ("r", F.col("ttr")))]
+
+
+def highlight_columns() -> list:
+    pick = lambda name: F.coalesce(f"_{name}0", f"_{name}1")
+    second = lambda c: -c.getField("o")
+    return [second(pick("l")).alias("longest_song"), pick("l").getField("words").alias("longest_words"), second(pick("s")).alias("shortest_song"), second(pick("r")).alias("richest_song")]
 
 
 def highlights(counted: DataFrame, least: int = 80) -> DataFrame:
@@ -33,17 +50,18 @@ def highlights(counted: DataFrame, least: int = 80) -> DataFrame:
     Songs of at least ``least`` words whose title doesn't mark a demo compete;
     if an artist has none, all do. Both cases are one aggregation.
     """
-    fit = (F.col("wc") >= least) & ~holds_any(F.lower("title"), DEMOS)
+    return counted.groupBy("artist").agg(*highlight_parts(least)).select("artist", *highlight_columns())
 
-    def best(value, ok):
-        return F.max(F.when(ok, F.struct(value.alias("v"), (-F.col("song_id")).alias("o"), F.col("wc").alias("words"))))
 
-    both = counted.groupBy("artist").agg(
-        *(best(v, ok).alias(f"{name}{k}") for k, ok in ((0, fit), (1, F.lit(True))) for name, v in (("l", F.col("wc")), ("s", -F.col("wc")), ("r", F.col("ttr"))))
-    )
-    pick = lambda name: F.coalesce(f"{name}0", f"{name}1")
-    second = lambda c: -c.getField("o")
-    return both.select("artist", second(pick("l")).alias("longest_song"), pick("l").getField("words").alias("longest_words"), second(pick("s")).alias("shortest_song"), second(pick("r")).alias("richest_song"))
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """``artist, total_unique_words, top_word, top_word_n``; ties go to the first use by song and place.
+
+    A first use is one number (song, then place), so that it is found in hash
+    maps, and only words that tie for the top are put in order.
+    """
+    at = F.col("song_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(11,0)")
+    words = tokens.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("f"))
+    return words.groupBy("artist").agg(F.count(F.lit(1)).alias("total_unique_words"), F.max(F.struct("n", -F.col("f"), "word")).alias("w")).select("artist", "total_unique_words", F.col("w.word").alias("top_word"), F.col("w.n").alias("top_word_n"))
 
 
 def artist_fold(songs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -52,16 +70,11 @@ def artist_fold(songs: DataFrame, tokens: DataFrame) -> DataFrame:
     Averages are of the songs' rounded ratios. The most used word's ties go to
     the first use by song and place.
     """
-    counted = counted_songs(songs)
-    sums = counted.groupBy("artist").agg(F.count(F.lit(1)).alias("song_count"), F.sum("wc").alias("total_words"), mean("ttr").alias("t"))
-    words = tokens.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("song_id", "pos")).alias("f"))
-    vocabulary = words.groupBy("artist").agg(F.count(F.lit(1)).alias("total_unique_words"), F.max(F.struct("n", -F.col("f.song_id"), -F.col("f.pos"), "word")).alias("w"))
-    out = sums.join(vocabulary, "artist").join(highlights(counted), "artist")
+    sums = counted_songs(songs).groupBy("artist").agg(F.count(F.lit(1)).alias("song_count"), F.sum("wc").alias("total_words"), mean("ttr").alias("t"), *highlight_parts())
+    out = sums.join(vocabulary(tokens), "artist")
     return out.select(
         "artist", "song_count", "total_words", "total_unique_words",
-        F.bround(F.col("total_words") / F.col("song_count"), 4).alias("words_per_song"), F.col("t").alias("avg_ttr"),
-        F.col("w.word").alias("top_word"), F.col("w.n").alias("top_word_n"),
-        "longest_song", "longest_words", "shortest_song", "richest_song",
+        F.bround(F.col("total_words") / F.col("song_count"), 4).alias("words_per_song"), F.col("t").alias("avg_ttr"), "top_word", "top_word_n", *highlight_columns(),
     )
 
 

@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.functions.text import name_tokens, ordinal, token_array, unaccented
+from strophe.functions.titles import display_title, squashed, version_clauses
+from strophe.functions.words import CREDITS, EN_SPELLINGS, LABELS, SPLIT_SCRIPT
 
-def artist_words(tokens: DataFrame) -> DataFrame:
-    """``artist, word, uses, spread``: uses of a word and how many of the artist's songs have it."""
-    return tokens.groupBy("artist", "word", "song_id").agg(F.count(F.lit(1)).alias("c")).groupBy("artist", "word").agg(F.sum("c").alias("uses"), F.count(F.lit(1)).alias("spread"))
+#: Titles of mash-ups, and of versions that a quote is taken from only where nothing else has the word.
+MASH_UP = r"(?i)\b(?:mash-?up|megamix|medley)\b|[(\[][^)\]]*\bvs\.?\s[^)\]]*[)\]]"
+VERSION_TITLE = r"(?i)\b(?:vs\.?|remix|mix|mashup|megamix|medley|karaoke|live|edit|version)\b"
+
+
+def artist_words(words: DataFrame) -> DataFrame:
+    """``artist, word, uses, spread``: uses of a word and how many of the artist's songs have it, from ``functions.text.word_table``."""
+    return words.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("uses"), F.count_if("first").alias("spread"))
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
@@ -46,11 +54,34 @@ def signature_words(words: DataFrame, stop: tuple[str, ...], k: int = 150, uses:
     return ranked.where(F.col("rank") <= k).select("artist", "rank", "word", F.bround("x", 4).alias("ratio"))
 
 
+def unpivoted(rows: DataFrame, metrics: list[str], *keep: str) -> DataFrame:
+    """``keep..., metric, value``: one row for each metric that isn't null."""
+    long = rows.select(*keep, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x"))
+    return long.select(*keep, "x.*").where("value is not null")
+
+
+def value_places(long: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``metric, value, c, below, n``: rows of each value, rows of smaller values, and all rows of the metric.
+
+    Rows are counted by value first, so what is put in order is each distinct
+    value once. Prefix sums are taken in two levels (buckets of the metric's
+    span, then values in a bucket), so no task holds all values of a metric.
+    """
+    counts = long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))
+    span = counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    dealt = counts.join(span, "metric").withColumn("b", F.floor(share * (buckets - 1)))
+    before = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy("metric", "b").agg(F.sum("c").alias("s")).withColumn("ahead", F.coalesce(F.sum("s").over(before("metric", "b")), F.lit(0))).select("metric", "b", "ahead")
+    inner = dealt.withColumn("inner", F.coalesce(F.sum("c").over(before("metric", "b", "value")), F.lit(0)))
+    return inner.join(sums, ["metric", "b"]).select("metric", "value", "c", (F.col("ahead") + F.col("inner")).alias("below"), "n")
+
+
 def percent_below(rows: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """``key, metric, value, pct``: percentage of values that are smaller, half to even; nulls take no part."""
-    long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select(key, "x.*").where("value is not null")
-    one = W.partitionBy("metric")
-    return long.withColumn("pct", F.rint(100.0 * (F.rank().over(one.orderBy("value")) - 1) / F.count(F.lit(1)).over(one)).cast("long"))
+    long = unpivoted(rows, metrics, key)
+    places = value_places(long).select("metric", "value", F.rint(100.0 * F.col("below") / F.col("n")).cast("long").alias("pct"))
+    return long.join(places, ["metric", "value"]).select(key, "metric", "value", "pct")
 
 
 def language_document_frequency(tokens: DataFrame, uses: int = 5, least: int = 2) -> DataFrame:
@@ -61,58 +92,163 @@ def language_document_frequency(tokens: DataFrame, uses: int = 5, least: int = 2
     return n.join(artists, "lang").select("lang", "word", "n", "artists", F.bround(F.ln((F.col("artists") + 1) / (F.col("n") + 1)), 6).alias("idf"), F.bround(F.col("n") / F.col("artists"), 6).alias("share"))
 
 
-def signature_score(words: DataFrame, song_counts: DataFrame, stop: tuple[str, ...], k: int = 10, uses: int = 10, letters: int = 3) -> DataFrame:
-    """``artist, rank, word, spread, uses, score``: words that recur through a catalogue and are rare elsewhere.
+def credit_spread(tokens: DataFrame) -> DataFrame:
+    """``artist, word, credited``: in how many of an artist's songs with a credit word a word stands."""
+    marked = tokens.where(F.col("word").isin(*CREDITS)).select("song_id").distinct()
+    return tokens.join(marked, "song_id", "left_semi").groupBy("artist", "word").agg(F.count_distinct("song_id").alias("credited"))
+
+
+def usable_words(words: DataFrame, artists: DataFrame, frequency: DataFrame, credits: DataFrame, function_words: tuple[str, ...], listed: tuple[str, ...], whole: DataFrame | None = None) -> DataFrame:
+    """The rows of ``words`` (``artist, word, uses, spread``) that may be a signature or staple, with ``lang``, ``songs``, ``idf``.
+
+    Set aside are words once in each song they are in or mostly beside a
+    credit (if in five songs or more), short words, words with apostrophes,
+    the artist's name, labels, vocables, grammar (``function_words`` of any
+    language; English spellings for English; in a language that is not
+    ``listed``, what half of its artists use), words at home in another
+    language, and pieces of words that the tokens broke and no line of
+    ``whole`` gives back. ``artists``: ``artist, display, lang, songs``;
+    ``frequency``: ``lang, word, n`` and ``language_sizes`` from it.
+    """
+    from strophe.operators.classify import adlib
+
+    sizes = artists.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
+    share = frequency.join(sizes, "lang").select("lang", "word", "n", (F.col("n") / F.col("n_lang")).alias("share"))
+    order = W.partitionBy("word").orderBy(F.desc("share"), "lang")
+    # the two languages that use a word most tell the largest share elsewhere
+    top = share.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("word").agg(F.max(F.when(F.col("r") == 1, F.struct("lang", "share"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("share"))).alias("b"))
+    people = artists.join(sizes, "lang").withColumn("_names", F.array_union(name_tokens(F.col("display")), F.transform(name_tokens(F.col("display")), unaccented))).drop("display")
+    rows = words.join(people, "artist").join(share, ["lang", "word"], "left").join(top, "word", "left").join(credits, ["artist", "word"], "left")
+    mine = F.coalesce("share", F.lit(0.0))
+    other = F.when(F.col("a.lang") == F.col("lang"), F.col("b")).otherwise(F.col("a.share"))
+    word = F.col("word")
+    broken = word.rlike(SPLIT_SCRIPT)
+    if whole is not None:
+        rows = rows.join(whole.select("word", F.lit(True).alias("_whole")).distinct(), "word", "left")
+        broken = broken & F.col("_whole").isNull()
+    footer = (F.col("spread") >= 5) & ((F.col("uses") == F.col("spread")) | (F.coalesce("credited", F.lit(0)) >= F.col("spread") * 0.8))
+    grammar = word.isin(*function_words) | ((F.col("lang") == "en") & word.isin(*EN_SPELLINGS)) | (~F.col("lang").isin(*listed) & (mine >= 0.5))
+    foreign = (F.coalesce(other, F.lit(0.0)) > mine) & (F.coalesce(other, F.lit(0.0)) >= 0.02) & (mine < 0.003)
+    fit = (F.length("word") >= 3) & ~word.rlike("['’]") & ~F.array_contains("_names", word) & ~F.array_contains("_names", unaccented(word)) & ~word.isin(*LABELS)
+    idf = F.ln((F.col("n_lang") + 1) / (F.coalesce("n", F.lit(0)) + 1))
+    return rows.where(fit & ~footer & ~broken & ~adlib(word) & ~grammar & ~foreign).select("artist", "lang", "word", "uses", "spread", "songs", F.bround(idf, 6).alias("idf"))
+
+
+def signature_score(usable: DataFrame, k: int = 12, uses: int = 10, idf: float = 1.0, part: float = 0.06) -> DataFrame:
+    """``artist, rank, word, spread, uses, score``: usable words that recur through a catalogue and are rare elsewhere.
 
     Score: share of songs, times squared idf, times log of uses; words in at
-    least 6 % of the songs (3 at least) with an idf of at least 0.1.
+    least 6 % of the songs (3 at least) with an idf of at least 1.
     """
-    df = document_frequency(words).select("word", "df")
-    n_artists = words.select("artist").distinct().agg(F.count(F.lit(1)).alias("artists"))
-    rows = words.where((F.col("uses") >= uses) & (F.length("word") >= letters) & ~F.contains(F.col("word"), F.lit("'")) & ~F.col("word").isin(*stop))
-    rows = rows.join(df, "word").join(song_counts, "artist").join(F.broadcast(n_artists)).withColumn("idf", F.ln((F.col("artists") + 1) / (F.col("df") + 1)))
-    rows = rows.where((F.col("spread") >= F.greatest(F.lit(3), F.ceil(F.col("songs") * 0.06))) & (F.col("idf") >= 0.1))
+    rows = usable.where((F.col("uses") >= uses) & (F.col("spread") >= F.greatest(F.lit(3), F.ceil(F.col("songs") * part))) & (F.col("idf") >= idf))
     rows = rows.withColumn("score", F.bround(F.col("spread") / F.col("songs") * F.col("idf") * F.col("idf") * F.ln(1 + F.col("uses")), 6))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("artist").orderBy(F.desc("score"), "word")).cast("long")).where(F.col("rank") <= k).select("artist", "rank", "word", "spread", "uses", "score")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("artist").orderBy(F.desc("score"), F.desc("word"))).cast("long")).where(F.col("rank") <= k).select("artist", "rank", "word", "spread", "uses", "score")
+
+
+def staples(words: DataFrame, usable: DataFrame, k: int = 25, first: int = 800, share: float = 0.03, least: int = 2) -> DataFrame:
+    """``artist, rank, word, uses, spread``: of the ``first`` most used ``words`` the usable ones that stand in many songs."""
+    ranked = words.withColumn("r", F.row_number().over(W.partitionBy("artist").orderBy(F.desc("uses"), "word"))).where(F.col("r") <= first).select("artist", "word", "r")
+    rows = ranked.join(usable, ["artist", "word"]).where(F.col("spread") >= F.greatest(F.lit(least), F.ceil(F.col("songs") * share)))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("artist").orderBy("r")).cast("long")).where(F.col("rank") <= k).select("artist", "rank", "word", "uses", "spread")
+
+
+def staple(words: DataFrame, usable: DataFrame) -> DataFrame:
+    """``artist, word, songs, uses, share``: the most used usable word of the first 400 that stands in a tenth of the songs."""
+    top = staples(words, usable, 1, 400, 0.1, 3).select("artist", "word")
+    return top.join(usable, ["artist", "word"]).select("artist", "word", F.col("spread").alias("songs"), "uses", F.bround(F.col("spread") / F.col("songs"), 3).alias("share"))
+
+
+def hook_quotes(top_lines: DataFrame, words: DataFrame) -> DataFrame:
+    """``artist, word, line, title, times``: for each artist's word the hook line that quotes it best.
+
+    ``top_lines``: ``artist, song_id, title, top_line, top_line_n``, each
+    song's line that stands three times or more. Lines of 3 to 16 words count,
+    not in capitals alone; a line scores its repeats, 4 if it has 5 to 12
+    words, and a tenth for each word up to 8. Mash-ups, and remixes credited
+    to the artist, are left out; other versions count only where nothing else
+    has the word. Ties go to the smaller song.
+    """
+    n = F.size(F.split("top_line", " "))
+    own = F.filter(F.split(squashed(F.col("artist")), " "), lambda w: F.length(w) >= 3)
+    credited = F.exists(version_clauses(F.col("title")), lambda c: F.size(F.array_intersect(F.split(squashed(c), " "), own)) > 0)
+    rows = top_lines.where((F.col("top_line_n") >= 3) & n.between(3, 16) & ~F.col("top_line").startswith("[") & ((F.upper("top_line") != F.col("top_line")) | (F.lower("top_line") == F.col("top_line"))) & ~F.col("title").rlike(MASH_UP) & ~credited)
+    score = F.col("top_line_n") * 10 + F.when(n.between(5, 12), 40).otherwise(0) + F.least(n, F.lit(8)) - F.when(F.col("title").rlike(VERSION_TITLE), 10_000).otherwise(0)
+    hits = rows.select("artist", "song_id", "title", "top_line", "top_line_n", score.alias("s"), F.explode(F.array_distinct(token_array(F.col("top_line")))).alias("word")).join(words.select("artist", "word"), ["artist", "word"])
+    best = hits.groupBy("artist", "word").agg(F.max(F.struct("s", (-F.col("song_id")).alias("o"), "top_line", "title", "top_line_n")).alias("b"))
+    return best.select("artist", "word", F.col("b.top_line").alias("line"), display_title(F.col("b.title")).alias("title"), F.col("b.top_line_n").cast("long").alias("times"))
+
 
+def curated_motifs(computed: DataFrame, reviews: DataFrame, words: DataFrame) -> DataFrame:
+    """``artist, word, spread, uses, curated``: the reviewed word where the artist's songs have it, else the computed one.
 
-def staples(words: DataFrame, song_counts: DataFrame, stop: tuple[str, ...], k: int = 25, first: int = 400, share: float = 0.03, least: int = 2) -> DataFrame:
-    """``artist, rank, word, uses``: of the ``first`` most used words those that stand in many songs."""
-    ranked = words.withColumn("r", F.row_number().over(W.partitionBy("artist").orderBy(F.desc("uses"), "word"))).where(F.col("r") <= first)
-    rows = ranked.join(song_counts, "artist").where((F.length("word") >= 3) & ~F.col("word").isin(*stop) & (F.col("spread") >= F.greatest(F.lit(least), F.ceil(F.col("songs") * share))))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("artist").orderBy("r")).cast("long")).where(F.col("rank") <= k).select("artist", "rank", "word", "uses")
+    ``computed``: ``artist, word``; ``reviews``: ``artist, word``; ``words``:
+    ``artist, word, uses, spread``.
+    """
+    given = reviews.join(words.where("spread >= 1"), ["artist", "word"]).groupBy("artist").agg(F.min("word").alias("given"))
+    both = computed.select("artist", "word").join(given, "artist", "full_outer").select("artist", F.coalesce("given", "word").alias("word"), F.col("given").isNotNull().alias("curated"))
+    return both.join(words, ["artist", "word"]).select("artist", "word", "spread", "uses", "curated")
 
 
-def hook_quotes(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """``artist, word, line, score``: for each artist's word the line of 3 to 16 words that quotes it best.
+def motif_word(signatures: DataFrame, top_words: DataFrame, artists: DataFrame, vocables: tuple[str, ...]) -> DataFrame:
+    """``artist, word``: an artist's first acceptable signature word, else top word, else any top word.
 
-    A line scores its repeats in a song, 4 if it has 5 to 12 words, and a tenth
-    for each word up to 8; ties go to the smaller song and earlier line.
+    ``signatures`` and ``top_words``: ``artist, rank, word``; ``artists``:
+    ``artist, display``. Acceptable: three letters, no apostrophe, no vocable,
+    not in the name; the third choice may be a vocable, the last may be all.
     """
-    from strophe.functions.text import token_array
+    names = artists.select("artist", F.split(F.lower("display"), r"\s+").alias("names"))
+    both = signatures.select("artist", "rank", "word", F.lit(0).alias("list")).union(top_words.select("artist", "rank", "word", F.lit(1).alias("list"))).join(names, "artist")
+    plain = (F.length("word") > 2) & ~F.col("word").rlike("['’]") & ~F.array_contains("names", F.col("word"))
+    tier = F.when(plain & ~F.col("word").isin(*vocables), F.col("list")).when(plain & (F.col("list") == 1), 2).when(F.col("list") == 1, 3)
+    return both.withColumn("t", tier).where("t is not null").groupBy("artist").agg(F.min(F.struct("t", "rank", "word")).alias("b")).select("artist", F.col("b.word").alias("word"))
+
+
+def motif_quotes(lines: DataFrame, motifs: DataFrame) -> DataFrame:
+    """``artist, word, song_id, line, score``: the line that shows a motif word best.
 
-    rows = lines.withColumn("w", token_array(F.col("line"))).withColumn("n", F.size("w")).where(F.col("n").between(3, 16))
-    rows = rows.withColumn("times", F.count(F.lit(1)).over(W.partitionBy("song_id", "norm")))
-    hits = rows.select("artist", "song_id", "line_no", "line", "times", "n", F.explode(F.array_distinct("w")).alias("word")).join(words.select("artist", "word"), ["artist", "word"])
-    score = F.col("times") * 10 + F.when(F.col("n").between(5, 12), 40).otherwise(0) + F.least("n", F.lit(8))
-    best = hits.groupBy("artist", "word").agg(F.max(F.struct(score.alias("s"), -F.col("song_id"), -F.col("line_no"), "line")).alias("b"))
-    return best.select("artist", "word", F.col("b.line").alias("line"), F.col("b.s").cast("long").alias("score"))
+    Lines of 6 to 12 words are best, of 4 to 20 allowed; capitals at the start
+    help, shouting and lines of few different words lose. Lines in brackets
+    don't count. Ties go to the smaller song and the earlier line.
+    """
+    line = F.col("line")
+    words = F.split(line, r"(?U)\s+")
+    n = F.size(words)
+    bracketed = line.startswith("[") | line.endswith("]") | (line.startswith("(") & line.endswith(")"))
+    few = F.size(F.array_distinct(F.transform(words, F.lower))) < 0.6 * n
+    first = F.left(line, F.lit(1))
+    score = F.when(bracketed, -100).when((n < 4) | (n > 20), -50).otherwise(
+        F.when(n.between(6, 12), 20).otherwise(0) + F.when((F.upper(first) == first) & (F.lower(first) != first), 10).otherwise(0)
+        - F.when((F.upper(line) == line) & (F.lower(line) != line), 20).otherwise(0) - F.when(few, 50).otherwise(0)
+    )
+    hits = lines.select("artist", "song_id", "line_no", "line", score.cast("long").alias("score"), F.explode(F.array_distinct(token_array(line))).alias("word")).join(motifs.select("artist", "word"), ["artist", "word"])
+    best = hits.groupBy("artist", "word").agg(F.max(F.struct("score", (-F.col("song_id")).alias("o"), (-F.col("line_no")).alias("p"), "line")).alias("b"))
+    return best.select("artist", "word", (-F.col("b.o")).alias("song_id"), F.col("b.line").alias("line"), F.col("b.score").alias("score"))
 
 
 # --- percentile tables ---------------------------------------------------------
 
 
-def quantile_cuts(rows: DataFrame, metrics: list[str], least: int = 1, steps: int = 100) -> DataFrame:
-    """``metric, p, cut``: the value at index ``rint(p / 100 * (n - 1))``, without interpolation.
+#: What the archive's songs are placed by.
+SONG_METRICS = ("wc", "uniq", "ttr", "rep", "hook", "rhyme", "drops", "awl", "q", "one_word", "wpm", "first_s", "gap_s", "fast15")
+
 
-    Only the rows that are cuts leave the sort: each looks up the steps that
-    its place serves.
+def archive_metrics(rows: DataFrame, least_words: int = 30, most_words: int = 2000) -> DataFrame:
+    """The songs that the archive's percentiles count, with null where a metric doesn't.
+
+    Clock metrics count songs with timed text; a pace counts with a duration
+    of 30 seconds or more and up to 400 words a minute.
     """
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select("x.*").where("value is not null")
-    one = W.partitionBy("metric")
-    ranked = long.withColumn("i", F.row_number().over(one.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(one)).where(F.col("n") >= least)
-    wanted = F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda p: F.rint(p / F.lit(100.0) * (F.col("n") - 1)) == F.col("i"))
-    return ranked.select("metric", F.explode(wanted).alias("p"), F.col("value").alias("cut")).select("metric", F.col("p").cast("long").alias("p"), "cut")
+    paced = (F.col("duration") >= 30) & (F.col("wpm") <= 400)
+    out = rows.where(F.col("wc").between(least_words, most_words))
+    return out.withColumns({**{m: F.when(F.col("has_synced"), F.col(m)) for m in ("first_s", "gap_s", "fast15")}, "wpm": F.when(paced, F.col("wpm"))})
+
+
+def quantile_cuts(rows: DataFrame, metrics: list[str], least: int = 1, steps: int = 100) -> DataFrame:
+    """``metric, p, cut``: the value at index ``rint(p / 100 * (n - 1))``, without interpolation, of metrics with ``least`` values."""
+    places = value_places(unpivoted(rows, metrics)).where(F.col("n") >= least)
+    at = lambda p: F.rint(p / F.lit(100.0) * (F.col("n") - 1))
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda p: (at(p) >= F.col("below")) & (at(p) < F.col("below") + F.col("c")))
+    return places.select("metric", F.explode(wanted).alias("p"), F.col("value").alias("cut")).select("metric", F.col("p").cast("long").alias("p"), "cut")
 
 
 def place_among(value: Column, cuts: Column) -> Column:
@@ -124,7 +260,7 @@ def place_among(value: Column, cuts: Column) -> Column:
 def percentile_places(rows: DataFrame, key: str, cuts: DataFrame, metrics: list[str]) -> DataFrame:
     """``key, metric, pct``: each value placed among its metric's cuts (a table of a few hundred rows)."""
     table = cuts.groupBy("metric").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")).select(key, "x.*").where("value is not null")
+    long = unpivoted(rows, metrics, key)
     return long.join(F.broadcast(table), "metric").select(key, "metric", place_among(F.col("value"), F.col("cuts")).alias("pct"))
 
 
@@ -136,6 +272,26 @@ def catalogue_standing(rows: DataFrame, value: str) -> DataFrame:
     return ordered.select("artist", "song_id", F.rank().over(one.orderBy(F.desc(value))).cast("long").alias("rank"), "of", mid.alias("median"), F.min(value).over(one).alias("low"), F.max(value).over(one).alias("high"))
 
 
+def catalogue_points(rows: DataFrame, value: str, most: int = 240) -> DataFrame:
+    """``artist, point, value``: an artist's values in order, thinned to ``most`` evenly spaced ones."""
+    one = W.partitionBy("artist")
+    ordered = rows.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(one.orderBy(value, "song_id")) - 1).withColumn("n", F.count(F.lit(1)).over(one))
+    picked = F.filter(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(most)).cast("int") - 1), lambda k: F.floor(k * (F.col("n") / F.lit(float(most)))) == F.col("i"))
+    return ordered.select("artist", F.explode(F.when(F.col("n") <= most, F.array(F.col("i").cast("int"))).otherwise(picked)).alias("point"), F.col(value).alias("value")).select("artist", F.col("point").cast("long").alias("point"), "value")
+
+
+def standing_phrase(rank: Column, of: Column, most: str = "longest", least: str = "shortest") -> Column:
+    """``3rd longest of 385``, or past the middle ``12th shortest of 385``."""
+    place = lambda n, word: F.concat(ordinal(n), F.lit(f" {word} of "), of.cast("string"))
+    return F.when(rank <= of / 2, place(rank, most)).otherwise(place(of - rank + 1, least))
+
+
+def percentile_phrase(pct: Column, more: str = "longer than", less: str = "shorter than") -> Column:
+    """``longer than 78% of songs``, or below the middle ``shorter than 61% of songs``."""
+    said = lambda word, p: F.concat(F.lit(f"{word} "), p.cast("string"), F.lit("% of songs"))
+    return F.when(pct >= 50, said(more, pct)).otherwise(said(less, 100 - pct))
+
+
 def interesting(places: DataFrame, key: str) -> DataFrame:
     """``key, metric, pct, side``: the two highest stats above the middle and the lowest below (or a third high one)."""
     rows = places.where("pct is not null and pct <> 0").withColumn("away", F.abs(F.col("pct") - 50))

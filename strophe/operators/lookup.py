@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.functions.text import edit_similarity
+from strophe.functions.text import edit_similarity, name_key
 
 
 def exact_songs(songs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -32,8 +32,7 @@ def tiered_lookup(names: DataFrame, requests: DataFrame) -> DataFrame:
 
     ``names``: ``key, display, n``; ``requests``: ``request_id, name``.
     """
-    key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    asked = requests.select("request_id", F.posexplode(joiner_variants(F.col("name"))).alias("tier", "v")).select("request_id", F.col("tier").cast("long").alias("tier"), key(F.col("v")).alias("key"))
+    asked = requests.select("request_id", F.posexplode(joiner_variants(F.col("name"))).alias("tier", "v")).select("request_id", F.col("tier").cast("long").alias("tier"), name_key(F.col("v")).alias("key"))
     order = W.partitionBy("request_id").orderBy("tier", F.desc("n"), "display")
     return names.join(asked, "key").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("request_id", "tier", "key", "display", "n")
 

@@ -10,33 +10,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.functions.text import HEADER, char_count, norm_line, stripped, sung, token_array
+from strophe.functions.text import HEADER, TOKEN, char_count, line_ending, norm_line, stripped, sung, token_array
 
 #: Words above which a text is not read as a song.
 LONGEST_SONG = 2000
 
 
-def share(part: Column, whole: Column, digits: int = 4) -> Column:
-    """Rounded half to even; 0 for an empty whole."""
-    return F.when(whole > 0, F.bround(part / whole, digits)).otherwise(F.lit(0.0))
+def share(part: Column, whole: Column) -> Column:
+    """To four decimals, half to even; 0 for an empty whole."""
+    return F.when(whole > 0, F.bround(part / whole, 4)).otherwise(F.lit(0.0))
+
+
+def mean_length(total: Column, n: Column) -> Column:
+    """A mean of lengths to two decimals, half to even; 0 for none."""
+    return F.when(n > 0, F.rint(total * 100 / n) / 100).otherwise(F.lit(0.0))
 
 
 def with_arrays(songs: DataFrame) -> DataFrame:
     """Adds ``w`` (tokens), ``sw`` (sorted tokens), ``l`` (lines) and ``n`` (their normal forms)."""
     lines = F.filter(F.transform(F.split(F.coalesce("lyrics", F.lit("")), "\n"), stripped), lambda x: (x != "") & ~x.rlike(HEADER))
-    return songs.withColumn("l", lines).withColumn("w", F.coalesce(token_array(sung(F.col("lyrics"))), F.array().cast("array<string>"))).withColumn("sw", F.array_sort("w")).withColumn("n", F.transform("l", norm_line))
+    return songs.withColumn("l", lines).withColumn("w", F.coalesce(token_array(sung(F.col("lyrics"))), F.array().cast("array<string>"))).withColumn("sw", F.sort_array("w")).withColumn("n", F.transform("l", norm_line))
+
+
+def kept(rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet a condition on computed columns, without computing these twice.
+
+    A plain filter would go below the exchange that spreads a file of one
+    split, and the texts would be read there, in one task, a second time.
+    """
+    return rows.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
 
 
-def run_starts(sorted_: Column) -> Column:
-    """1-based places where a new value starts in a sorted array, and one past the end."""
-    places = F.filter(F.sequence(F.lit(1), F.size(sorted_)), lambda i: (i == 1) | (F.get(sorted_, i - 1) != F.get(sorted_, i - 2)))
-    return F.when(F.size(sorted_) == 0, F.array().cast("array<int>")).otherwise(F.concat(places, F.array(F.size(sorted_) + 1)))
+def settled(rows: DataFrame, keys: tuple[str, ...], *columns: Column) -> DataFrame:
+    """``keys`` and ``columns``, each worked out once: filters on them stay above, where they would be worked out anew below."""
+    out = rows.select(*keys, *columns)
+    return out.select(*keys, F.inline(F.array(F.struct(*(c for c in out.columns if c not in keys)))))
 
 
 def once_count(sorted_: Column) -> Column:
-    """How many values stand once in a sorted array."""
-    starts = run_starts(sorted_)
-    return F.when(F.size(sorted_) == 0, 0).otherwise(F.size(F.filter(F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))), lambda b, a: b - a), lambda d: d == 1)))
+    """How many words stand once in a sorted array of them (words hold no line ends)."""
+    joined = F.concat(F.array_join(sorted_, "\n"), F.when(F.size(sorted_) > 0, "\n").otherwise(""))
+    single = F.regexp_replace(joined, r"(?m)^([^\n]*\n)\1+", "")
+    return F.regexp_count(single, F.lit("\n"))
+
+
+def longest_of(words: Column) -> Column:
+    """The longest word, of equals the first; null for none."""
+    sizes = F.transform(words, F.length)
+    return F.get(words, F.array_position(sizes, F.array_max(sizes)).cast("int") - 1)
+
+
+def section_count(lyrics: Column) -> Column:
+    """Sections that have lines: what stands before the first header, and what each header opens."""
+    lines = F.filter(F.split(F.coalesce(lyrics, F.lit("")), "\n"), lambda x: stripped(x) != "")
+    kinds = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(HEADER), "h").otherwise("x")), "")
+    return F.regexp_count(kinds, F.lit("(?:^|h)x"))
 
 
 def song_stats(songs: DataFrame) -> DataFrame:
@@ -47,25 +75,26 @@ def song_stats(songs: DataFrame) -> DataFrame:
     rows = with_arrays(songs)
     some = F.size("w") > 0
     n, u, nl = F.size("w"), F.size(F.array_distinct("w")), F.size("l")
-    per_line = F.filter(F.transform("l", lambda x: F.size(token_array(x))), lambda x: x > 0)
-    total = F.aggregate(F.transform("w", F.length), F.lit(0).cast("long"), lambda a, x: a + x)
-    words_in_lines = F.aggregate(per_line, F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = rows.select("song_id", "artist", "lyrics", "w", "sw", "l", n.alias("_n"), u.alias("_u"), nl.alias("_l"), F.filter(F.transform("l", lambda x: F.regexp_count(F.lower(x), F.lit(TOKEN))), lambda x: x > 0).alias("_per"))
+    n, u, nl = F.col("_n"), F.col("_u"), F.col("_l")
+    words_in_lines = F.aggregate("_per", F.lit(0).cast("long"), lambda a, x: a + x)
     zero = lambda c: F.when(some, c).otherwise(0)
-    low = F.transform("l", F.lower)
-    return rows.select(
-        "song_id", "artist",
+    rows, once = rows.withColumn("_once", once_count(F.col("sw"))), F.col("_once")
+    return settled(
+        rows, ("song_id", "artist"),
         n.cast("long").alias("word_count"),
         u.cast("long").alias("unique_words"),
         share(u, n).alias("ttr"),
-        zero(F.aggregate(F.transform("l", char_count), F.lit(0).cast("long"), lambda a, x: a + x)).cast("long").alias("chars_no_spaces"),
+        zero(char_count(F.array_join("l", ""))).cast("long").alias("chars_no_spaces"),
         zero(nl).cast("long").alias("line_count"),
-        once_count(F.col("sw")).cast("long").alias("hapax_count"),
-        share(once_count(F.col("sw")), u).alias("hapax_ratio"),
-        share(total, n).alias("avg_word_length"),
-        zero(F.coalesce(share(words_in_lines, F.size(per_line)), F.lit(0.0))).cast("double").alias("avg_words_per_line"),
-        zero(F.coalesce(F.array_max(per_line), F.lit(0))).cast("long").alias("longest_line_words"),
-        zero(F.coalesce(F.array_min(per_line), F.lit(0))).cast("long").alias("shortest_line_words"),
-        F.when(some & (nl > 0), F.bround(1 - F.size(F.array_distinct(low)) / nl, 4)).otherwise(0.0).alias("repetition_ratio"),
+        zero(section_count(F.col("lyrics"))).cast("long").alias("section_count"),
+        once.cast("long").alias("hapax_count"),
+        share(once, u).alias("hapax_ratio"),
+        mean_length(F.length(F.array_join("w", "")), n).alias("avg_word_length"),
+        zero(mean_length(words_in_lines, F.size("_per"))).cast("double").alias("avg_words_per_line"),
+        zero(F.coalesce(F.array_max("_per"), F.lit(0))).cast("long").alias("longest_line_words"),
+        zero(F.coalesce(F.array_min("_per"), F.lit(0))).cast("long").alias("shortest_line_words"),
+        F.when(some & (nl > 0), F.bround(1 - F.size(F.array_distinct(F.transform("l", F.lower))) / nl, 4)).otherwise(0.0).alias("repetition_ratio"),
     )
 
 
@@ -73,30 +102,42 @@ def song_reading(songs: DataFrame) -> DataFrame:
     """Texture of a song's lines; no row for texts without lines or words, or of over 2,000 words.
 
     ``top_line`` is the most common line if it stands three times or more (of
-    equals the first); ``hook`` the share of lines that stand so often;
-    ``longest_word`` the first of the longest.
+    equals the first) and ``top_line_at`` where it stands, from 0; ``hook`` the
+    share of lines that stand so often; ``longest_word`` the first of the
+    longest; ``rhyme`` the share of neighbouring lines whose endings agree;
+    ``line_words`` the words of each line. All is worked out in the row.
     """
-    rows = with_arrays(songs).where((F.size("l") > 0) & F.size("w").between(1, LONGEST_SONG))
-    nl = F.size("l")
+    rows = kept(with_arrays(songs), (F.size("l") > 0) & F.size("w").between(1, LONGEST_SONG))
+    nl, wc = F.size("l"), F.size("w")
     ends = lambda mark: F.size(F.filter("l", lambda x: F.endswith(x, F.lit(mark))))
-    one = F.size(F.filter("l", lambda x: F.size(F.split(x, r"(?U)\s+")) == 1))
-    longest = F.aggregate("w", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    base = rows.select(
-        "song_id", "artist",
-        F.size("w").cast("long").alias("wc"),
+    one = F.size(F.filter("n", lambda x: ~F.contains(x, F.lit(" "))))
+    # lines by text, so that the copies of one stand together; the places where a new text starts
+    rows = rows.withColumn("_s", F.sort_array(F.transform("n", lambda x, i: F.struct(x.alias("t"), i.alias("i")))))
+    rows = rows.withColumn("_f", F.concat(F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (x["t"] != F.get("_s", F.greatest(i - 1, F.lit(0)))["t"]), i)), lambda x: x.isNotNull()), F.array(nl)))
+    rows = rows.withColumn("_g", F.zip_with(F.slice("_f", 1, F.size("_f") - 1), F.slice("_f", 2, F.size("_f") - 1), lambda a, b: F.struct((b - a).alias("c"), (-F.get("_s", a)["i"]).alias("o"), F.get("_s", a)["t"].alias("t"))))
+    rows = rows.withColumn("_top", F.array_max("_g")).withColumn("_e", F.transform("l", line_ending))
+    often = F.col("_top.c") >= 3
+    hooked = F.aggregate(F.filter("_g", lambda x: x["c"] >= 3), F.lit(0), lambda a, x: a + x["c"])
+    full = lambda x: F.length(x) == 3
+    rows = rows.withColumn("_p", F.filter(F.zip_with(F.slice("_e", 1, F.greatest(nl - 1, F.lit(0))), F.slice("_e", 2, nl), lambda a, b: F.when(full(a) & full(b), a == b)), lambda x: x.isNotNull()))
+    return settled(
+        rows, ("song_id", "artist"),
+        wc.cast("long").alias("wc"),
         F.size(F.array_distinct("w")).cast("long").alias("uniq"),
+        share(F.size(F.array_distinct("w")), wc).alias("ttr"),
+        mean_length(F.length(F.array_join("w", "")), wc).alias("awl"),
         once_count(F.col("sw")).cast("long").alias("once"),
         F.bround(1 - F.size(F.array_distinct("n")) / nl, 4).alias("rep"),
         share(ends("?"), nl).alias("q"), share(ends("!"), nl).alias("excl"), share(one, nl).alias("one_word"),
-        longest.alias("longest_word"),
-        nl.cast("long").alias("line_count"), "n",
+        share(F.size(F.filter("_p", lambda x: x)), F.size("_p")).alias("rhyme"),
+        longest_of(F.col("w")).alias("longest_word"),
+        nl.cast("long").alias("line_count"),
+        F.transform("l", lambda x: F.regexp_count(F.lower(x), F.lit(TOKEN)).cast("long")).alias("line_words"),
+        F.when(often, F.col("_top.t")).otherwise("").alias("top_line"),
+        F.when(often, F.col("_top.c")).otherwise(0).cast("long").alias("top_line_n"),
+        F.when(often, F.filter(F.transform("n", lambda x, i: F.when(x == F.col("_top.t"), i.cast("long"))), lambda x: x.isNotNull())).otherwise(F.array().cast("array<bigint>")).alias("top_line_at"),
+        share(hooked, nl).alias("hook"),
     )
-    lines = base.select("song_id", F.posexplode("n").alias("at", "norm"))
-    counts = lines.groupBy("song_id", "norm").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
-    tops = counts.groupBy("song_id").agg(F.max(F.struct("c", -F.col("first"), "norm")).alias("t"), F.sum(F.when(F.col("c") >= 3, F.col("c")).otherwise(0)).alias("hooked"))
-    out = base.drop("n").join(tops, "song_id")
-    often = F.col("t.c") >= 3
-    return out.select(*[c for c in base.columns if c != "n"], F.when(often, F.col("t.norm")).otherwise("").alias("top_line"), F.when(often, F.col("t.c")).otherwise(0).cast("long").alias("top_line_n"), share(F.col("hooked"), F.col("line_count")).alias("hook"))
 
 
 def word_counts(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -144,18 +185,17 @@ def title_drops(songs: DataFrame) -> DataFrame:
 
 
 def drop_lines(songs: DataFrame) -> DataFrame:
-    """``song_id, at``: the lines, from 0, that hold the title."""
-    rows = with_arrays(songs).withColumn("k", norm_line(F.regexp_replace("title", r"\([^)]*\)|\[[^\]]*\]", ""))).where(F.length("k").between(3, 60))
+    """``song_id, at``: the lines, from 0, that hold a title of 3 to 60 characters and at most 6 words."""
+    rows = with_arrays(songs).withColumn("k", norm_line(F.regexp_replace("title", r"\([^)]*\)|\[[^\]]*\]", ""))).where(F.length("k").between(3, 60) & (F.size(F.split("k", " ")) <= 6))
     return rows.select("song_id", F.filter(F.transform("n", lambda x, i: F.when(F.contains(x, F.col("k")), i.cast("long"))), lambda x: x.isNotNull()).alias("at"))
 
 
 def rhyme_pairs(lines: DataFrame, ending: Column | None = None) -> DataFrame:
-    """``song_id, pairs, rhymes, rhyme``: neighbouring lines whose last three letters agree.
+    """``song_id, pairs, rhymes, rhyme``: neighbouring lines whose last three letters, without accents, agree.
 
-    Both endings must have three letters. The default ending folds no accents;
-    give ``functions.unicode.line_ending`` for one that does.
+    Both endings must have three letters.
     """
-    end = ending if ending is not None else F.right(F.regexp_replace(F.lower("line"), r"[^\p{L}]", ""), F.lit(3))
+    end = ending if ending is not None else line_ending(F.col("line"))
     pair = lines.withColumn("e", end).withColumn("p", F.lag("e").over(W.partitionBy("song_id").orderBy("line_no")))
     full = (F.length("e") == 3) & (F.length("p") == 3)
     sums = pair.groupBy("song_id").agg(F.count_if(full).alias("pairs"), F.count_if(full & (F.col("e") == F.col("p"))).alias("rhymes"))
@@ -170,4 +210,15 @@ def section_summary(sections: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("section_no", "kind"))), lambda x: x["kind"]).alias("kinds"),
         F.max(F.col("kind") != "other").alias("has_sections"), chorus.alias("c"), F.sum("n_lines").alias("n"),
     )
-    return out.select("song_id", "n_sections", F.array_join("kinds", ",").alias("kinds"), "has_sections", share(F.col("c"), F.col("n")).alias("chorus_ratio"))
+    counted = F.transform(F.array_sort(F.array_distinct("kinds")), lambda k: F.concat(k, F.lit(":"), F.size(F.filter("kinds", lambda x: x == k)).cast("string")))
+    out = out.withColumn("kind_counts", F.array_join(counted, ","))
+    return out.withColumn("kinds", F.array_join("kinds", ",")).select("song_id", "n_sections", "kinds", "kind_counts", "has_sections", share(F.col("c"), F.col("n")).alias("chorus_ratio"))
+
+
+def lean_stats(stats: DataFrame, sections: DataFrame) -> DataFrame:
+    """``song_id, artist, wc, uniq, ttr, chorus, rep, has_sections, kinds`` of songs that have words, from stats and section summaries."""
+    rows = stats.where("word_count > 0").join(sections, "song_id", "left")
+    return rows.select(
+        "song_id", "artist", F.col("word_count").alias("wc"), F.col("unique_words").alias("uniq"), "ttr", F.coalesce("chorus_ratio", F.lit(0.0)).alias("chorus"),
+        F.col("repetition_ratio").alias("rep"), F.coalesce("has_sections", F.lit(False)).alias("has_sections"), F.coalesce("kinds", F.lit("")).alias("kinds"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strophe.functions.text import ascii_key, artist_name, big_number, minutes, ordinal, percent, slug, title_words, unslug
+from strophe.functions.text import artist_name, big_number, minutes, name_key, ordinal, percent, slug, title_words, unslug
 from strophe.operators import lookup
 from strophe.plans.sqltext import SONGS
 from strophe.sources.sinks import fill_missing, size_report, upsert
@@ -23,7 +23,7 @@ def names(spark, sf):
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select(ascii_key(F.col("display")).alias("key"), "display", "n")
+    return out.select(name_key(F.col("display")).alias("key"), "display", "n")
 
 
 def name_keys(spark, sf):
@@ -44,7 +44,7 @@ def tiered_lookup(spark, sf):
 
 
 def did_you_mean(spark, sf):
-    asked = spark.createDataFrame([(t,) for t in TYPOS], "name string").withColumn("key", ascii_key(F.col("name")))
+    asked = spark.createDataFrame([(t,) for t in TYPOS], "name string").withColumn("key", name_key(F.col("name")))
     return lookup.did_you_mean(names(spark, sf), asked)
 
 
@@ -127,10 +127,10 @@ QUERIES = {
     )
 }
 
-KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+KEY = r"regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]', '', 'g')"
 NAMES = f"""names as (select {KEY.format("display")} key, display, n from (
 select n_name display, n_nationkey::bigint n from nation union all select r_name, r_regionkey::bigint from region union all select s_name, s_suppkey from supplier union all select c_name, c_custkey from customer))"""
-SLUG = r"regexp_replace(regexp_replace(lower(display), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g')"
+SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(display)), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g')"
 PREFIX_SQL = ", ".join(f"('{p}')" for p in PREFIXES)
 TYPO_SQL = ", ".join(f"('{p}')" for p in TYPOS)
 ASKED = """asked as (select request_id, tier, {} k from (

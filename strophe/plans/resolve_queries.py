@@ -123,7 +123,7 @@ from own a left join own b on a.fp = b.fp and a.artist <> b.artist group by 1, 2
 
 
 def squashed(c: str) -> str:
-    return rf"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(strip_accents(lower({c})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
 def canonical_sql(c: str) -> str:

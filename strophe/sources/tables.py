@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """Spreads input that has fewer splits than the cluster has cores.
+    """Spreads input of fewer files than the cluster has cores.
 
-    A file of one row group is one split, and per-text work would run in one
-    task. Input of many splits is left as it is.
+    A small file has one row group and so one task with rows, however many
+    splits it is planned in. Input of many splits or files is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,18 +23,91 @@ def test_percentiles(spark):
     assert len(cuts) == 101 and cuts[0] == 0 and cuts[50] == 500 and cuts[100] == 999
 
 
+def test_archive(spark):
+    schema = "wc long, uniq long, ttr double, rep double, hook double, rhyme double, drops long, awl double, q double, one_word double, wpm double, first_s double, gap_s double, fast15 long, duration double, has_synced boolean"
+    one = lambda **k: tuple({"wc": 100, "uniq": 50, "ttr": 0.5, "rep": 0.1, "hook": 0.1, "rhyme": 0.1, "drops": 1, "awl": 4.0, "q": 0.0, "one_word": 0.0, "wpm": 90.0, "first_s": 1.0, "gap_s": 2.0, "fast15": 9, "duration": 60.0, "has_synced": True, **k}.values())
+    rows = spark.createDataFrame([one(), one(wc=29), one(wc=2001), one(has_synced=False), one(wpm=401.0), one(duration=29.0)], schema)
+    got = corpus.archive_metrics(rows).collect()
+    assert [(r.wpm, r.first_s) for r in got] == [(90.0, 1.0), (90.0, None), (None, 1.0), (None, 1.0)]
+    assert {r.metric for r in corpus.quantile_cuts(corpus.archive_metrics(rows), list(corpus.SONG_METRICS), 3).collect()} == set(corpus.SONG_METRICS) - {"wpm"}
+
+
+def test_value_places(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [rng.choice([0.0, 1e-9, 1.0, rng.random(), 1e12]) for _ in range(800)]
+    rows = spark.createDataFrame([("m", v) for v in values] + [("k", 5.0)] * 3, "metric string, value double")
+    got = {(r.metric, r.value): (r.c, r.below, r.n) for r in corpus.value_places(rows, 16).collect()}
+    assert got == {("k", 5.0): (3, 0, 3), **{("m", v): (values.count(v), sum(x < v for x in values), 800) for v in values}}
+
+
+def test_phrases(spark):
+    df = spark.createDataFrame([(3, 385, 78), (374, 385, 39), (1, 1, 50)], "r long, n long, p long")
+    got = df.select(corpus.standing_phrase(F.col("r"), F.col("n")), corpus.percentile_phrase(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [("3rd longest of 385", "longer than 78% of songs"), ("12th shortest of 385", "shorter than 61% of songs"), ("1st shortest of 1", "longer than 50% of songs")]
+    points = spark.createDataFrame([("a", i, i) for i in range(1000)], "artist string, song_id long, wc long")
+    got = [r.value for r in corpus.catalogue_points(points, "wc").orderBy("point").collect()]
+    assert got == [int(i * 1000 / 240) for i in range(240)]
+
+
 def test_standing(spark):
     rows = spark.createDataFrame([("a", 1, 300), ("a", 2, 400), ("a", 3, 100)], "artist string, song_id long, wc long")
     got = {r.song_id: (r["rank"], r["of"], r["median"], r.low, r.high) for r in corpus.catalogue_standing(rows, "wc").collect()}
     assert got[3] == (3, 3, 300, 100, 400) and got[2][0] == 1
 
 
-def test_signatures(spark):
+def test_exclusive(spark):
     words = [("a", "river", 12, 8), ("a", "the", 90, 9), ("b", "the", 90, 9), ("a", "stone", 4, 2), ("b", "stone", 40, 9)]
     df = spark.createDataFrame(words, "artist string, word string, uses long, spread long")
     assert [(r.artist, r.word) for r in corpus.exclusive_words(df, ("the",)).collect()] == [("a", "river")]
-    counts = spark.createDataFrame([("a", 10), ("b", 10)], "artist string, songs long")
-    assert {(r.artist, r.word) for r in corpus.signature_score(df, counts, ("the",)).collect()} == {("a", "river")}
+
+
+def test_signatures(spark):
+    """A vocable, a label, a name, a footer, grammar and a foreign word are set aside; one recurring word is left."""
+    spread = {"river": (40, 30), "la": (90, 40), "chorus": (60, 40), "moss": (50, 30), "tape": (12, 12), "the": (300, 60), "cos": (40, 30), "muro": (30, 20), "booking": (40, 30), "stone": (400, 50), "oh": (80, 40)}
+    words = [("a", w, u, s) for w, (u, s) in spread.items()] + [(f"b{i}", "stone", 20, 9) for i in range(500)] + [(f"c{i}", "muro", 20, 9) for i in range(9)]
+    df = spark.createDataFrame(words, "artist string, word string, uses long, spread long")
+    people = [("a", "The Moss", "en", 60)] + [(f"b{i}", f"b{i}", "en", 20) for i in range(500)] + [(f"c{i}", f"c{i}", "it", 20) for i in range(9)]
+    artists = spark.createDataFrame(people, "artist string, display string, lang string, songs long")
+    frequency = spark.createDataFrame([("en", "stone", 501), ("it", "muro", 9), ("en", "river", 1)], "lang string, word string, n long")
+    credits = spark.createDataFrame([("a", "booking", 25)], "artist string, word string, credited long")
+    usable = corpus.usable_words(df, artists, frequency, credits, ("the",), ("en", "it"))
+    assert {r.word for r in usable.where("artist = 'a'").collect()} == {"river", "stone"}
+    assert [(r.word, r.score > 0) for r in corpus.signature_score(usable).where("artist = 'a'").collect()] == [("river", True)]
+    assert [(r.word, r.share) for r in corpus.staple(df, usable).where("artist = 'a'").collect()] == [("stone", 0.833)]
+
+
+def test_lists_of_titles():
+    """Parts that mark pages of other kinds, as the catalogue has them."""
+    from strophe.functions.words import ALL_STOPWORDS, NOT_SONGS
+
+    assert NOT_SONGS[:19] == ("interview", "discography", "tracklist", "tracklisting", "booklet", "conference call", "setlist", "annotated", "tour dates", "album art", "cover art", "liner notes", "press release", "(album)", "full album", "q&a", "biography", "snippet", "teaser")
+    assert len(NOT_SONGS) == 49 and {"yeah", "k'o", "njihov"} <= set(ALL_STOPWORDS)
+
+
+def test_non_songs(spark):
+    rows = [("Tour Dates 2011", 300, "title"), ("Discography", 300, "title"), ("Evening Interlude", 20, None), ("Short", 20, "short"), ("Long", 2001, "long"), ("River Q&A", 300, "title"), ("Long Live (live)", 300, None), ("River (live)", 300, "pattern"), ("River", 300, None)]
+    df = spark.createDataFrame([(*r, ["x"]) for r in rows], "t string, wc long, want string, w array<string>")
+    got = df.select("t", "want", classify.non_song_reason(F.col("t"), F.col("wc"), F.lit(0.4), F.col("w")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == [(r.t, r.want) for r in got]
+
+
+def test_quotes_and_motifs(spark):
+    schema = "artist string, song_id long, title string, top_line string, top_line_n long"
+    lines = spark.createDataFrame([("moss", 1, "River (Live)", "down the river we go again", 9), ("moss", 2, "River", "the river is wide", 3), ("moss", 3, "River (x vs. y)", "river river river again now", 9), ("moss", 4, "River (Moss Remix)", "river under the moon tonight", 9), ("moss", 5, "R", "river", 9)], schema)
+    words = spark.createDataFrame([("moss", "river")], "artist string, word string")
+    assert [(r.line, r.title, r.times) for r in corpus.hook_quotes(lines, words).collect()] == [("the river is wide", "River", 3)]
+    own = spark.createDataFrame([("moss", 1, "moss"), ("moss", 2, "ooh"), ("moss", 3, "river")], "artist string, rank long, word string")
+    people = spark.createDataFrame([("moss", "Moss"), ("reed", "Reed")], "artist string, display string")
+    top = spark.createDataFrame([("reed", 1, "ah"), ("reed", 2, "ooh")], "artist string, rank long, word string")
+    motifs = corpus.motif_word(own, top, people, ("ooh",))
+    assert sorted((r.artist, r.word) for r in motifs.collect()) == [("moss", "river"), ("reed", "ooh")]
+    sung = spark.createDataFrame([("moss", 1, 0, "river river river river"), ("moss", 1, 1, "Take me down to the river"), ("moss", 2, 0, "[river]")], "artist string, song_id long, line_no long, line string")
+    assert [(r.line, r.score) for r in corpus.motif_quotes(sung, motifs).collect()] == [("Take me down to the river", 30)]
+    counted = spark.createDataFrame([("moss", "river", 9, 5), ("moss", "stone", 3, 1), ("reed", "ooh", 2, 1)], "artist string, word string, uses long, spread long")
+    reviews = spark.createDataFrame([("moss", "stone"), ("reed", "never sung")], "artist string, word string")
+    assert sorted((r.artist, r.word, r.curated) for r in corpus.curated_motifs(motifs, reviews, counted).collect()) == [("moss", "stone", True), ("reed", "ooh", False)]
 
 
 def test_highlights(spark):

@@ -57,6 +57,23 @@ def test_sections(spark):
     assert [k[0] for k in kinds] == ["bridge", "chorus", "other"]
 
 
+def test_two_decimals_and_marks(spark):
+    r = song.song_stats(one(spark, "[Verse]\naa bb\nccc\n[Empty]\n[Chorus]\nd e f")).first()
+    assert (r.avg_word_length, r.avg_words_per_line, r.section_count) == (1.67, 2.0, 2)
+    r = song.song_reading(one(spark, "one two\nla la la\nla la la\nLA  la la")).first()
+    assert (r.top_line_at, r.line_words, r.awl, r.rhyme) == ([1, 2, 3], [2, 3, 3, 3], 2.18, 0.6667)
+    long_title = one(spark, "a b c d e f g\nz", "a b c d e f g")
+    assert song.drop_lines(long_title).count() == 0 and song.title_drops(long_title).first().drops == 0
+
+
+def test_accents_fold(spark):
+    df = spark.createDataFrame([("Beyoncé",), ("BEYONCE\u0301",), ("Straße Ñ Ø",)], "n string")
+    got = df.select(text.name_key(F.col("n")), text.slug(F.col("n")), text.name_tokens(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["beyonce", "beyonce", "straßenø"] and got[0][2] == ["beyonce", "beyoncé"]
+    both = df.select(text.name_key(F.col("n")).alias("a"), unicode.name_key("n").alias("b")).collect()
+    assert all(r.a == r.b for r in both)
+
+
 def test_clean_raw(spark):
     raw = "12 Contributors\r\nSome Song Lyrics\nfirst line\nYou might also like that\nsecond line12Embed"
     assert one(spark, raw).select(text.clean_raw(F.col("lyrics"))).first()[0] == "first line\nsecond line"
