@@ -1,18 +1,23 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are fitted, one to target text (rows
-labelled good), one to raw text (all rows). The log of their ratio is a
-document's importance weight; adding Gumbel noise and taking the k largest
-samples k documents without replacement in proportion to the weights.
+labelled good), one to raw text (all rows). The mean log of their ratio over a
+document's n-grams, for a passage of ``PASSAGE`` of them, is its log weight;
+adding Gumbel noise and taking the k largest samples k documents without
+replacement in proportion to the weights. (A mean, as over whole texts the sums
+differ by so much that the longest would win whatever the noise.)
 
 N-grams are those of the words (without case) and those of the words' shapes
 (case, digits, which punctuation, repeats of the word before), one and two
 long. Counting and scoring stream over Arrow batches; what is gathered from
-the corpus is one vector of counts per task, added up by bucket.
+the corpus is one vector of counts per task, added up by bucket. The number of
+buckets grows with the corpus, up to ``MOST_BUCKETS``, which bounds what is
+broadcast (8 MB).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import Tables, ship, small_batches
 
-#: Buckets of the hashed n-grams: the first half for words, the second for shapes.
-BUCKETS = 1 << 14
+#: Buckets of the hashed n-grams (the first half for words, the second for shapes): a power of two, one for so many bytes of text.
+BUCKETS, MOST_BUCKETS, BYTES_PER_BUCKET = 1 << 14, 1 << 20, 512
+#: Share of the raw model that is mixed into the target model, so that n-grams the sample lacks are rare there, not absent; n-grams of a passage.
+SMOOTH, PASSAGE = 0.1, 32
 BLANK, LETTER, CAPITAL, DIGIT, MARK = range(5)
 
 
@@ -117,12 +124,20 @@ def fit_sample(labels: DataFrame, sample: int) -> DataFrame:
     return one.select("doc_id", (F.col("a") > 0).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0).alias("test")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int = BUCKETS, smooth: float = 1.0) -> np.ndarray:
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets for the corpus: a power of two near its bytes over ``BYTES_PER_BUCKET``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << round(math.log2(max(1, size / BYTES_PER_BUCKET)))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int | None = None, smooth: float = SMOOTH) -> np.ndarray:
     """Log ratio of target and raw model for each bucket. All rows count in the raw model.
 
-    ``sample`` bounds the labelled rows, and so what is broadcast.
+    ``sample`` bounds the labelled rows, and so what is broadcast. Without
+    labelled good rows the ratio is 0.
     """
     known = fit_sample(labels, sample)
+    buckets = buckets or bucket_count(docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").select("text", F.coalesce(F.col("good") & ~F.col("test"), F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,20 +153,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int =
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used].astype(np.int64)), pa.array(target[used].astype(np.int64))], names=["bucket", "raw", "target"])
 
     with small_batches(docs.sparkSession):
-        sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    both = np.full((2, buckets), smooth)
-    for r in sums:
-        both[:, r.bucket] += r.target, r.raw
-    if both[0].sum() <= smooth * buckets:
+        sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    raw, target = np.ones(buckets), np.zeros(buckets)
+    raw[sums["bucket"]] += sums["raw"]
+    target[sums["bucket"]] += sums["target"]
+    if not target.any():
         return np.zeros(buckets)
-    parts = [(0, buckets // 2), (buckets // 2, buckets)]
-    for a, b in parts:
-        both[:, a:b] /= both[:, a:b].sum(axis=1, keepdims=True)
-    return np.log(both[0]) - np.log(both[1])
+    ratio = np.empty(buckets)
+    for half in (slice(0, buckets // 2), slice(buckets // 2, buckets)):
+        r = raw[half] / raw[half].sum()
+        ratio[half] = np.log((target[half] / max(target[half].sum(), 1.0) + smooth * r) / (1 + smooth)) - np.log(r)
+    return ratio
 
 
-def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``doc_id, log_ratio`` for each row; 0 for texts without words."""
+def score(docs: DataFrame, ratio: np.ndarray, passage: int = PASSAGE) -> DataFrame:
+    """``doc_id, log_ratio`` for each row: ``passage`` times the mean over its n-grams; 0 for texts without words."""
     buckets = len(ratio)
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -159,21 +175,21 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 ids, owner = features(encoded(batch.column("text")), buckets)
-                z = np.bincount(owner, held.value[ids], minlength=batch.num_rows)
+                n = np.bincount(owner, minlength=batch.num_rows)
+                z = np.bincount(owner, held.value[ids], minlength=batch.num_rows) * passage / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(z, 6))], names=["doc_id", "log_ratio"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_ratio double")
 
 
-def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0.999, margin: float = 8.0) -> float:
-    """The log ratio above which documents count as good.
+def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0.999) -> float:
+    """The log ratio from which on documents look like the target.
 
-    Of the rows held out from the fit, good and bad, the fewest are on the wrong
-    side of it (the lowest such cut counts), so wrong labels hardly move it
-    while they are fewer than the bad rows. It is lower by ``margin``, which is
-    wider than the noise reaches downwards, so good text isn't lost to the
-    noise. Without bad rows: all but ``1 - share_kept`` of the good ones are
+    Of the rows held out from the fit, good and bad, the fewest are on the
+    wrong side of it; of equal cuts the lowest, half way down to the next
+    row. So wrong labels hardly move it while they are fewer than the bad
+    rows. Without bad rows: all but ``1 - share_kept`` of the good ones are
     above it. Without good rows: no cut.
     """
     known = fit_sample(labels, sample).where("test").select("doc_id", "good")
@@ -184,9 +200,10 @@ def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0
     if not len(good):
         return float("-inf")
     if not len(bad):
-        return float(good[int(len(good) * (1 - share_kept))]) - margin
+        return float(good[int(len(good) * (1 - share_kept))])
     wrong = np.searchsorted(good, z, "left") + len(bad) - np.searchsorted(bad, z, "left")
-    return float(z[np.argmin(wrong)]) - margin
+    at = int(np.argmin(wrong))
+    return float((z[at] + z[max(0, at - 1)]) / 2)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -211,25 +228,35 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def select(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = 20_000, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
+def gumbel_top_k(weighted: DataFrame, k: int, seed: int, tables: Tables) -> DataFrame:
+    """``weighted`` (``doc_id, log_ratio``) with ``key`` and ``selected``: k rows drawn without replacement in proportion to the weights.
+
+    ``key`` is the log weight plus Gumbel noise from a hash of the id; the k
+    largest are selected, and rows that tie with the k-th.
+    """
+    noise = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    keyed = tables.write(weighted.withColumn("key", F.col("log_ratio") - F.log(-F.log(noise))).withColumn("_key", F.round(F.col("key") * 1e6).cast("long")))
+    least = kth_largest(keyed, "_key", k) if k > 0 else None
+    chosen = F.lit(k > 0) if least is None else F.col("_key") >= F.lit(least)
+    return keyed.select("doc_id", "log_ratio", "key", chosen.alias("selected"))
+
+
+def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = 20_000, buckets: int | None = None, seed: int = 17) -> DataFrame:
     """``doc_id, log_ratio, key, selected`` for each row of ``docs``.
 
-    ``key`` is the log ratio plus Gumbel noise from a hash of the id, and the
-    ``k`` largest keys are selected. Without ``k`` it is the number of rows
-    above the cut (see ``cut``), so good text is resampled whole. Rows that
-    tie with the k-th key are all selected. Null and empty texts score 0; a
-    repeated id draws the same noise each time. Without labels the ratio is 0
-    and all rows are selected. No rows in, no rows out.
+    ``keep`` is how many rows are drawn (a whole number) or which share of
+    them (a fraction below 1); without it, as many as look like the target
+    (see ``cut``). Null and empty texts weigh 1 (log 0); a repeated id draws
+    the same noise each time. Without labels all weigh the same, and without
+    ``keep`` all are selected. No rows in, no rows out.
     """
     tables = Tables(docs.sparkSession, "quality")
-    ratio = fit(docs, labels, sample, buckets)
-    noise = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    scored = tables.write(score(docs, ratio).withColumn("key", F.col("log_ratio") - F.log(-F.log(noise))).withColumn("_key", F.round(F.col("key") * 1e6).cast("long")))
-    if k is None:
+    scored = tables.write(score(docs, fit(docs, labels, sample, buckets)))
+    if keep is None:
         k = scored.where(F.col("log_ratio") >= cut(scored, labels, sample)).count()
-    least = kth_largest(scored, "_key", k) if k else None
-    chosen = F.lit(k > 0) if least is None else F.col("_key") >= F.lit(least)
-    return scored.select("doc_id", "log_ratio", "key", chosen.alias("selected"))
+    else:
+        k = round(keep * scored.count()) if 0 < keep < 1 else int(keep)
+    return gumbel_top_k(scored, k, seed, tables)
 
 
 ship(__name__)

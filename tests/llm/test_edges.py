@@ -96,7 +96,7 @@ def test_quality(spark, docs, none):
     assert len(got) == len(rows()) and all(r.log_ratio == 0 for r in got if r.doc_id in (2, 3, 4))
     assert all(r.selected for r in quality.select(docs, spark.createDataFrame([], LABELS)).collect())
     assert quality.select(none, labels).count() == 0
-    assert len([r for r in quality.select(docs, labels, k=5).collect() if r.selected]) >= 5
+    assert len([r for r in quality.select(docs, labels, keep=5).collect() if r.selected]) >= 5
 
 
 def test_secrets(docs, none, spark):

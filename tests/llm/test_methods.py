@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 from urllib.parse import urljoin, urlsplit
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from strophe.llm import exact, packing, urls
+from strophe.llm import exact, packing, quality, urls
+from strophe.llm.common import Tables
 
 
 def plain_node(url: str | None) -> str:
@@ -147,3 +150,51 @@ def test_packing_is_the_same_on_any_number_of_partitions(spark):
             bins.setdefault((r.bin_id, r.seq_len), []).append(r.n_words)
     assert all(sum(v) <= size for (_, size), v in bins.items()) and len({b for b, _ in bins}) == len(bins)
     assert len({b >> 32 for b, _ in bins}) > 5
+
+
+def test_draws_follow_the_weights(spark):
+    weights = (1.0, 2.0, 6.0)
+    rows = [(i, float(np.log(weights[i % 3]))) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, log_ratio double")
+    got = quality.gumbel_top_k(df, 900, 5, Tables(spark, "test")).where("selected").select(F.pmod("doc_id", F.lit(3)).alias("w")).groupBy("w").count().collect()
+    n = {r.w: r["count"] for r in got}
+    assert sum(n.values()) == 900
+    # without replacement, from so many rows, nearly in proportion: 100, 200 and 600 are expected
+    assert all(abs(n[k] - 900 * w / 9) < 4 * (900 * w / 9) ** 0.5 for k, w in enumerate(weights))
+    again = quality.gumbel_top_k(df.repartition(7), 900, 5, Tables(spark, "test")).where("selected")
+    other = quality.gumbel_top_k(df, 900, 6, Tables(spark, "test")).where("selected")
+    first = {r.doc_id for r in quality.gumbel_top_k(df, 900, 5, Tables(spark, "test")).where("selected").collect()}
+    assert {r.doc_id for r in again.collect()} == first and {r.doc_id for r in other.collect()} != first
+
+
+def plain_ratio(docs, target, buckets):
+    """The two models and the mean log ratio, text by text."""
+    raw, good = np.ones(buckets), np.zeros(buckets)
+    grams = {d: quality.features([(t or "").encode()], buckets)[0] for d, t in docs}
+    for d, g in grams.items():
+        for b in g:
+            raw[b] += 1
+            good[b] += d in target
+    out = {}
+    for d, g in grams.items():
+        z = 0.0
+        for b in g:
+            half = slice(0, buckets // 2) if b < buckets // 2 else slice(buckets // 2, buckets)
+            r = raw[b] / raw[half].sum()
+            z += np.log((good[b] / good[half].sum() + quality.SMOOTH * r) / (1 + quality.SMOOTH)) - np.log(r)
+        out[d] = quality.PASSAGE * z / len(g) if len(g) else 0.0
+    return out
+
+
+def test_weights_equal_plain_models(spark):
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choice(["river", "moss", "Stone", "a1", "!!", "the"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    target = {r.doc_id for r in quality.fit_sample(labels, 100).collect() if r.good and not r.test}
+    want = plain_ratio(docs, target, 1 << 8)
+    got = {r.doc_id: r.log_ratio for r in quality.select(df, labels, keep=0.5, buckets=1 << 8).collect()}
+    assert all(abs(got[d] - want[d]) < 1e-5 for d, _ in docs)
+    assert quality.select(df, labels, keep=0.5).where("selected").count() == 30
+    # the table of n-grams grows with the corpus
+    assert quality.bucket_count(df) == 1 << 14 and quality.bucket_count(df.select("doc_id", F.repeat("text", F.lit(300_000)).alias("text"))) > 1 << 18
