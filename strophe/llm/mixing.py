@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.llm.common import WORD
+from strophe.llm.common import WORD, Tables
 
+#: Copies of one row in a part.
+ALIKE = 4096
 #: Schedules by source rank, in turn: knots (time, relative weight), linear in between.
 RISING, FALLING, LEVEL = ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0))
 SCHEDULES = (RISING, FALLING, LEVEL)
@@ -81,19 +83,28 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     Null source: a source of its own, the last. Rows repeated in the input are
     rows of their own. ``hash_digits``: blocks of the prefix sums, in hex
     digits.
+
+    Texts are read once, for their sizes. Rows alike in id, source and size
+    are counted before anything is put in order, so an id (or none) that very
+    many rows share is one row of the prefix sums; very many copies of one
+    row are dealt to tasks in parts of ``ALIKE``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = Tables(docs.sparkSession, "mixing").write(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
     rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("block", F.left("h", F.lit(hash_digits)))
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("s"))
+    words = F.col("size") * F.col("copies")
+    blocks = rows.groupBy("source", "block").agg(F.sum(words).alias("s"))
     before = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
-    goals = source_targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "_s")
+    goals = source_targets(rows.select("source", words.alias("size")), weights, most).withColumnRenamed("source", "_s")
     ahead = blocks.join(goals, blocks["_s"].eqNullSafe(goals["_s"])).drop(goals["_s"])
     inside = W.partitionBy("source", "block").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("inner", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     rows = rows.join(ahead, rows["source"].eqNullSafe(ahead["_s"]) & (rows["block"] == ahead["_b"]))
-    place = F.col("ahead") + F.col("inner")
+    rows = each_copy(rows.withColumn("start", F.col("ahead") + F.col("inner")))
+    place = F.col("start") + F.col("size") * F.col("copy")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumns({"place": place, "whole": whole})
     part = (F.col("place") + F.col("size") / 2.0) <= (F.col("target") - F.col("whole") * F.col("source_size"))
@@ -104,6 +115,15 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "taken", "position", "place", "rank")
 
 
+def each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each of ``copies``, numbered from 0 in ``copy``; parts of many copies are dealt before they are spread out."""
+    few = rows.where(F.col("copies") <= ALIKE).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    parts = rows.where(F.col("copies") > ALIKE).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / ALIKE))))
+    first = F.col("_part") * ALIKE
+    many = parts.repartition("doc_id", "size", "_part").withColumn("copy", F.explode(F.sequence(first, F.least(first + ALIKE, F.col("copies")) - 1))).drop("_part")
+    return few.union(many.select(*few.columns))
+
+
 def due_time(words: Column, schedules=SCHEDULES) -> Column:
     """Training position of the word with this number in its source's stream."""
     share = F.least(F.greatest(words / F.greatest(F.col("target"), F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
@@ -117,8 +137,8 @@ def training_stream(docs: DataFrame, plan: DataFrame, schedules=SCHEDULES, id_co
     """``docs`` once for each epoch that ``plan`` takes, in order of training position.
 
     Range-sorted, so the order is global; its columns are those of ``docs``.
-    Rows that share an id need the same text and source here (one of their
-    plans holds for all).
+    ``id_col`` tells rows apart: rows that share an id are given a number of
+    their own first (see ``corpus_pipeline``), as one plan holds for an id.
     """
     one = plan.where("epochs > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("epochs", "place", "source_size", "size", "target", "rank")).alias("p")).select("_id", "p.*")
     one = one.withColumnsRenamed({c: f"_{c}" for c in ("epochs", "place", "source_size", "size", "target", "rank")})

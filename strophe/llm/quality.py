@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int |
     return ratio
 
 
-def score(docs: DataFrame, ratio: np.ndarray, passage: int = PASSAGE) -> DataFrame:
-    """``doc_id, log_ratio`` for each row: ``passage`` times the mean over its n-grams; 0 for texts without words."""
+def score(docs: DataFrame, ratio: np.ndarray, passage: int = PASSAGE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys..., log_ratio`` for each row: ``passage`` times the mean over its n-grams; 0 for texts without words."""
     buckets = len(ratio)
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -177,10 +177,10 @@ def score(docs: DataFrame, ratio: np.ndarray, passage: int = PASSAGE) -> DataFra
                 ids, owner = features(encoded(batch.column("text")), buckets)
                 n = np.bincount(owner, minlength=batch.num_rows)
                 z = np.bincount(owner, held.value[ids], minlength=batch.num_rows) * passage / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(z, 6))], names=["doc_id", "log_ratio"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(np.round(z, 6))], names=[*keys, "log_ratio"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_ratio double")
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, log_ratio double")
 
 
 def cut(scored: DataFrame, labels: DataFrame, sample: int, share_kept: float = 0.999) -> float:
@@ -238,11 +238,11 @@ def gumbel_top_k(weighted: DataFrame, k: int, seed: int, tables: Tables) -> Data
     keyed = tables.write(weighted.withColumn("key", F.col("log_ratio") - F.log(-F.log(noise))).withColumn("_key", F.round(F.col("key") * 1e6).cast("long")))
     least = kth_largest(keyed, "_key", k) if k > 0 else None
     chosen = F.lit(k > 0) if least is None else F.col("_key") >= F.lit(least)
-    return keyed.select("doc_id", "log_ratio", "key", chosen.alias("selected"))
+    return keyed.withColumn("selected", chosen).drop("_key")
 
 
-def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = 20_000, buckets: int | None = None, seed: int = 17) -> DataFrame:
-    """``doc_id, log_ratio, key, selected`` for each row of ``docs``.
+def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample: int = 20_000, buckets: int | None = None, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, log_ratio, key, selected`` for each row of ``docs``, and its columns ``carry`` (such as a row's own number).
 
     ``keep`` is how many rows are drawn (a whole number) or which share of
     them (a fraction below 1); without it, as many as look like the target
@@ -251,7 +251,7 @@ def select(docs: DataFrame, labels: DataFrame, keep: float | None = None, sample
     ``keep`` all are selected. No rows in, no rows out.
     """
     tables = Tables(docs.sparkSession, "quality")
-    scored = tables.write(score(docs, fit(docs, labels, sample, buckets)))
+    scored = tables.write(score(docs, fit(docs, labels, sample, buckets), keys=("doc_id", *carry)))
     if keep is None:
         k = scored.where(F.col("log_ratio") >= cut(scored, labels, sample)).count()
     else:
