@@ -14,20 +14,27 @@ from strophe.llm import exact, mixing, neardup, packing, quality
 from strophe.llm.common import Tables
 
 
-def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling against the labelled good text; rejected documents go.
-
-    Rows that share an id share the fate of the best of them.
-    """
-    chosen = quality.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-
-
 def own_ids(docs: DataFrame) -> bool:
     """Whether each row has an id of its own."""
     return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key for each row: the id, or a number in order of id and text where rows share an id or have none."""
+    if own_ids(docs):
+        return docs, "doc_id"
+    numbered = docs.sort(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn("_row", F.monotonically_increasing_id())
+    return Tables(spark, "pipeline").write(numbered), "_row"  # written, as the numbers must stay as they are
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling against the labelled good text; rejected documents go, each row on its own."""
+    columns, (docs, key) = docs.columns, keyed(spark, docs)
+    chosen = quality.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("_row",) if key == "_row" else ())
+    chosen = chosen.where("selected").select(F.col(key).alias("_id"))
+    return docs.join(chosen, docs[key] == chosen["_id"], "left_semi").select(*columns)
+
+
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id stays; of rows that repeat that id too, one."""
     columns = docs.columns
@@ -39,22 +46,16 @@ def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest id stays.
-
-    Rows that share an id, or have none, get a number in order of id and text.
-    """
-    columns, key = docs.columns, "doc_id"
-    if not own_ids(docs):
-        key = "_row"
-        numbered = docs.sort(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))).withColumn(key, F.monotonically_increasing_id())
-        docs = Tables(spark, "pipeline").write(numbered)  # the numbers must stay as they are
+    """Of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest id stays."""
+    columns, (docs, key) = docs.columns, keyed(spark, docs)
     kept = neardup.near_dedup(docs, words=5, percent=80, id_col=key).where("kept").select(F.col("doc_id").alias("_id"))
     return docs.join(kept, docs[key] == kept["_id"], "left_semi").select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights along the curriculum: a document once for each epoch it is taken."""
-    return mixing.training_stream(docs, mixing.plan_mixture(docs))
+    columns, (docs, key) = docs.columns, keyed(spark, docs)
+    return mixing.training_stream(docs, mixing.plan_mixture(docs, id_col=key), id_col=key).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_filter), ("exact dedup", exact_filter), ("near dedup", near_filter), ("mix sources", mix), ("pack", pack)]
 
-#: SQL can't express the trained classifier of the first stage; tests compare the stages with plain versions.
+#: SQL can't express the trained classifier of the first stage; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
