@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives (DataFrame and SQL functions only).
 
-Candidates are long runs of key-like characters in whole texts. Each gets
+Candidates are long runs of key-like characters in whole texts, and shorter
+values of any signs where the words before announce a secret. Each gets
 features of its length, character transitions, dictionary coverage, path and
 neighbouring words, and a random forest trained on labelled findings decides
 which are secrets. The trees are turned into one SQL expression, so scoring
@@ -16,9 +17,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.llm.findings import LINES
+
 #: A candidate inside a word, and words that announce a secret or a mere digest.
 CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
-ANNOUNCES = r"(?i)token|secret|passw|api_?key|auth|credential|bearer|private"
+ANNOUNCES = r"(?i)token|secret|passw|pwd|api[_-]?key|auth|credential|bearer|private"
+#: A shorter candidate: eight signs or more after a word that announces it, in an assignment or said in prose; and what of a word is its value.
+SHORT = r"(?i)(?:token|secret|passw|pwd|api[_-]?key|auth|credential|bearer|private)\w*[\"'`]?(?:\s*(?:[=:]+|=>)|\s+is|)\s*[\"'`(]*[^\s\"'`=:()]{8,}\S*$"
+VALUE = r"^(?:\S*[=:(])?[\"'`(]*([^\s\"'`=:()]{8,}?)[\"'`,;.)#&]*(?:[\"'`,;)#&]\S*)?$"
 DIGESTS = r"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|rev"
 #: The dictionary for coverage (words and endings common in identifiers and prose).
 DICTIONARY = (
@@ -127,27 +133,51 @@ def forest_expression(model: RandomForestClassificationModel) -> Column:
     return F.expr("(" + " + ".join(votes) + f") / {len(votes)}.0D")
 
 
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
+    """``doc_id, source, word_no, part, word, before, value``: each run of key-like signs, and each shorter value that the words before it announce."""
+    source = F.col(source_col) if source_col else F.lit(None).cast("string")
+    text = F.col(text_col)
+    some = docs.where(text.rlike(CANDIDATE) | text.rlike(ANNOUNCES)).select(F.col(id_col).alias("doc_id"), source.alias("source"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
+
+    def hit(word: Column, i: Column) -> Column:
+        before = F.concat_ws(" ", F.get(F.col("words"), i - 2), F.get(F.col("words"), i - 1))
+        long = word.rlike(CANDIDATE)
+        short = ~long & (F.length(word) >= 8) & F.concat_ws(" ", before, word).rlike(SHORT) & (F.regexp_extract(word, VALUE, 1) != "")
+        return F.when(long | short, F.struct(i.cast("long").alias("word_no"), word.alias("word"), before.alias("before"), long.alias("long")))
+
+    found = some.select("doc_id", "source", F.explode(F.filter(F.transform("words", hit), lambda x: x.isNotNull())).alias("c")).select("doc_id", "source", "c.*")
+    runs = F.when(F.col("long"), F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array(F.regexp_extract("word", VALUE, 1)))
+    found = found.select("doc_id", "source", "word_no", "word", "before", F.posexplode(runs).alias("part", "run"))
+    # signs that belong to an assignment are not part of the value
+    return found.select("doc_id", "source", "word_no", "word", "before", F.col("part").cast("long").alias("part"), F.regexp_replace("run", r"^[A-Za-z_-]*=(?=.{16})|^[=\-/]+(?=[^=\-/])", "").alias("value"))
+
+
+def reviewed_findings(spark: SparkSession, held_out: bool) -> DataFrame:
+    """``value, word, before, source, secret`` of the hand-labelled lines (``findings``): those held out, or those to train on."""
+    rows = [(k, t, s, v) for k, (t, s, v) in enumerate(LINES) if (k % 2 == 1) == held_out]
+    lines = spark.createDataFrame(rows, "doc_id long, text string, source string, answer string")
+    found = candidates(lines).join(lines.select("doc_id", "answer"), "doc_id")
+    return found.select("value", "word", "before", "source", F.coalesce(F.col("value") == F.col("answer"), F.lit(False)).cast("double").alias("secret"))
+
+
+def training_findings(spark: SparkSession) -> DataFrame:
+    """The reviewed findings to train on, each as often as makes them a third of the whole, and the made-up ones."""
+    own = reviewed_findings(spark, False).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("again")
+    return labelled_findings(spark).union(own)
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, model: RandomForestClassificationModel | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
     """``doc_id, word_no, part, length, secret_sha256, votes, is_secret`` for each candidate.
 
     ``word_no`` counts the text's words from 0 and ``part`` the candidates in
     the word; the value itself is not returned, only its digest. Null and empty
     texts have no candidates; a null source counts as empty. Repeated rows are
-    scanned as often as they stand.
+    scanned as often as they stand. Without ``findings`` or a ``model`` the
+    forest learns from ``training_findings``.
     """
     spark = docs.sparkSession
-    model = model or train(labelled_findings(spark) if findings is None else findings)
-    source = F.col(source_col) if source_col else F.lit(None).cast("string")
-    some = docs.where(F.col(text_col).rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), source.alias("source"), F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
-
-    def hit(word: Column, i: Column) -> Column:
-        before = F.concat_ws(" ", F.get(F.col("words"), i - 2), F.get(F.col("words"), i - 1))
-        return F.when(word.rlike(CANDIDATE), F.struct(i.cast("long").alias("word_no"), word.alias("word"), before.alias("before")))
-
-    found = some.select("doc_id", "source", F.explode(F.filter(F.transform("words", hit), lambda x: x.isNotNull())).alias("c")).select("doc_id", "source", "c.*")
-    found = found.select("doc_id", "source", "word_no", "word", "before", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "run"))
-    # signs that belong to an assignment are not part of the value
-    found = found.select("doc_id", "source", "word_no", "word", "before", F.col("part").cast("long").alias("part"), F.regexp_replace("run", r"^[A-Za-z_]*=(?=.{16})|^[=\-/]+(?=[^=\-/])", "").alias("value"))
+    model = model or train(training_findings(spark) if findings is None else findings)
+    found = candidates(docs, id_col, text_col, source_col)
     rows = found.withColumns(features(F.col("value"), F.col("word"), F.col("before"), F.col("source")))
     rows = rows.withColumn("votes", F.round(forest_expression(model), 6))
     return rows.select("doc_id", "word_no", "part", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("secret_sha256"), "votes", (F.col("votes") > threshold).alias("is_secret"))
