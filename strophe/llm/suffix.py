@@ -15,9 +15,9 @@ strings in them), so the corpus can be dealt into shards by anchor:
    induced sorting (suffixes are classified, leftmost-smaller substrings are
    sorted recursively, and the array is induced in two linear scans), and the
    permuted common prefixes show which windows are equal;
-4. an anchor with very many different segments (a passage that stands in a
-   large share of all documents, next to different text each time) is dealt
-   anew by whole window, so no task gathers it.
+4. an anchor with very many bytes of different segments (a passage that stands
+   in a large share of all documents, next to different text each time) is
+   dealt anew by the digest of whole windows, so no task gathers it.
 
 No counts, anchors or segments reach the driver, and every pre-aggregation is
 combined before its shuffle.
@@ -31,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import Tables, ordered, ship, text_parts
 
 #: Bytes hashed for an anchor.
 ANCHOR = 24
-#: Bytes of segments per shard (what fits a core's cache), shards per task, and different segments of one anchor above which it is dealt by window.
-SHARD_BYTES, SHARDS_PER_TASK, CROWDED = 1_000_000, 3, 4096
+#: Bytes of segments per shard (what fits a core's cache), shards per task up to ``TASKS_PER_CORE`` tasks (then a task takes more), and bytes
+#: of different segments of one anchor above which it is dealt by window.
+SHARD_BYTES, SHARDS_PER_TASK, TASKS_PER_CORE, CROWDED = 1_000_000, 3, 64, 2_000_000
+#: Letters of a leftmost-smaller substring up to which substrings of large alphabets are sorted directly.
+DIRECT = 256
 
 
 # --- induced sorting ---------------------------------------------------------
@@ -205,12 +208,12 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     size = np.zeros(n, np.int32)
     size[lms[:-1]] = np.diff(lms) + 1
     size[lms[-1]] = n + 2  # ends with the empty suffix, like no other
-    if by_bucket:
+    if by_bucket or int(size[lms[:-1]].max()) > DIRECT:
         # sort the leftmost-smaller substrings by inducing from unsorted ones, then compare neighbours
         sa = induce(t, small, ordered_lms(lms), k)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
-        order = sa[is_lms[sa]]
+        order = np.asarray(sa)[is_lms[sa]]
         a, b = order[:-1], order[1:]
         new = np.ones(len(order), bool)
         alike = np.flatnonzero(size[a] == size[b])
@@ -432,11 +435,13 @@ def shard_repeats(width: int, limit: int):
 
 
 def single_windows(width: int):
+    """Digest, document and place of each window of the segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, u, p in zip(*(batch.column(c).to_pylist() for c in ("segment", "uid", "place")), strict=True):
                 n = len(s) - width + 1
-                yield pa.RecordBatch.from_arrays([pa.array([s[i:i + width] for i in range(n)], pa.binary()), pa.array([u] * n, pa.int64()), pa.array(range(p, p + n), pa.int64())], names=["segment", "uid", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s[i:i + width]).digest() for i in range(n)], pa.binary()), pa.array([u] * n, pa.int64()), pa.array(range(p, p + n), pa.int64())], names=["window", "uid", "place"])
 
     return run
 
@@ -471,10 +476,15 @@ def digests(width: int):
 # --- the operator --------------------------------------------------------------
 
 
+def in_order(uid: str = "uid", place: str = "place") -> Column:
+    """Document and place as one number, so that the first of several is found in hash maps."""
+    return F.col(uid).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(place).cast("decimal(11,0)")
+
+
 def later_windows(windows: DataFrame) -> DataFrame:
     """Of equal windows all but the first, as runs of one: ``uid, place, n``."""
-    many = windows.groupBy("segment").agg(F.min(F.struct("uid", "place")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("segment", "f")
-    return windows.join(many, "segment").where(F.struct("uid", "place") > F.col("f")).select("uid", "place", F.lit(1).cast("long").alias("n"))
+    many = windows.groupBy("window").agg(F.min(in_order()).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("window", "f")
+    return windows.join(many, "window").where(in_order() > F.col("f")).select("uid", "place", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED) -> DataFrame:
@@ -491,9 +501,8 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     tables.drop(anchors, common)
     occ = tables.write(texts.join(wanted, "uid").mapInArrow(describe_segments(width), "anchor long, sid binary, uid long, place long, n long, again boolean"))
     tables.drop(wanted)
-    # equal segments: every window of all but the first is repeated (order as one number, so that sums stay in hash maps)
-    order = F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("place").cast("decimal(11,0)")
-    keyed = occ.withColumn("at", order)
+    # equal segments: every window of all but the first is repeated
+    keyed = occ.withColumn("at", in_order())
     groups = tables.write(keyed.groupBy("anchor", "sid").agg(F.min("at").alias("f"), F.count(F.lit(1)).alias("c"), F.max("again").alias("again")))
     # a segment alone under an anchor that stands once has all its windows different and meets no other
     mixed_anchors = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("x")).where("k > 1 or x").select("anchor", F.lit(True).alias("open"))
@@ -503,14 +512,15 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     later = joined.where("later").select("uid", "place", "n")
     parts = joined.where("open and not later").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("parts"))
     first = tables.write(texts.join(parts, "uid").mapInArrow(cut_segments(width), "anchor long, segment binary, uid long, place long"))
-    crowds = tables.write(first.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"))
-    total = first.agg(F.sum(F.length("segment"))).first()[0] or 0
-    tasks = max(1, -(-total // (shard_bytes * SHARDS_PER_TASK)))
+    sizes = tables.write(first.groupBy("anchor").agg(F.sum(F.length("segment")).alias("b")))
+    crowds = tables.write(sizes.where(F.col("b") > crowded).select("anchor"))
+    total = sizes.agg(F.sum("b")).first()[0] or 0
+    tasks = max(1, min(-(-total // (shard_bytes * SHARDS_PER_TASK)), TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism))
     calm = first.join(crowds, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor", "uid", "place")
     found = tables.write(calm.select("anchor", "segment", "uid", "place").mapInArrow(shard_repeats(width, shard_bytes), "uid long, place long, n long"))
     out = later.union(found)
     if not crowds.isEmpty():
-        split = tables.write(first.join(crowds, "anchor", "left_semi").select("segment", "uid", "place").mapInArrow(single_windows(width), "segment binary, uid long, place long"))
+        split = tables.write(first.join(crowds, "anchor", "left_semi").select("segment", "uid", "place").mapInArrow(single_windows(width), "window binary, uid long, place long"))
         out = out.union(tables.write(later_windows(split)))
         tables.drop(split)
     tables.drop(first, crowds)
@@ -535,7 +545,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
 def removed_spans(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, stop``: the byte runs that ``remove_repeats`` removes, for callers that cut texts themselves.
 
-    Runs of one document may touch or overlap. Ids are expected to be unique.
+    Runs of one document may touch or overlap. With shared or null ids a run
+    belongs to one of the rows of its id, the order of which ``common.ordered``
+    gives; callers that need to tell them apart give rows an id of their own.
     """
     tables = Tables(docs.sparkSession, "suffix")
     rows, _ = ordered(docs, tables, id_col, text_col)
