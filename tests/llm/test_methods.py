@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 from urllib.parse import urljoin, urlsplit
 
 import numpy as np
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strophe.llm import exact, packing, quality, urls
+from strophe.llm import ann, exact, packing, quality, secrets, urls
 from strophe.llm.common import Tables
 
 
@@ -198,3 +200,48 @@ def test_weights_equal_plain_models(spark):
     assert quality.select(df, labels, keep=0.5).where("selected").count() == 30
     # the table of n-grams grows with the corpus
     assert quality.bucket_count(df) == 1 << 14 and quality.bucket_count(df.select("doc_id", F.repeat("text", F.lit(300_000)).alias("text"))) > 1 << 18
+
+
+def test_secrets_found_and_left_alone(spark):
+    """Hand-labelled lines held out from the training, and the tokens planted in the documents."""
+    model = secrets.train(secrets.training_findings(spark))
+    rows = secrets.reviewed_findings(spark, True)
+    rows = rows.withColumns(secrets.features(F.col("value"), F.col("word"), F.coalesce("before", F.lit("")), F.col("source")))
+    got = rows.select("secret", (secrets.forest_expression(model) > 0.5).alias("hit")).collect()
+    hits, true, both = sum(r.hit for r in got), sum(r.secret > 0 for r in got), sum(r.hit and r.secret > 0 for r in got)
+    assert true == 20 and both / hits >= 0.8 and both / true >= 0.9
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {(r.doc_id, r.secret_sha256) for r in secrets.scan(docs, model=model).where("is_secret").collect()}
+    planted = {(r.doc_id, hashlib.sha256(m.encode()).hexdigest()) for r in docs.collect() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    assert planted and planted <= found and len(found - planted) <= 1
+
+
+def test_short_and_marked_values_are_candidates(spark):
+    texts = ['password = "S3cr3t!pass"', "DB_PASS: x", "my pwd=Nx9$kQ2!vv; then", "the auth token is abc%def&12", "a password policy", None, ""]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.value) for r in secrets.candidates(df).collect()} == {(0, "S3cr3t!pass"), (2, "Nx9$kQ2!vv"), (3, "abc%def&12")}
+
+
+def test_recall_at_the_production_shard(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = table.toPandas().drop_duplicates("vec_id").sort_values("vec_id")
+    ids = x.vec_id.to_numpy()
+    n = np.array(x.embedding.tolist(), float)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    hit = total = 0
+    got: dict = {}
+    for r in ann.nearest(table, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for at in np.flatnonzero(ids % 50 == 0):
+        s = n @ n[at]
+        s[at] = -9
+        want = set(ids[np.lexsort((ids, -np.round(s, 12)))[:5]].tolist())
+        hit, total = hit + len(want & got[ids[at]]), total + 5
+    assert hit / total >= 0.95
+
+
+def test_scaled_and_huge_vectors(spark):
+    vecs = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 2e-200]), (3, [-1e300, 1e300]), (4, [3.0, 3.0])] + [(i, [float(i), float(i)]) for i in range(5, 60)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 4, 5, 6, 7] and all(abs(r.score - 1) < 1e-12 for r in got)
