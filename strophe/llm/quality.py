@@ -10,9 +10,9 @@ differ by so much that the longest would win whatever the noise.)
 N-grams are those of the words (without case) and those of the words' shapes
 (case, digits, which punctuation, repeats of the word before), one and two
 long. Counting and scoring stream over Arrow batches; what is gathered from
-the corpus is one vector of counts per task, added up by bucket. The number of
-buckets grows with the corpus, up to ``MOST_BUCKETS``, which bounds what is
-broadcast (8 MB).
+the corpus is one sparse vector of counts per task, added up part by part. The
+number of buckets grows with the corpus as its vocabulary does (with the square
+root of its size), up to ``MOST_BUCKETS``, which bounds what is broadcast (8 MB).
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from strophe.llm.common import Tables, ship, small_batches
 
-#: Buckets of the hashed n-grams (the first half for words, the second for shapes): a power of two, one for so many bytes of text.
-BUCKETS, MOST_BUCKETS, BYTES_PER_BUCKET = 1 << 14, 1 << 20, 512
+#: Buckets of the hashed n-grams (the first half for words, the second for shapes): a power of two near so many times the root of the bytes.
+BUCKETS, MOST_BUCKETS, PER_ROOT = 1 << 14, 1 << 20, 24
+#: Parts of a vector of counts that are added up on their own.
+PARTS = 64
 #: Share of the raw model that is mixed into the target model, so that n-grams the sample lacks are rare there, not absent; n-grams of a passage.
 SMOOTH, PASSAGE = 0.1, 32
 BLANK, LETTER, CAPITAL, DIGIT, MARK = range(5)
@@ -125,9 +127,9 @@ def fit_sample(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets for the corpus: a power of two near its bytes over ``BYTES_PER_BUCKET``."""
+    """Buckets for the corpus: a power of two near ``PER_ROOT`` times the root of its bytes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_BUCKETS, max(BUCKETS, 1 << round(math.log2(max(1, size / BYTES_PER_BUCKET)))))
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << round(math.log2(PER_ROOT * math.sqrt(max(1, size))))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int | None = None, smooth: float = SMOOTH) -> np.ndarray:
@@ -138,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int |
     """
     known = fit_sample(labels, sample)
     buckets = buckets or bucket_count(docs)
+    width = buckets // PARTS
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left").select("text", F.coalesce(F.col("good") & ~F.col("test"), F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +153,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, buckets: int |
                 if good.any():
                     target += np.bincount(ids[good[owner]], minlength=buckets)
         used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used].astype(np.int64)), pa.array(target[used].astype(np.int64))], names=["bucket", "raw", "target"])
+        ends = pa.array(np.searchsorted(used, np.arange(PARTS + 1) * width), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (used % width, raw[used], target[used])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), *lists], names=["part", "place", "raw", "target"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in enumerate(batch.column("part").to_pylist()):
+                at, *counts = (batch.column(c)[k].values.to_numpy() for c in ("place", "raw", "target"))
+                total = sums.setdefault(part, np.zeros((2, width), np.int64))
+                total[:, at] += np.stack(counts)
+        dense = [pa.array([v[r] for v in sums.values()], pa.list_(pa.int64())) for r in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *dense], names=["part", "raw", "target"])
 
     with small_batches(docs.sparkSession):
-        sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+        parts = rows.mapInArrow(count, "part int, place array<long>, raw array<long>, target array<long>").repartition("part").mapInArrow(add_up, "part int, raw array<long>, target array<long>").toArrow()
     raw, target = np.ones(buckets), np.zeros(buckets)
-    raw[sums["bucket"]] += sums["raw"]
-    target[sums["bucket"]] += sums["target"]
+    for part, r, t in zip(parts["part"].to_pylist(), parts["raw"], parts["target"], strict=True):
+        here = slice(part * width, (part + 1) * width)
+        raw[here] += r.values.to_numpy()
+        target[here] += t.values.to_numpy()
     if not target.any():
         return np.zeros(buckets)
     ratio = np.empty(buckets)
