@@ -23,6 +23,19 @@ ALL_STOPWORDS = (
     "taj", "ova", "onaj", "bez", "od", "za", "po", "iz", "kroz", "uz", "niz", "pred", "pod", "nad", "među", "bih", "bi", "bismo", "biste", "ću", "ćeš", "će",
     "ćemo", "ćete", "jer", "biti", "jako", "si", "sam", "smo", "ste", "kô", "k'o", "li", "nek",
 )
+#: Patterns of titles of pages that are no songs, which weak labels go by.
+NO_SONG_TITLES = (
+    r"\binterview\b", r"\bthe making of\b", r"\bmaking of\b", r"\bbehind the scenes\b", r"\bin conversation\b", r"\bannotat", r"\bdirectors? commentary\b", r"\breacts? to\b",
+    r"\bresponds? to\b", r"\bconference call\b", r"\bvmas?\b", r"\bbet awards?\b", r"\bamerican music awards\b", r"\boscars\b", r"\bsuper ?bowl\b", r"\bhalftime\b",
+    r"\bbillboard music awards?\b", r"\bmtv (video|movie) awards?\b", r"\bacademy of country\b", r"\biheartradio\b", r"\bartist of the (decade|year|month)\b", r"\bgrammy awards?\b",
+    r"\blatin grammys?\b", r"\bacceptance speech\b", r"\bvictory speech\b", r"\baward acceptance\b",
+    r"\btour (costumes?|book|guide|dates?|rehearsals?|diary|programme?|setlist|special guests?|intro)\b", r"\bsetlist\b", r"\bforeword\b", r"\bprologue\b", r"\bepilogue\b", r"\bpreface\b",
+    r"\bliner notes\b", r"\bbooklet\b", r"\bplaylist\b", r"\bchart history\b", r"\bdiscography\b", r"\btracklist", r"\bgreatest hits\b",
+    r"\binstagram (post|story|stories|live|caption|rant|feed)\b", r"\bfacebook post\b", r"\btwitter (rant|thread)\b", r"\btweetstorm\b", r"\ba message from\b", r"\bmessage from\b",
+    r"\bcommencement\b", r"\bted talk\b", r"\bkeynote\b", r"\bscreenplay\b", r"\bfilm script\b", r"\bmovie script\b", r"\btranscript\b", r"\bdocumentary\b", r"\balbum art\b", r"\bcover art\b",
+    r"\bpress (release|conference)\b", r"\bofficial statement\b", r"\btraducci[óo]n\b", r"\btradu[çc][ãa]o\b", r"\bt[üu]rk[çc]e\b", r"\b[çc]eviri\b", r"\bs[öo]zleri\b", r"\bromaniz",
+    r"\b[üu]bersetzung\b", r"\bperevod\b",
+)
 #: Title words that guard a song against the junk rules.
 GUARDS = ("freestyle", "interlude", "skit", "reprise", "instrumental")
 #: Parts of titles that mark scripts, talk and events.

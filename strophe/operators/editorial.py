@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.functions.text import match_key, token_array
+from strophe.functions.text import name_key, token_array
 from strophe.functions.titles import pseudo_artist, title_key
-from strophe.operators.classify import JUNK
+from strophe.functions.words import SPLIT_SCRIPT
+from strophe.operators.classify import JUNK, filler
 from strophe.operators.resolve import canonical_dedupe
 
 
@@ -41,17 +42,20 @@ def clock_fold(clocks: DataFrame, songs: DataFrame) -> DataFrame:
     return out.select("artist", F.bround(F.col("timed") / F.col("n"), 4).alias("synced_share"), (F.rint(F.col("f") / F.col("timed")) / 10).alias("avg_first_s"), F.col("g.v").alias("longest_silence_s"), (-F.col("g.o")).alias("silent_song"), F.col("b.v").alias("fastest_burst"), (-F.col("b.o")).alias("fast_song"))
 
 
-def recurring_word(ranked: DataFrame) -> DataFrame:
-    """``artist, word, uses``: the first word of an artist's list (``artist, rank, word, uses``) without an apostrophe."""
-    fit = ranked.where(~F.col("word").rlike("['’]") & (F.col("uses") > 0))
+def recurring_word(ranked: DataFrame, grammar: tuple[str, ...] = ()) -> DataFrame:
+    """``artist, word, uses``: the first word of an artist's list (``artist, rank, word, uses``) that is no filler and has no apostrophe."""
+    fit = ranked.where(~F.col("word").rlike("['’]") & (F.col("uses") > 0) & ~filler(F.col("word"), grammar))
     best = fit.groupBy("artist").agg(F.min(F.struct("rank", "word", "uses")).alias("b"))
     return best.select("artist", F.col("b.word").alias("word"), F.col("b.uses").alias("uses"))
 
 
-def lead_figure(places: DataFrame, key: str, floors: dict[str, int] | None = None) -> DataFrame:
-    """``key, metric, pct``: the stat farthest from the middle; ``floors`` are distances a metric must reach to lead."""
+def lead_figure(places: DataFrame, key: str, floors: dict[str, int] | None = None, gap: int = 15) -> DataFrame:
+    """``key, metric, pct``: the stat farthest from the middle, at least ``gap`` away.
+
+    ``floors`` are distances that single metrics must reach to lead.
+    """
     far = F.abs(F.col("pct") - 50)
-    fit = F.lit(True)
+    fit = far >= gap
     for metric, least in (floors or {}).items():
         fit = fit & ~((F.col("metric") == metric) & (far < least))
     order = W.partitionBy(key).orderBy(F.desc("_far"), "metric")
@@ -94,32 +98,63 @@ def audit_layers(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy(F.coalesce("reason", F.lit("kept")).alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fragments(prints: DataFrame, credits: DataFrame, share: float = 0.3) -> DataFrame:
-    """``part, whole, overlap``: artists that are part of a joint credit and share its texts.
+#: What separates the names of a joint credit.
+JOINT = r"(?i)\s*(?:&|\+|/|,|;|\band the\b|\band\b|\bwith\b|\bx\b)\s*"
+
 
-    ``prints``: ``artist, fp``; ``credits``: ``artist`` (joint names such as
-    ``a & b``). Parts meet artists by key.
+def fragments(prints: DataFrame, pages: DataFrame, share: float = 0.3, least: int = 25) -> DataFrame:
+    """``part, whole, overlap``: pages that are part of a joint credit, whose texts the credit or its other parts largely hold.
+
+    ``prints``: ``artist, fp``; ``pages``: ``artist, songs``. Parts meet pages
+    by key, and only pages of ``least`` songs are judged.
     """
+    keyed = pages.select("artist", "songs", name_key(F.col("artist")).alias("k"))
+    parts = keyed.select(F.col("artist").alias("whole"), F.col("k").alias("kw"), F.explode(F.split("artist", JOINT)).alias("p")).select("whole", "kw", name_key(F.col("p")).alias("k")).where("k <> '' and k <> kw").distinct()
+    judged = parts.join(keyed.where(F.col("songs") >= least).select("k", F.col("artist").alias("part")), "k")
+    sets = prints.where("fp is not null").select(name_key(F.col("artist")).alias("k"), "fp").distinct()
+    # what the whole and each of its parts hold, by part that holds it
+    holders = parts.select("whole", "k").union(parts.select("whole", F.col("kw").alias("k"))).distinct().join(sets, "k").select("whole", F.col("k").alias("by"), "fp")
+    mine = judged.select("part", "whole", "k").join(sets, "k")
+    n = mine.groupBy("part", "whole").agg(F.count(F.lit(1)).alias("n"))
+    shared = mine.join(holders, ["whole", "fp"]).where("by <> k").groupBy("part", "whole").agg(F.count_distinct("fp").alias("s"))
+    return shared.join(n, ["part", "whole"]).withColumn("overlap", F.bround(F.col("s") / F.col("n"), 4)).where(F.col("overlap") >= share).select("part", "whole", "overlap")
+
+
+def twins(prints: DataFrame, pages: DataFrame, share: float = 0.5) -> DataFrame:
+    """``artist, twin, overlap``: for each of ``pages(artist)`` the artist that holds most of its texts, if half or more."""
     sets = prints.where("fp is not null").select("artist", "fp").distinct()
-    sizes = sets.groupBy("artist").agg(F.count(F.lit(1)).alias("n"))
-    parts = credits.select(F.col("artist").alias("whole"), F.explode(F.split("artist", r"(?i)\s*(?:&|\+|,|\band\b|\bfeat\.?|\bft\.?)\s*")).alias("p")).where(match_key(F.col("p")) != match_key(F.col("whole")))
-    pairs = sizes.withColumn("_k", match_key(F.col("artist"))).join(parts.withColumn("_k", match_key(F.col("p"))), "_k").select(F.col("artist").alias("part"), "whole", "n").distinct()
-    shared = pairs.join(sets.toDF("part", "fp"), "part").join(sets.toDF("whole", "fp"), ["whole", "fp"]).groupBy("part", "whole", "n").agg(F.count(F.lit(1)).alias("s"))
-    return shared.withColumn("overlap", F.bround(F.col("s") / F.col("n"), 4)).where(F.col("overlap") >= share).select("part", "whole", "overlap")
+    mine = sets.join(pages.select("artist").distinct(), "artist")
+    n = mine.groupBy("artist").agg(F.count(F.lit(1)).alias("n"))
+    both = mine.join(sets.select(F.col("artist").alias("twin"), "fp"), "fp").where("artist <> twin").groupBy("artist", "twin").agg(F.count(F.lit(1)).alias("s"))
+    top = both.groupBy("artist").agg(F.max(F.struct("s", "twin")).alias("b"))
+    return top.join(n, "artist").withColumn("overlap", F.bround(F.col("b.s") / F.col("n"), 4)).where(F.col("overlap") >= share).select("artist", F.col("b.twin").alias("twin"), "overlap")
+
+
+#: Languages that word lists confuse with each other.
+CONFUSED = (("es", "pt", "it", "fr", "ro", "sc"), ("bs", "pl", "ru", "uk", "cy"), ("de", "nl"), ("sv", "nl"), ("hi", "bs", "en"))
 
 
-def namesakes(songs: DataFrame, least: int = 2, share: float = 0.4) -> DataFrame:
-    """``artist, lang, songs, main``: a cluster of songs in another language than the artist's main one, of ``least`` songs and no shared album.
+def namesakes(songs: DataFrame, least: int = 2, most: float = 0.6, unclassified: float = 0.4, confused: tuple[tuple[str, ...], ...] = CONFUSED) -> DataFrame:
+    """``artist, lang, songs, main``: clusters of songs that may be another artist's of the same name.
 
-    ``songs``: ``artist, lang, album, song_id``. The main language must hold
-    at least ``share`` of the songs.
+    ``songs``: ``artist, lang, album, song_id``. A cluster is in a language
+    other than the artist's main one that word lists don't confuse with it,
+    has ``least`` songs and at most ``most`` of those that have a language,
+    and shares no album with the rest. Artists of which more than
+    ``unclassified`` of the songs have no language are left out.
     """
-    n = songs.where("lang is not null").groupBy("artist", "lang").agg(F.count(F.lit(1)).alias("songs"))
-    main = n.groupBy("artist").agg(F.max(F.struct("songs", "lang")).alias("m"), F.sum("songs").alias("total"))
-    other = n.join(main, "artist").where((F.col("lang") != F.col("m.lang")) & (F.col("songs") >= least) & (F.col("m.songs") >= share * F.col("total")))
-    albums = songs.where("album is not null and lang is not null").select("artist", "album", "lang").distinct()
-    bridged = albums.join(albums.toDF("artist", "album", "main"), ["artist", "album"]).where("lang <> main").select("artist", "lang", "main").distinct()
-    return other.select("artist", "lang", "songs", F.col("m.lang").alias("main")).join(bridged, ["artist", "lang", "main"], "left_anti").select("artist", "lang", "songs", "main")
+    rows = songs.withColumn("a", F.lower(F.regexp_replace(F.trim(F.coalesce("album", F.lit(""))), r"\s+", " ")))
+    n = rows.where("lang is not null").groupBy("artist", "lang").agg(F.count(F.lit(1)).alias("songs"))
+    main = n.groupBy("artist").agg(F.max(F.struct("songs", "lang")).alias("m"), F.sum("songs").alias("labelled"))
+    total = rows.groupBy("artist").agg(F.count(F.lit(1)).alias("all"))
+    pages = main.join(total, "artist").where((F.col("all") - F.col("labelled")) / F.col("all") <= unclassified)
+    alike = F.lit(False)
+    for group in confused:
+        alike = alike | (F.col("lang").isin(*group) & F.col("m.lang").isin(*group))
+    other = n.join(pages, "artist").where((F.col("lang") != F.col("m.lang")) & (F.col("songs") >= least) & (F.col("songs") / F.col("labelled") <= most) & ~alike)
+    albums = rows.where("a <> ''").select("artist", "a", F.coalesce("lang", F.lit("")).alias("lang")).distinct()
+    shared = albums.groupBy("artist", "a").agg(F.count(F.lit(1)).alias("langs")).where("langs > 1").join(albums, ["artist", "a"]).select("artist", "lang").distinct()
+    return other.select("artist", "lang", "songs", F.col("m.lang").alias("main")).join(shared, ["artist", "lang"], "left_anti").select("artist", "lang", "songs", "main")
 
 
 def whole_words(words: DataFrame, lines: DataFrame) -> DataFrame:
@@ -127,7 +162,7 @@ def whole_words(words: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``words``: ``word``; ``lines``: ``line``.
     """
-    script = r"[\x{0900}-\x{0DFF}\x{0E00}-\x{0EFF}\x{0F00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}]"
+    script = SPLIT_SCRIPT
     spelled = lines.select(F.explode(F.regexp_extract_all("line", F.lit(rf"((?:[\p{{L}}\p{{Nl}}\p{{No}}]|{script}|\x{{200D}})+)"), F.lit(1))).alias("whole")).where(F.col("whole").rlike(script))
     counted = spelled.groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
     pieces = counted.select("whole", "n", F.explode(F.array_distinct(token_array(F.col("whole")))).alias("word"))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.functions.text import match_key
-from strophe.functions.titles import INTERLUDE, MEDLEY, NOT_A_SONG, REMIX, SKIT, is_plain_title, pseudo_artist, squashed, version_clauses
+from strophe.functions.text import name_key, unaccented
+from strophe.functions.titles import CLAUSE, INTERLUDE, MEDLEY, NOT_A_SONG, REMIX, SKIT, display_title, is_plain_title, pseudo_artist, squashed, title_key, version_clauses
+from strophe.functions.unicode import unbracketed
 from strophe.operators.song import word_counts
 
 # --- what a text is ---------------------------------------------------------------
@@ -30,6 +31,11 @@ def fingerprints(tokens: DataFrame, stop: tuple[str, ...], first: int = 40, k: i
     return words.select("song_id", "artist", F.array_join(F.array_sort(F.transform(F.slice("x", 1, k), lambda s: s["word"])), "|").alias("fp"))
 
 
+def print_hash(words: Column) -> Column:
+    """A fingerprint as one number (identity only), which is what large indexes are keyed by."""
+    return F.xxhash64(words)
+
+
 def owner_index(prints: DataFrame, titles: DataFrame) -> DataFrame:
     """``fp, artist, uploads, title``: how often each artist has a text, with the first title by code point."""
     return prints.join(titles, ["song_id", "artist"]).groupBy("fp", "artist").agg(F.count(F.lit(1)).alias("uploads"), F.min("title").alias("title"))
@@ -82,9 +88,11 @@ def containment_pairs(tokens: DataFrame, stop: tuple[str, ...], least: float = 0
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint in the shared folder (a temporary one where none is set)."""
+    """Lineage cut by a reliable checkpoint in the shared folder (a temporary one if none is set and the master is local)."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strophe-"))
@@ -104,8 +112,8 @@ def label_components(edges: DataFrame) -> DataFrame:
         now = step.select("node", "label")
 
 
-def song_groups(rows: DataFrame) -> DataFrame:
-    """``song_id, artist, group_id``: rows of one artist that share a title key or a fingerprint.
+def song_groups(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``song_id, artist, group_id``: rows of one artist that share a title key or a fingerprint, or that ``links(u, v)`` join.
 
     ``rows``: ``song_id, artist, key, fp``. Keys under 3 characters, and keys
     that are the artist's name, join nothing. A stray row, whose fingerprint
@@ -117,12 +125,15 @@ def song_groups(rows: DataFrame) -> DataFrame:
     home = per.groupBy("artist", "fp").agg(F.max(F.struct("n", "key")).alias("h"))
     marked = rows.join(home, ["artist", "fp"], "left")
     own = per.select("artist", "fp", "key", F.col("n").alias("own"))
-    marked = marked.join(own, ["artist", "fp", "key"], "left").withColumn("stray", F.coalesce((F.col("h.key") != F.col("key")) & (F.col("h.n") > F.col("own")), F.lit(False)))
-    keyed = marked.where(~F.col("stray") & (F.length("key") >= 3) & (F.col("key") != F.lower("artist")))
+    total = per.groupBy("artist", "fp").agg(F.sum("n").alias("all"))
+    # most of the rows with its words are under other titles
+    marked = marked.join(own, ["artist", "fp", "key"], "left").join(total, ["artist", "fp"], "left").withColumn("stray", F.coalesce((F.col("h.key") != F.col("key")) & (F.col("own") * 2 < F.col("all")), F.lit(False)))
+    keyed = marked.where(~F.col("stray") & (F.length("key") >= 3) & (F.col("key") != squashed(F.col("artist"))))
     by_key = keyed.join(keyed.groupBy("artist", "key").agg(F.min("song_id").alias("v")), ["artist", "key"]).select(F.col("song_id").alias("u"), "v")
     printed = rows.where("fp is not null")
     by_fp = printed.join(printed.groupBy("artist", "fp").agg(F.min("song_id").alias("v")), ["artist", "fp"]).select(F.col("song_id").alias("u"), "v")
-    comp = label_components(by_key.union(by_fp))
+    edges = by_key.union(by_fp)
+    comp = label_components(edges if links is None else edges.union(links.select("u", "v")))
     return rows.join(comp.withColumnRenamed("node", "song_id"), "song_id", "left").select("song_id", "artist", F.coalesce("component", "song_id").alias("group_id"))
 
 
@@ -140,22 +151,29 @@ def representative(rows: DataFrame) -> DataFrame:
 
 
 def best_title(rows: DataFrame) -> DataFrame:
-    """``artist, group_id, title``: the most frequent title that neither shouts nor runs words together, of equals the shortest."""
-    n = rows.groupBy("artist", "group_id", "title").agg(F.count(F.lit(1)).alias("n"))
-    shout = (F.upper("title") == F.col("title")) & (F.length("title") > 3)
-    camel = F.col("title").rlike(r"[a-z][A-Z]")
-    best = F.max(F.struct("n", (~shout).alias("s"), (~camel).alias("c"), (-F.length("title")).alias("l"), "title"))
-    return n.groupBy("artist", "group_id").agg(best.alias("b")).select("artist", "group_id", F.col("b.title").alias("title"))
+    """``artist, group_id, title``: the most frequent display title; of equals one that doesn't shout or run words together, then the shortest.
+
+    Plain titles compete if there are any.
+    """
+    plain = rows.withColumn("plain", is_plain_title(F.col("title"))).withColumn("any", F.max("plain").over(W.partitionBy("artist", "group_id")))
+    shown = plain.where(F.col("plain") | ~F.col("any")).withColumn("d", display_title(F.col("title")))
+    n = shown.where(squashed(F.col("d")) != "").groupBy("artist", "group_id", "d").agg(F.count(F.lit(1)).alias("n"))
+    shout = (F.upper("d") == F.col("d")) & (F.lower("d") != F.col("d")) & (F.length("d") > 4)
+    camel = F.col("d").rlike(r"[a-z][A-Z]")
+    best = F.max(F.struct("n", (~shout).alias("s"), (~camel).alias("c"), (-F.length("d")).alias("l"), "d"))
+    return n.groupBy("artist", "group_id").agg(best.alias("b")).select("artist", "group_id", F.col("b.d").alias("title"))
 
 
 # --- what is set aside ---------------------------------------------------------------
 
 
-def set_aside_reason(title: Column, artist: Column, wc: Column, uploads: Column, owner: Column, owner_uploads: Column, medley: Column | None = None, remix: Column | None = None, talk: Column | None = None, skit: Column | None = None, interlude: Column | None = None) -> Column:
+def set_aside_reason(title: Column, artist: Column, wc: Column, uploads: Column, owner: Column, owner_uploads: Column, medley: Column | None = None, remix: Column | None = None, talk: Column | None = None, skit: Column | None = None, interlude: Column | None = None, listed: Column | None = None, credited_to: Column | None = None) -> Column:
     """The first rule that sets a song aside; null for songs that stay.
 
-    The last arguments say what most of a group's titles are (see
-    ``title_votes``); by default the one title decides.
+    The arguments from ``medley`` on say what most of a group's titles are (see
+    ``title_votes``); by default the one title decides. ``listed``: whether
+    the title names songs listed on their own (``names_listed_songs``);
+    ``credited_to``: another artist it names (``credited_elsewhere``).
     """
     low = F.lower(title)
     own = F.split(squashed(artist), " ")
@@ -167,10 +185,12 @@ def set_aside_reason(title: Column, artist: Column, wc: Column, uploads: Column,
     pick = lambda given, own_: own_ if given is None else given
     return (
         F.when(pick(medley, title.rlike(MEDLEY)), "medley or megamix")
+        .when(F.lit(False) if listed is None else F.coalesce(listed, F.lit(False)), "medley of songs listed separately")
         .when(pick(remix, credited), "their remix of another artist's song")
         .when(pick(talk, title.rlike(NOT_A_SONG)), "not a song")
         .when(pick(skit, title.rlike(SKIT)) | (pick(interlude, title.rlike(INTERLUDE)) & (wc < 100)), "skit or interlude")
         .when(versus, "mash-up")
+        .when(F.lit(None).cast("string").isNotNull() if credited_to is None else credited_to.isNotNull(), F.lit(None) if credited_to is None else F.concat(F.lit("credited to "), credited_to))
         .when(owner.isNotNull() & ~pseudo_artist(owner) & elsewhere, "belongs to another artist")
     )
 
@@ -181,49 +201,109 @@ def title_votes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("artist", "group_id").agg(F.count(F.lit(1)).alias("uploads"), most(MEDLEY).alias("medley"), most(NOT_A_SONG).alias("talk"), most(SKIT).alias("skit"), most(INTERLUDE).alias("interlude"))
 
 
-def credited_elsewhere(rows: DataFrame, uploads: DataFrame, least: int = 20) -> DataFrame:
-    """``song_id, other``: another artist that a title's brackets credit.
+#: Words of a bracket that credits nobody.
+NO_CREDIT = r"(?i)\b(?:feat|ft|featuring|with|prod|produced|remix|mix|version|live|edit|demo|from|of|by|theme|part|pt|vol|take|session|reprise|intro|outro|interlude)\b"
+
+
+def credited_elsewhere(rows: DataFrame, owners: DataFrame, uploads: DataFrame, least: int = 20) -> DataFrame:
+    """``song_id, other``: another artist that a title names and who holds the song's words too.
 
-    ``rows``: ``song_id, artist, title``; ``uploads``: ``key, rows``. A credited
-    name is a known artist of at least ``least`` uploads, four characters or
-    more, and neither name is part of the other.
+    ``rows``: ``song_id, artist, title, fp``; ``owners``: ``fp, artist,
+    uploads`` (see ``owner_index``); ``uploads``: ``key, rows``. A name may
+    stand before a slash, a dash or a colon, after the last dash, or in a
+    bracket. It counts if its key has four letters or more, neither name holds
+    the other, and it has ``least`` uploads.
     """
-    parts = F.regexp_extract_all("title", F.lit(r"(?i)[(\[]\s*(?:by|feat\.?|ft\.?|featuring|with|originally by|cover of)?\s*([^)\]]+)[)\]]"), F.lit(1))
-    names = F.flatten(F.transform(parts, lambda p: F.split(p, r"(?i)\s*(?:,|&|\bfeat\.?|\bft\.?|\band\b)\s*")))
-    keyed = rows.select("song_id", F.explode(names).alias("n"), match_key(F.col("artist")).alias("own")).select("song_id", match_key(F.col("n")).alias("key"), "own")
-    known = keyed.where(F.length("key") >= 4).where(~F.contains(F.col("own"), F.col("key")) & ~F.contains(F.col("key"), F.col("own"))).join(uploads.where(F.col("rows") >= least), "key")
+    head = F.regexp_extract("title", r"^(.+?)\s*(?:\s/\s|/|\s[-–—]\s|_|:\s)\s*(.+)$", 1)
+    tail = F.regexp_extract("title", r"\s[-–—]\s([^-–—]+)$", 1)
+    inner = F.filter(F.transform(F.regexp_extract_all("title", F.lit(CLAUSE), F.lit(0)), lambda c: F.regexp_replace(c, r"^[(\[{]|[)\]}]$", "")), lambda c: ~c.rlike(NO_CREDIT))
+    names = F.flatten(F.transform(F.concat(F.array(head, tail), inner), lambda c: F.split(c, r"(?i)\s*(?:,|&|\+|\band\b|\bx\b|\bvs\.?)\s*")))
+    keyed = rows.select("song_id", "fp", name_key(F.col("artist")).alias("own"), F.explode(names).alias("n")).select("song_id", "fp", "own", name_key(F.col("n")).alias("key"))
+    other = keyed.where((F.length("key") >= 4) & ~F.contains(F.col("own"), F.col("key")) & ~F.contains(F.col("key"), F.col("own")))
+    held = owners.select("fp", name_key(F.col("artist")).alias("key")).distinct()
+    known = other.join(held, ["fp", "key"]).join(uploads.where(F.col("rows") >= least), "key")
     return known.groupBy("song_id").agg(F.max(F.struct("rows", "key")).alias("b")).select("song_id", F.col("b.key").alias("other"))
 
 
+def names_listed_songs(rows: DataFrame) -> DataFrame:
+    """``song_id``: rows whose title is two or more parts, one of them another song of the artist.
+
+    ``rows``: ``song_id, artist, title, key``. Parts are cut at slashes,
+    ``x`` and ``vs``, and each has three letters or more.
+    """
+    parts = F.filter(F.split(F.regexp_replace("title", r"(?i)^\s*medley\s*:\s*", ""), r"\s+/\s+|\s*/\s*(?=[A-Z])|\s+[xX]\s+|\s+vs\.?\s+"), lambda p: F.trim(p) != "")
+    cut_ = rows.withColumn("parts", parts).where((F.size("parts") > 1) & F.forall("parts", lambda p: F.length(squashed(p)) >= 3))
+    each = cut_.select("song_id", "artist", F.col("key").alias("own"), F.explode("parts").alias("p")).select("song_id", "artist", "own", title_key(F.col("p")).alias("key")).where("key <> own")
+    return each.join(rows.select("artist", "key").distinct(), ["artist", "key"]).select("song_id").distinct()
+
+
 def flags(uploads: Column, owner_uploads: Column) -> Column:
     return F.when(F.coalesce(owner_uploads, F.lit(0)) >= 2 * F.coalesce(uploads, F.lit(0)), F.when(owner_uploads > 0, "more uploads elsewhere"))
 
 
-def medleys(pairs: DataFrame, sizes: DataFrame, bigger: float = 1.4, alike: float = 0.5) -> DataFrame:
-    """``artist, whole, parts``: texts that hold two or more others of their artist that aren't each other.
+def medleys(pairs: DataFrame, words: DataFrame, keys: DataFrame, bigger: float = 1.4, alike: float = 0.5, most: float = 0.6, least: float = 0.85, size: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Texts that hold others of their artist: ``(medleys(artist, whole), links(u, v))``.
 
-    ``pairs`` from ``containment_pairs``, with ``sizes(song_id, n)``. A part
-    counts if the whole is ``bigger``; parts contained in one another count
-    once.
+    ``pairs``: see ``containment_pairs``; ``words``: ``artist, song_id, word,
+    uses`` of content words; ``keys``: ``song_id, key``. A whole of ``bigger``
+    times its smallest part is compared with every text it shares a leading
+    word with, which widens its parts. A whole that holds two parts unlike
+    each other is a medley, unless its parts carry its own title or one is
+    ``most`` of it; then it is linked to that one. Other wholes are linked to
+    their parts.
     """
-    sized = pairs.join(sizes.toDF("part", "np"), "part").join(sizes.toDF("whole", "nw"), "whole").where(F.col("nw") >= bigger * F.col("np"))
-    inner = pairs.where(F.col("shared") >= alike).select(F.col("part").alias("p"), F.col("whole").alias("w"))
-    nested = sized.join(sized.select("whole", F.col("part").alias("w")), "whole").join(inner, ["w"]).where(F.col("p") == F.col("part")).select("whole", "part").distinct()
-    own = sized.join(nested, ["whole", "part"], "left_anti")
-    return own.groupBy("artist", "whole").agg(F.count(F.lit(1)).alias("parts")).where("parts >= 2")
+    sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n"))
+    n_of = lambda name, column: sizes.select(F.col("song_id").alias(name), F.col("n").alias(column))
+    held = pairs.select("artist", "part", "whole")
+    large = held.join(n_of("part", "np"), "part").join(n_of("whole", "nw"), "whole").groupBy("artist", "whole", "nw").agg(F.min("np").alias("s")).where(F.col("nw") >= bigger * F.col("s"))
+    leading = words.withColumn("r", F.row_number().over(W.partitionBy("artist", "song_id").orderBy(F.desc("uses"), "word"))).where("r <= 6").select("artist", "word", F.col("song_id").alias("part"))
+    near = large.join(words.select("artist", F.col("song_id").alias("whole"), "word"), ["artist", "whole"]).join(leading, ["artist", "word"]).where("part <> whole").select("artist", "part", "whole", "nw").distinct()
+    near = near.join(n_of("part", "np"), "part").where((F.col("np") >= size) & (F.col("np") <= F.col("nw"))).select("artist", "part", "whole")
+    wide = shared_words(near, words).where(F.col("shared") >= least).select("artist", "part", "whole")
+    held = held.union(wide).distinct()
+    titled = held.join(keys.toDF("part", "kp"), "part").join(keys.toDF("whole", "kw"), "whole").join(n_of("part", "np"), "part").join(n_of("whole", "nw"), "whole")
+    wholes = titled.groupBy("artist", "whole", "nw").agg(F.min(F.col("kp").startswith(F.col("kw"))).alias("own"), F.max(F.struct("np", (-F.col("part")).alias("o"))).alias("best"))
+    # two parts of one whole, the smaller one (then the smaller id) as the part of the other
+    two = titled.select("artist", "whole", "part", "np").join(titled.select("whole", F.col("part").alias("other"), F.col("np").alias("no")), "whole").where((F.col("np") < F.col("no")) | ((F.col("np") == F.col("no")) & (F.col("part") < F.col("other"))))
+    both = two.select("artist", "part", F.col("other").alias("whole")).distinct()
+    unlike = both.join(shared_words(both, words), ["artist", "part", "whole"], "left").where(F.coalesce("shared", F.lit(0.0)) < alike).select("part", F.col("whole").alias("other"))
+    unlike = two.join(unlike, ["part", "other"]).select("whole", F.lit(True).alias("unlike")).distinct()
+    judged = wholes.join(unlike, "whole", "left").withColumn("apart", F.coalesce("unlike", F.lit(False)) & ~F.col("own")).withColumn("large", F.col("best.np") >= most * F.col("nw"))
+    plain = held.join(judged.where(~F.col("apart")).select("whole"), "whole").select(F.col("whole").alias("u"), F.col("part").alias("v"))
+    joined = judged.where(F.col("apart") & F.col("large")).select(F.col("whole").alias("u"), (-F.col("best.o")).alias("v"))
+    return judged.where(F.col("apart") & ~F.col("large")).select("artist", "whole"), plain.union(joined)
+
+
+def shared_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``artist, part, whole, shared``: the share of a part's uses that the whole has too, of ``pairs(artist, part, whole)``."""
+    n = words.groupBy("song_id").agg(F.sum("uses").alias("n"))
+    a = words.select(F.col("song_id").alias("part"), "word", F.col("uses").alias("u"))
+    b = words.select(F.col("song_id").alias("whole"), "word", F.col("uses").alias("v"))
+    got = pairs.join(a, "part").join(b, ["whole", "word"]).groupBy("artist", "part", "whole").agg(F.sum(F.least("u", "v")).alias("s"))
+    return got.join(n.toDF("part", "n"), "part").select("artist", "part", "whole", F.bround(F.col("s") / F.col("n"), 4).alias("shared"))
 
 
 def apply_reviews(songs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """``songs`` (``artist, title``) after hand reviews (``artist, action, title, value``).
+    """``songs`` (``artist, title``) after hand reviews (``artist, action, title, value``), which win over the rules.
 
-    With ``only`` entries just those stay; ``drop`` removes unless ``keep``
-    holds; ``rename`` gives ``value`` as the title.
+    Titles meet by their key. With ``only`` entries just those stay, ``drop``
+    removes, ``keep`` holds what neither does, ``rename`` gives ``value`` as
+    the title. Of several songs with one key a drop takes those alone that are
+    shown under the reviewed title itself, if there is one.
     """
-    acts = reviews.groupBy("artist", "title").agg(F.max(F.when(F.col("action") == "drop", True)).alias("drop"), F.max(F.when(F.col("action") == "keep", True)).alias("keep"), F.max(F.when(F.col("action") == "only", True)).alias("only"), F.max(F.when(F.col("action") == "rename", F.col("value"))).alias("rename"))
-    limited = reviews.where("action = 'only'").select("artist", F.lit(True).alias("limited")).distinct()
-    rows = songs.join(acts, ["artist", "title"], "left").join(limited, "artist", "left")
-    stay = F.when(F.col("keep"), True).when(F.col("limited"), F.coalesce("only", F.lit(False))).otherwise(~F.coalesce("drop", F.lit(False)))
-    return rows.where(stay).withColumn("title", F.coalesce("rename", "title")).select(*songs.columns)
+    k, shown = title_key(F.col("title")), squashed(F.col("title"))
+    is_ = lambda action: F.col("action") == action
+    acts = reviews.withColumns({"_k": k, "_s": shown}).groupBy("artist", "_k").agg(
+        F.max(F.when(is_("drop"), True)).alias("_drop"), F.max(F.when(is_("only"), True)).alias("_only"), F.max(F.when(is_("rename"), F.col("value"))).alias("_rename"),
+        F.collect_set(F.when(is_("drop"), F.col("_s"))).alias("_exact"),
+    )
+    limited = reviews.where(is_("only")).select("artist", F.lit(True).alias("_limited")).distinct()
+    twins = W.partitionBy("artist", "_k")
+    rows = songs.withColumns({"_k": k, "_s": shown}).join(acts, ["artist", "_k"], "left").join(limited, "artist", "left")
+    rows = rows.withColumn("_named", F.coalesce(F.array_contains("_exact", F.col("_s")), F.lit(False))).withColumns({"_twins": F.count(F.lit(1)).over(twins), "_any": F.max("_named").over(twins)})
+    spared = (F.col("_twins") > 1) & F.col("_any") & ~F.col("_named")
+    gone = (F.coalesce("_drop", F.lit(False)) & ~spared) | (F.coalesce("_limited", F.lit(False)) & F.col("_only").isNull())
+    return rows.where(~gone).withColumn("title", F.coalesce("_rename", "title")).select(*songs.columns)
 
 
 def review_misses(songs: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -243,26 +323,36 @@ def truncation_stubs(artists: DataFrame, times: int = 10) -> DataFrame:
     prefixes that end there, so the join is on equality.
     """
     n = F.length("name")
-    cuts = F.filter(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col("name"), i + 1, F.lit(1)).rlike(r"[^\x00-\x7F]"))
+    # names of under four characters are cut off from nothing
+    cuts = F.filter(F.when(n > 4, F.sequence(F.lit(4), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col("name"), i + 1, F.lit(1)).rlike(r"[^\x00-\x7F]"))
     prefixes = artists.select(F.col("name").alias("longer"), F.col("songs").alias("longer_songs"), F.explode(F.transform(cuts, lambda i: F.substr(F.col("name"), F.lit(1), i))).alias("name"))
-    return artists.join(prefixes, "name").where(F.col("longer_songs") >= times * F.col("songs")).groupBy("name", "songs").agg(F.max(F.struct("longer_songs", "longer")).alias("x")).select("name", "songs", F.col("x.longer").alias("longer"), F.col("x.longer_songs").alias("longer_songs"))
+    prefixes = prefixes.withColumn("_k", F.lower("name")).drop("name")
+    return artists.withColumn("_k", F.lower("name")).join(prefixes, "_k").where(F.col("longer_songs") >= times * F.col("songs")).groupBy("name", "songs").agg(F.max(F.struct("longer_songs", "longer")).alias("x")).select("name", "songs", F.col("x.longer").alias("longer"), F.col("x.longer_songs").alias("longer_songs"))
 
 
 def name_words(name: Column) -> Column:
     """Sorted words of a name without ``the``."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "), " "), lambda w: (w != "") & (w != "the"))), " ")
+    return F.array_join(F.array_sort(F.filter(F.split(F.regexp_replace(unaccented(F.lower(name)), r"[^\p{L}\p{N}]+", " "), " "), lambda w: (w != "") & (w != "the"))), " ")
 
 
-def alias_overlap(prints: DataFrame, rows: int = 5, share: float = 0.25, by: Column | None = None) -> DataFrame:
-    """``a, b, shared, overlap``: names of the same words whose texts overlap by ``share`` of the smaller set.
+def alias_overlap(prints: DataFrame, pages: DataFrame, rows: int = 5, share: float = 0.25) -> DataFrame:
+    """``alias, canonical, shared, overlap``: names of the same words, of which one's texts are largely the other's.
 
-    ``prints``: ``artist, fp``. ``by`` groups the names to compare (default: their sorted words).
+    ``prints``: ``artist, fp``; ``pages``: ``artist`` of names that have a
+    page. Of names with one set of words (without "the") the canonical one has
+    a page, isn't inverted ("Surname, First"), and has most rows. A name of
+    ``rows`` texts or more is its alias if ``share`` of its texts are there.
     """
-    keyed = prints.select("artist", "fp", (by if by is not None else name_words(F.col("artist"))).alias("k"))
+    keyed = prints.select("artist", "fp", name_words(F.col("artist")).alias("k")).where("k <> ''")
     sizes = keyed.groupBy("k", "artist").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("fp").alias("n")).where(F.col("rows") >= rows)
-    sets = keyed.join(sizes, ["k", "artist"]).select("k", "artist", "fp", "n").distinct()
-    pairs = sets.toDF("k", "a", "fp", "na").join(sets.toDF("k", "b", "fp", "nb"), ["k", "fp"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.withColumn("overlap", F.bround(F.col("shared") / F.least("na", "nb"), 4)).where(F.col("overlap") >= share).select("a", "b", "shared", "overlap")
+    sizes = sizes.join(pages.select("artist", F.lit(True).alias("page")).distinct(), "artist", "left")
+    inverted = F.contains("artist", F.lit(", ")) | F.lower("artist").endswith(" the")
+    order = F.struct(F.col("page").isNull().alias("p"), inverted.alias("i"), (-F.col("rows")).alias("r"), "artist")
+    heads = sizes.groupBy("k").agg(F.min(order).alias("h"), F.count_if("page").alias("pages"), F.count(F.lit(1)).alias("names")).where("names > 1 and pages > 0").select("k", F.col("h.artist").alias("canonical"))
+    sets = keyed.select("k", "artist", "fp").distinct()
+    mine = sizes.join(heads, "k").where("artist <> canonical").select("artist", "canonical", "n").join(sets.select("artist", "fp"), "artist")
+    both = mine.join(sets.select(F.col("artist").alias("canonical"), "fp"), ["canonical", "fp"]).groupBy("artist", "canonical", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return both.withColumn("overlap", F.bround(F.col("shared") / F.col("n"), 4)).where(F.col("overlap") >= share).select(F.col("artist").alias("alias"), "canonical", "shared", "overlap")
 
 
 def close_aliases(aliases: DataFrame, depth: int = 20) -> DataFrame:
@@ -276,107 +366,171 @@ def close_aliases(aliases: DataFrame, depth: int = 20) -> DataFrame:
         select alias, max_by(canonical, depth) canonical from chain group by alias""")
 
 
-def is_fragment(part: str, whole: str) -> bool:
-    """Whether a name is a piece of another's words, or spelled by them in some order."""
-    a, b = part.lower().split(), whole.lower().split()
-    if not a or len(a) >= len(b) and a != b:
+#: What separates the names of a joint credit.
+NAMES = r"(?i)\s*(?:&|\+|,|\band\b|\bund\b|\be\b|\by\b|(?<=\w)-(?=\w))\s*"
+
+
+def spelled_by(key: str, words: list[str], in_order: bool) -> bool:
+    """Whether a key is some of the words run together, each once, with "and" and "the" anywhere between."""
+    states = {(0, 0, -1)}  # place in the key, words used (as bits), last word used
+    seen = set(states)
+    while states:
+        fresh = set()
+        for at, used, last in states:
+            if at == len(key):
+                return True
+            fresh |= {(at + len(j), used, last) for j in ("and", "the") if key.startswith(j, at)}
+            for k, w in enumerate(words):
+                if w and not used >> k & 1 and key.startswith(w, at) and (k > last or not in_order):
+                    fresh.add((at + len(w), used | 1 << k, k if in_order else -1))
+        states = fresh - seen
+        seen |= states
+    return False
+
+
+def is_fragment(alias: str, display: str) -> bool:
+    """Whether an alias (a name's key) isn't another spelling of a page's name but a piece of it, or its words in another order."""
+    import re
+
+    from strophe.functions.unicode import key_of
+
+    parts = [p for p in re.split(NAMES, display) if p.strip()]
+    if len(parts) < 2 and len(display.split()) >= 3:
+        parts = display.split()  # names stored without their commas
+    words = [k for p in parts for w in p.split() if (k := key_of(w)) not in ("and", "the")]
+    if len(words) > 12:
+        return False
+    if spelled_by(alias, words, False) and not spelled_by(alias, words, True):
+        return True
+    if len(parts) < 2:
         return False
-    joined, left = "".join(a), set(b)
-    reach = {0}
-    for i in range(1, len(joined) + 1):
-        if any(joined[j:i] in left for j in reach):
-            reach.add(i)
-    return len(joined) in reach
+    pieces = {key_of(p) for p in parts} | {key_of(p).removeprefix("the") for p in parts} | {key_of(w) for p in parts for w in p.split()}
+    return alias in pieces
+
+
+def fragment_aliases(aliases: DataFrame) -> DataFrame:
+    """``aliases`` (``alias, display``) with ``fragment``: see ``is_fragment``; a small hand-kept table, checked name by name."""
+    check = F.pandas_udf(lambda a, d: pd.Series([is_fragment(x, y) for x, y in zip(a, d, strict=True)]), "boolean")
+    return aliases.withColumn("fragment", check("alias", "display"))
 
 
 def similar_title_groups(rows: DataFrame, most: int = 500) -> DataFrame:
     """``artist, song_id, keep_id``: greedy groups of similar titles per artist.
 
     ``rows``: ``artist, song_id, title, wc, year``. A row joins the first group
-    whose first title is equal, a prefix or suffix, or within a fifth of its
-    length in edits, with word counts within 18 % (or unknown). In each group
-    rows with a year win, then shorter titles, then longer texts. Artists of
-    more than ``most`` songs compare by equal and prefix titles alone. The
-    greedy order is sequential, so each artist runs in one task.
+    whose first row's title is equal, a prefix or suffix, or within a fifth of
+    the longer one's length in edits, with word counts within 18 % (or
+    unknown). In each group rows with a year win, then shorter titles, then
+    longer texts. Artists of more than ``most`` songs compare by equal, prefix
+    and suffix titles alone.
+
+    Titles are compared by joins, distinct ones once; what runs in Python, an
+    artist at a time, is the greedy choice among the pairs found.
     """
-    schema = "artist string, song_id long, keep_id long"
-
-    def near(a: str, b: str, limit: int) -> bool:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            if min(row) > limit:
-                return False
-        return row[-1] <= limit
+    keyed = rows.select("artist", "song_id", "title", "wc", "year", squashed(unbracketed("title")).alias("t")).withColumn("t", F.when(F.col("t") == "", squashed(F.col("title"))).otherwise(F.col("t")))
+    sizes = keyed.groupBy("artist").agg(F.count(F.lit(1)).alias("n"))
+    titles = keyed.where("t <> ''").select("artist", "t").distinct()
+    a, b = titles, titles.select("artist", F.col("t").alias("u"))
+    # a title that another starts or ends with meets it on its first or last four letters, or all it has
+    reach = lambda c: F.least(F.lit(4), F.length(c))
+
+    def held_at(end, holds) -> DataFrame:
+        long = titles.select("artist", F.col("t").alias("u"), F.explode(F.transform(F.sequence(F.lit(1), reach("t")), lambda i: end("t", i))).alias("k"))
+        return long.join(titles.withColumn("k", end("t", reach("t"))), ["artist", "k"]).where(holds).select("artist", "u", "t")
+
+    held = held_at(F.left, F.startswith("u", "t")).union(held_at(F.right, F.endswith("u", "t")))
+    longest = lambda x, y: F.greatest(F.length(x), F.length(y))
+    limit = F.greatest(F.lit(1), F.floor(longest("t", "u") / 5).cast("int"))
+    few = a.join(sizes.where(F.col("n") <= most), "artist").drop("n")
+    near = few.join(b, "artist").where((F.col("t") < F.col("u")) & (F.abs(F.length("t") - F.length("u")) <= limit)).where(F.levenshtein("t", "u") <= limit).select("artist", "u", "t")
+    alike = held.select("artist", "u", "t").union(near)
+    alike = alike.union(alike.select("artist", F.col("t").alias("u"), F.col("u").alias("t"))).distinct()
+    partners = alike.groupBy("artist", "t").agg(F.collect_list("u").alias("like"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("song_id")
+        first: dict[str, list[int]] = {}  # groups by the title of their first row, in the order they were opened
         groups: list[list[int]] = []
-        titles = [" ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) for t in pdf["title"]]
-        wc = pdf["wc"].tolist()
-        for i, t in enumerate(titles):
-            for g in groups:
-                j = g[0]
-                close = not wc[i] or not wc[j] or abs(wc[i] - wc[j]) <= 0.18 * max(wc[i], wc[j])
-                same = t == titles[j] or (t and titles[j] and (t.startswith(titles[j]) or titles[j].startswith(t) or t.endswith(titles[j]) or titles[j].endswith(t)))
-                limit = max(1, max(len(t), len(titles[j])) // 5)
-                if close and (same or (len(pdf) <= most and abs(len(t) - len(titles[j])) <= limit and near(t, titles[j], limit))):
-                    g.append(i)
-                    break
+        wc, titles_, like = pdf["wc"].tolist(), pdf["t"].tolist(), pdf["like"].tolist()
+        for i, t in enumerate(titles_):
+            fits = (g for u in (like[i] if like[i] is not None else ()) for g in first.get(u, ()))
+            near_ = [g for g in fits if not wc[i] or not wc[groups[g][0]] or abs(wc[i] - wc[groups[g][0]]) <= 0.18 * max(wc[groups[g][0]], 1)]
+            if near_:
+                groups[min(near_)].append(i)
             else:
+                first.setdefault(t, []).append(len(groups))
                 groups.append([i])
-        ids, years = pdf["song_id"].tolist(), pdf["year"].isna().tolist()
+        ids, years, sizes_ = pdf["song_id"].tolist(), pdf["year"].isna().tolist(), pdf["title"].str.len().tolist()
         keep = {}
         for g in groups:
-            best = min(g, key=lambda i: (years[i], len(titles[i]), -wc[i], ids[i]))
+            best = min(g, key=lambda i: (years[i], sizes_[i], -(wc[i] or 0), ids[i]))
             keep.update({i: ids[best] for i in g})
         return pd.DataFrame({"artist": pdf["artist"], "song_id": ids, "keep_id": [keep[i] for i in range(len(ids))]})
 
-    return rows.select("artist", "song_id", "title", "wc", "year").groupBy("artist").applyInPandas(group, schema)
+    return keyed.join(partners, ["artist", "t"], "left").groupBy("artist").applyInPandas(group, "artist string, song_id long, keep_id long")
+
+
+def without_similar(rows: DataFrame, most: int = 500) -> DataFrame:
+    """``rows`` without those that stand for a song another row stands for (see ``similar_title_groups``)."""
+    losers = similar_title_groups(rows, most).where("song_id <> keep_id").select("song_id")
+    return rows.join(losers, "song_id", "left_anti")
 
 
 def align_lines(lyrics: DataFrame, timed: DataFrame, window: int = 8, matched: float = 0.6) -> DataFrame:
     """``song_id, line_no, at``: a time for each line of a text from timed lines of another transcription.
 
     ``lyrics``: ``song_id, line_no, line``; ``timed``: ``song_id, at, line``.
-    Lines are matched greedily in order within ``window`` events: equal keys,
-    two events that make one line, a long key inside an event (what is left of
-    the event stays for the next line), or a similarity of 0.8. Songs of which
-    less than ``matched`` of the lines match have no rows. Sequential by
+    Lines are matched in order by their letters and numbers, within ``window``
+    events. Each rule looks at the whole window before the next is tried: an
+    event of the same letters; two events that make one line; a line of eight
+    letters or more within the first letters of a longer event (a following
+    line that the rest of the event starts with is sung too, and has no time
+    of its own); a similarity of 0.8. Times have one decimal. Songs of which
+    less than ``matched`` of the lines are found have no rows. Sequential by
     nature, so each song runs in one task.
     """
     import re
     from difflib import SequenceMatcher
 
-    def key(x: str) -> str:
-        return re.sub(r"[\W_]", "", x.lower())
+    def key(x: str | None) -> str:
+        return re.sub(r"[\W_]+", "", (x or "").lower())
+
+    def place(k: str, events: list[tuple[float, str]], span: range) -> tuple[int, int, str] | None:
+        """Event that a line is sung at, events it uses up, and what is left of it."""
+        same = next((i for i in span if events[i][1] == k), None)
+        if same is not None:
+            return same, 1, ""
+        split = next((i for i in span if i + 1 < len(events) and events[i][1] + events[i + 1][1] == k), None)
+        if split is not None:
+            return split, 2, ""
+        if len(k) < 8:
+            return None
+        for i in span:
+            at = events[i][1].find(k, 0, len(k) + 5)
+            if 0 <= at and at + len(k) < len(events[i][1]):
+                return i, 0, events[i][1][at + len(k):]
+        like = next((i for i in span if abs(len(events[i][1]) - len(k)) <= 8 and SequenceMatcher(None, events[i][1], k).ratio() >= 0.8), None)
+        return None if like is None else (like, 1, "")
 
     def one(pdf_l: pd.DataFrame, pdf_t: pd.DataFrame) -> pd.DataFrame:
         lines = pdf_l.sort_values("line_no")
-        events = [[a, key(x)] for a, x in pdf_t.sort_values("at", kind="stable")[["at", "line"]].itertuples(index=False) if key(x or "")]
+        events = [(a, key(x)) for a, x in pdf_t.sort_values("at", kind="stable")[["at", "line"]].itertuples(index=False)]
         times: list[float | None] = []
-        at = 0
+        at, found, rest = 0, 0, ""
         for text in lines["line"]:
-            k, hit = key(text or ""), None
-            for i in range(at, min(at + window, len(events)) if k else at):
-                t, e = events[i]
-                if e == k:
-                    hit = (t, i + 1)
-                elif i + 1 < len(events) and e + events[i + 1][1] == k:
-                    hit = (t, i + 2)
-                elif len(k) >= 8 and 0 <= e.find(k) <= 5:
-                    events[i][1] = e[e.find(k) + len(k):]
-                    hit = (t, i + (not events[i][1]))
-                elif len(k) >= 8 and abs(len(e) - len(k)) <= 8 and SequenceMatcher(None, e, k).ratio() >= 0.8:
-                    hit = (t, i + 1)
-                if hit:
-                    break
-            times.append(hit[0] if hit else None)
-            at = hit[1] if hit else at
-        found = sum(t is not None for t in times)
-        if not times or found < matched * len(times):
+            k = key(text)
+            if rest and k and rest.startswith(k):
+                times.append(None)
+                found, rest = found + 1, rest[len(k):]
+                at += not rest
+                continue
+            if rest:
+                at, rest = at + 1, ""
+            hit = place(k, events, range(at, min(at + window, len(events))))
+            times.append(None if hit is None else round(events[hit[0]][0], 1))
+            if hit:
+                at, rest, found = hit[0] + hit[1], hit[2], found + 1
+        if not events or not times or found < matched * len(times):
             return pd.DataFrame({"song_id": [], "line_no": [], "at": []}).astype({"song_id": "int64", "line_no": "int64", "at": "float64"})
         return pd.DataFrame({"song_id": lines["song_id"].to_numpy(), "line_no": lines["line_no"].to_numpy(), "at": pd.array(times, "Float64")})
 

@@ -11,7 +11,7 @@ from strophe.operators import artist, classify, corpus, song
 from strophe.plans.artist_queries import COUNTED, LONG_LINES, orders_as_catalogues
 from strophe.plans.artist_queries import ORACLES as ARTIST_SQL
 from strophe.plans.song_queries import ORACLES as SONG_SQL
-from strophe.plans.sqltext import LINE_PARTS, TOKEN, TOKENS, holds_sql, q, words_sql
+from strophe.plans.sqltext import LINE_PARTS, SONGS, TOKEN, TOKENS, holds_sql, q, words_sql
 from strophe.sources.tables import songs, table
 
 METRICS = ["word_count", "unique_words", "ttr", "hapax_ratio", "avg_word_length", "line_count", "avg_words_per_line", "repetition_ratio"]
@@ -192,7 +192,24 @@ def non_song_reasons(spark, sf):
 
 
 def song_language(spark, sf):
-    return classify.language_by_words(token_table(songs(spark, sf)))
+    return classify.language_by_words(token_table(songs(spark, sf))).select("song_id", "guess")
+
+
+def main_language(spark, sf):
+    """Each document's language by its 30 most used words; some texts are given the letters of other scripts."""
+    greek = F.translate(F.lower("lyrics"), "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x3B1 + k) for k in range(24)) + "αβ")
+    kana = F.translate(F.lower("lyrics"), "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x30A2 + k) for k in range(26)))
+    n = F.col("song_id") % 15
+    return classify.song_language(token_table(songs(spark, sf).withColumn("lyrics", F.when(n == 0, kana).when(n == 5, greek).otherwise(F.col("lyrics")))))
+
+
+def detected_language(spark, sf):
+    return classify.detected_language(songs(spark, sf), classify.share_detector(STOPWORDS), least=0.6).select("song_id", "detected")
+
+
+def filler_words(spark, sf):
+    words = token_table(songs(spark, sf)).select("word").distinct()
+    return words.select("word", classify.filler(F.col("word"), ALL_STOPWORDS).alias("filler"), classify.grammar_word(F.col("word"), ALL_STOPWORDS, ("that", "with", "this")).alias("grammar"))
 
 
 def adlib_words(spark, sf):
@@ -200,7 +217,10 @@ def adlib_words(spark, sf):
 
 
 def weak_labels(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", classify.weak_label(F.col("p_name")).alias("label"))
+    """Parts, some of which are titled like pages of other kinds."""
+    n = F.col("p_partkey") % 6
+    title = F.when(n == 0, F.concat(F.lit("Interview: "), "p_name")).when(n == 1, F.concat("p_name", F.lit(" (Liner Notes)"))).when(n == 2, F.concat(F.lit("Tour Dates Freestyle "), "p_name")).when(n == 3, F.lit(" x ")).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", classify.weak_label(title).alias("label"))
 
 
 def shared_vocabulary(spark, sf):
@@ -220,7 +240,7 @@ QUERIES = {
     for f in (
         word_df, exclusive_words, signature_words, word_frequency, usable_words, signature_score, staples, artist_staple, hook_quotes, motif_quotes, curated_motifs,
         archive_quantiles, archive_places, catalogue_points, standing_phrases, artist_percentiles, language_word_df, foreign_words, function_words,
-        quantile_cuts, percentile_places, interesting_stats, catalogue_standing, archive_size, repetition_median, non_song_reasons, song_language, adlib_words,
+        quantile_cuts, percentile_places, interesting_stats, catalogue_standing, archive_size, repetition_median, non_song_reasons, song_language, main_language, detected_language, filler_words, adlib_words,
         weak_labels, shared_vocabulary, rollup_words,
     )
 }
@@ -341,8 +361,17 @@ ORACLES = {
     "catalogue_points": f"""
         with {ARCHIVE}, o as (select song_id % 20 artist, wc, row_number() over (partition by song_id % 20 order by wc, song_id) - 1 i, count(*) over (partition by song_id % 20) n from ar), k as (select unnest(range(240)) k)
         select artist, i point, wc value from o where n <= 240 union all select artist, k, wc from o, k where n > 240 and floor(k * (n::double / 240.0::double)) = i""",
-    "weak_labels": rf"""
-        select p_partkey, case when regexp_matches(p_name, {q(GUARD)}) then 0.0::double when regexp_matches(p_name, {q(classify.JUNK_TITLE)}) then 1.0::double when len(regexp_split_to_array(trim(p_name), '\s+')) <= 6 then 0.0::double end "label" from part""",
+    "weak_labels": """select p_partkey, case p_partkey % 6 when 0 then 0.0::double when 1 then 0.0::double when 4 then 1.0::double when 5 then 1.0::double end "label" from part""",
+    "filler_words": f"""with {TOKENS}, p as (select distinct word, replace(word, '’', chr(39)) w from tokens), f as (select word, w, length(w) < 3 or w in ({STOP}) or {ADLIB.format(w="w")} filler from p)
+        select word, filler, filler and w not in ('that', 'with', 'this') grammar from f""",
+    "detected_language": f"""
+        with {SONGS}, s as (select song_id, left(array_to_string(string_split(lyrics, chr(10))[1:30], ' '), 1500) t from songs), w as (select song_id, case when length(t) >= 40 then regexp_extract_all(lower(t), {q(TOKEN)}, 1) end w from s),
+        h as (select song_id, {", ".join(f"len(list_filter(w, lambda x: x in ({words_sql(ws)}))) h{i}" for i, ws in enumerate(STOPWORDS.values()))} from w)
+        select song_id, case when {" + ".join(f"h{i}" for i in range(len(STOPWORDS)))} > 0 and {BEST}::double / ({" + ".join(f"h{i}" for i in range(len(STOPWORDS)))})::double >= 0.6 then case {PICK} end end detected from h""",
+    "main_language": f"""
+        with {TOKENS}, lt as (select song_id, case song_id % 15 when 0 then 'ja' when 5 then 'el' end forced, word, pos from tokens), c as (select song_id, forced, word, count(*) n, min(pos) f from lt group by 1, 2, 3),
+        t as (select * from c qualify row_number() over (partition by song_id order by n desc, f) <= 30), h as (select song_id, forced, count(*) words, {GUESS} from t group by 1, 2)
+        select song_id, case when words >= 10 then coalesce(forced, case when {BEST} > 4 then case {PICK} end end) end lang from h""",
     "shared_vocabulary": f"""
         with {TOKENS}, w as (select distinct lang, word from tokens), n as (select word, count(*) langs from w group by 1)
         select lang, count(*) words, count(*) filter (langs = 1) alone, count(*) filter (langs > 1) shared from w join n using (word) group by lang""",
