@@ -15,7 +15,7 @@ from strophe.functions.titles import guarded
 from strophe.functions.words import EN_SPELLINGS, ENGLISH, INTERJECTIONS, JUNK_ALL_THE_SAME, JUNK_EXCEPTIONS, JUNK_PARTS, NO_ARTIST_PAGES, NO_SONG_TITLES, NOT_SONGS, STOPWORDS, SYLLABLES
 
 JUNK = "(?i)" + "|".join(JUNK_PARTS)
-WEAK_JUNK = "(?i)" + "|".join(NO_SONG_TITLES)
+WEAK_JUNK = "(?iU)" + "|".join(NO_SONG_TITLES)
 
 
 def english_share(words: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.functions.text import TOKEN
+
 STAMP = r"\[(\d+):(\d{1,2})(?:[.:](\d{1,3}))?\]"
 
 
@@ -19,7 +21,16 @@ def lrc_events(songs: DataFrame, text: str = "synced") -> DataFrame:
     rows = rows.select("song_id", "line_no", F.regexp_replace(F.regexp_replace("raw", STAMP, ""), r"(?U)^\s+|\s+$", "").alias("line"), F.posexplode(F.regexp_extract_all("raw", F.lit(STAMP), F.lit(0))).alias("stamp_no", "s"))
     part = lambda k: F.regexp_extract("s", STAMP, k)
     at = part(1).cast("double") * 60 + part(2).cast("double") + F.rpad(part(3), 3, "0").cast("double") / 1000
-    return rows.select("song_id", "line_no", "stamp_no", at.alias("at"), "line")
+    return rows.where("line <> ''").select("song_id", "line_no", "stamp_no", at.alias("at"), "line")
+
+
+def first_stamps(songs: DataFrame, text: str = "synced") -> DataFrame:
+    """``song_id, at, words``: lines that start with a stamp, by their first one, with the words that follow it."""
+    rows = songs.select("song_id", F.explode(F.split(text, "\n")).alias("raw")).select("song_id", F.trim("raw").alias("raw"))
+    part = lambda k: F.regexp_extract("raw", "^" + STAMP, k)
+    at = part(1).cast("double") * 60 + part(2).cast("double") + F.rpad(part(3), 3, "0").cast("double") / 1000
+    rest = F.regexp_replace("raw", "^" + STAMP, "")
+    return rows.where(F.col("raw").rlike("^" + STAMP)).select("song_id", F.round(at, 3).alias("at"), F.regexp_count(F.lower(rest), F.lit(TOKEN)).cast("long").alias("words"))
 
 
 def clock_summary(timed: DataFrame, least: int = 4, window: float = 15.0) -> DataFrame:

@@ -10,6 +10,7 @@ from strophe.functions.text import name_key, token_array
 from strophe.functions.titles import pseudo_artist, title_key
 from strophe.functions.words import SPLIT_SCRIPT
 from strophe.operators.classify import JUNK, filler
+from strophe.operators.lookup import seeded_hash
 from strophe.operators.resolve import canonical_dedupe
 
 
@@ -177,9 +178,17 @@ def refresh_readings(stored: DataFrame, fresh: DataFrame, clock: list[str]) -> D
     return both.withColumns({c: F.coalesce(f"_{c}", F.col(c)) if c in fresh.columns else F.col(f"_{c}") for c in clock}).drop(*(f"_{c}" for c in clock))
 
 
-def sampled_payload(rows: DataFrame, n: int = 20, seed: int = 1) -> DataFrame:
-    """``artist, songs, sampled, limited``: a seeded sample of ``n`` songs with words for each artist, and whether it has fewer."""
+def sampled_payload(rows: DataFrame, n: int = 20, seed: int = 1, totals: DataFrame | None = None) -> DataFrame:
+    """``artist, songs, sampled, limited, cached_total``: a seeded sample of ``n`` songs with words for each artist.
+
+    ``limited``: under ``n`` songs are known. ``cached_total`` is the songs, or
+    where there are more than ``n`` the total that ``totals(artist, total)``
+    knows. Only the sampled ids are gathered: the rest are counted.
+    """
     some = rows.where("wc > 0")
-    place = F.row_number().over(W.partitionBy("artist").orderBy(F.xxhash64(F.lit(seed), "song_id"), "song_id"))
-    picked = some.withColumn("_r", place).groupBy("artist").agg(F.count(F.lit(1)).alias("songs"), F.sort_array(F.collect_list(F.when(F.col("_r") <= n, F.col("song_id")))).alias("sampled"))
-    return picked.withColumn("limited", F.col("songs") < n)
+    place = F.row_number().over(W.partitionBy("artist").orderBy(seeded_hash("song_id", seed), "song_id"))
+    sizes = some.groupBy("artist").agg(F.count(F.lit(1)).alias("songs"))
+    picked = some.withColumn("_r", place).where(F.col("_r") <= n).groupBy("artist").agg(F.sort_array(F.collect_list("song_id")).alias("sampled")).join(sizes, "artist")
+    picked = picked.withColumn("total", F.lit(None).cast("long")) if totals is None else picked.join(totals.select("artist", "total"), "artist", "left")
+    known = F.when(F.col("songs") > n, F.coalesce("total", "songs")).otherwise(F.col("songs"))
+    return picked.select("artist", "songs", "sampled", (F.col("songs") < n).alias("limited"), known.alias("cached_total"))

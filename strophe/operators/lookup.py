@@ -91,7 +91,12 @@ def fetch_plan(wanted: DataFrame, *have: tuple[DataFrame, str]) -> DataFrame:
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """``n`` rows in the order of a seeded hash: the same on every run and machine."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(seeded_hash(key, seed), key).limit(n)
+
+
+def seeded_hash(key: str, seed: int) -> Column:
+    """The hash that samples are in order of: of the seed and the key, the same in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
 def modulo_sample(rows: DataFrame, key: str, every: int) -> DataFrame:

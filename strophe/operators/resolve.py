@@ -72,7 +72,8 @@ def containment_pairs(tokens: DataFrame, stop: tuple[str, ...], least: float = 0
     operator for words that tell nothing. ``shared`` is the smaller text's
     share of uses that the larger one has.
     """
-    words = word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses")
+    # read four times below
+    words = cut(word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses"))
     sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n")).where(F.col("n") >= size)
     df = words.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("df"))
     keyed = words.join(sizes, ["artist", "song_id"]).join(df, ["artist", "word"])
@@ -252,6 +253,7 @@ def medleys(pairs: DataFrame, words: DataFrame, keys: DataFrame, bigger: float =
     ``most`` of it; then it is linked to that one. Other wholes are linked to
     their parts.
     """
+    words, pairs = cut(words), cut(pairs)
     sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n"))
     n_of = lambda name, column: sizes.select(F.col("song_id").alias(name), F.col("n").alias(column))
     held = pairs.select("artist", "part", "whole")

@@ -6,17 +6,43 @@ table under a new path, so readers never see a half-written one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def replace_all(df: DataFrame, path: str, key: str, order: list | None = None) -> None:
-    """Overwrites ``path`` with one row for each key: the first by ``order``."""
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*(order or [F.lit(0)]))))
+    """Overwrites ``path`` with one row for each key: the first by ``order``, by default by the other columns, so that reruns keep the same."""
+    rest = [c for c in df.columns if c != key and df.schema[c].dataType.typeName() != "map"]
+    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*(order or rest or [key]))))
     ranked.where("_r = 1").drop("_r").write.mode("overwrite").parquet(path)
 
 
+def ingest(stream: DataFrame, folder: str, keys: list[str], checkpoint: str, valid: str = "true") -> StreamingQuery:
+    """Upserts what is available of a stream of rows into a table of versions under ``folder``.
+
+    Rows that don't meet ``valid`` are turned away. Each batch writes the next
+    version whole and readers take the last (``last_version``), so a batch
+    that is run again writes the same one.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        fresh = batch.where(valid)
+        old = spark.read.schema(stream.schema).parquet(f"{folder}/v={number - 1}") if number else spark.createDataFrame([], stream.schema)
+        upsert(old, fresh, keys).write.mode("overwrite").parquet(f"{folder}/v={number}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version that ``ingest`` has written whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return spark.read.parquet(f"{folder}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+
+
 def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     df.write.mode("overwrite").partitionBy(*columns).parquet(path)
 

@@ -56,6 +56,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.json(path, schema=schema)
 
 
+def read_json_config(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A hand-kept JSON file: one object, or an array of them, over many lines."""
+    return spark.read.json(path, schema=schema, multiLine=True)
+
+
+def rows_of_keys(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose key is listed; a semi-join, which AQE broadcasts if the list is small."""
+    return df.join(keys.select(*columns).distinct(), list(columns), "left_semi")
+
+
 def read_jdbc(spark: SparkSession, url: str, query: str, fetch: int = 2000, **options: str) -> DataFrame:
     """A query of a database, read in batches of ``fetch`` rows (needs the driver's jar)."""
     return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch), **options).load()

@@ -22,13 +22,12 @@ def test_words_and_quotes(spark):
     assert editorial.recurring_word(ranked).collect() == [("a", "river", 5)]
 
 
-def test_fragments_and_namesakes(spark):
-    prints = spark.createDataFrame([("a", f"f{i}") for i in range(4)] + [("a & bee", "f1"), ("a & bee", "f2"), ("bee", "q")], "artist string, fp string")
-    credits = spark.createDataFrame([("a & bee",)], "artist string")
-    assert [(r.part, r.overlap) for r in editorial.fragments(prints, credits).collect()] == [("a", 0.5)]
-    songs = [("x", "en", "one", i) for i in range(5)] + [("x", "fr", "two", 9), ("x", "fr", "two", 10), ("y", "en", "one", 11), ("y", "en", "one", 12), ("y", "de", "one", 13), ("y", "de", "one", 14)]
-    got = editorial.namesakes(spark.createDataFrame(songs, "artist string, lang string, album string, song_id long")).collect()
-    assert [(r.artist, r.lang) for r in got] == [("x", "fr")]
+def test_fragments(spark):
+    prints = spark.createDataFrame([("a", f"f{i}") for i in range(4)] + [("a & bee", "f1"), ("bee", "f2"), ("bee", "q")], "artist string, fp string")
+    pages = spark.createDataFrame([("a", 30), ("a & bee", 30), ("bee", 3)], "artist string, songs long")
+    assert [(r.part, r.whole, r.overlap) for r in editorial.fragments(prints, pages).collect()] == [("a", "a & bee", 0.5)]
+    twins = spark.createDataFrame([("x", f"f{i}") for i in range(4)] + [("y", f"f{i}") for i in range(3)] + [("z", "f0")], "artist string, fp string")
+    assert [(r.artist, r.twin, r.overlap) for r in editorial.twins(twins, twins.where("artist = 'x'")).collect()] == [("x", "y", 0.75)]
 
 
 def test_sheets_and_samples(spark):
@@ -38,8 +37,8 @@ def test_sheets_and_samples(spark):
     rows = spark.createDataFrame([("a", i, i % 7) for i in range(40)], "artist string, song_id long, wc long")
     r = editorial.sampled_payload(rows, 10).first()
     assert (r.songs, len(r.sampled), r.limited) == (34, 10, False)
-    places = spark.createDataFrame([(1, "ttr", 60), (1, "wc", 55), (2, "wc", 99)], "song_id long, metric string, pct long")
-    assert {(r.song_id, r.metric) for r in editorial.lead_figure(places, "song_id", {"ttr": 12}).collect()} == {(1, "wc"), (2, "wc")}
+    places = spark.createDataFrame([(1, "ttr", 75), (1, "wc", 68), (2, "wc", 99), (3, "wc", 64)], "song_id long, metric string, pct long")
+    assert {(r.song_id, r.metric) for r in editorial.lead_figure(places, "song_id", {"ttr": 30}).collect()} == {(1, "wc"), (2, "wc")}
     fresh = spark.createDataFrame([(1, 10, None)], "song_id long, wc long, first_s double")
     stored = spark.createDataFrame([(1, 9, 1.5)], "song_id long, wc long, first_s double")
     assert editorial.refresh_readings(stored, fresh, ["first_s"]).collect() == [(1, 10, 1.5)]
