@@ -89,6 +89,27 @@ ORACLES = {
             sum(length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length(role) + 24)::bigint formatted_chars
           from t group by conv_id)
         select conv_id, n_turns::bigint n_turns, sha256(turns) turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, formatted_chars from g""",
+    "op5_near_dedup": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [md5(array_to_string(w, ' '))] else list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i + 3], ' '))) end) s from w),
+        n as (select doc_id, len(s) n from s), x as (select doc_id, unnest(s) h from s),
+        c as (select a.doc_id a, b.doc_id b, count(*) k from x a join x b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+        e as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
+        sym as (select a, b from e union select b, a from e),
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, sym.b from r join sym on r.b = sym.a),
+        g as (select a doc_id, min(b) component_id from r group by 1)
+        select doc_id, n::bigint n_shingles, component_id, doc_id = component_id kept from n join g using (doc_id)""",
+    "op6_suffix_dedup": r"""
+        with t as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+        i as (select doc_id, x, unnest(range(0, len(x) // 2 - 99)) p from t where len(x) >= 200),
+        m as (select doc_id, p, md5(substr(x, 2 * p + 1, 200)) h from i),
+        f as (select doc_id, p from m qualify row_number() over (partition by h order by doc_id, p) > 1),
+        b as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end brk from f),
+        k as (select doc_id, p, sum(brk) over (partition by doc_id order by p) s from b),
+        sp as (select doc_id, s, min(p) a, max(p) + 100 z from k group by 1, 2),
+        nx as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) before from sp),
+        kp as (select doc_id, sum(z - a) n_removed, count(*) n_spans, max(z) last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) kept from nx join t using (doc_id) group by doc_id)
+        select doc_id, (len(x) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) kept_sha256 from t left join kp using (doc_id)""",
     "op7_url_filter": r"""
         with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
         b as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
