@@ -15,6 +15,7 @@ from strophe.functions.text import name_key, unaccented
 from strophe.functions.titles import CLAUSE, INTERLUDE, MEDLEY, NOT_A_SONG, REMIX, SKIT, display_title, is_plain_title, pseudo_artist, squashed, title_key, version_clauses
 from strophe.functions.unicode import unbracketed
 from strophe.operators.song import word_counts
+from strophe.sources.scratch import Tables, components
 
 # --- what a text is ---------------------------------------------------------------
 
@@ -73,7 +74,7 @@ def containment_pairs(tokens: DataFrame, stop: tuple[str, ...], least: float = 0
     share of uses that the larger one has.
     """
     # read four times below
-    words = cut(word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses"))
+    words = Tables(tokens.sparkSession, "containment").write(word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses"))
     sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n")).where(F.col("n") >= size)
     df = words.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("df"))
     keyed = words.join(sizes, ["artist", "song_id"]).join(df, ["artist", "word"])
@@ -88,31 +89,6 @@ def containment_pairs(tokens: DataFrame, stop: tuple[str, ...], least: float = 0
     return got.withColumn("shared", F.bround(F.col("s") / F.col("n"), 4)).where(F.col("shared") >= least).select("artist", "part", "whole", "shared")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint in the shared folder (a temporary one if none is set and the master is local)."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strophe-"))
-    return df.checkpoint()
-
-
-def label_components(edges: DataFrame) -> DataFrame:
-    """``node, component``: smallest node that ``edges(u, v)`` reach, by rounds of joins with pointer jumps."""
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    now = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label")))
-    while True:
-        near = both.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
-        step = now.select("node", F.col("label").alias("old")).join(near, "node").select("node", "old", F.least("old", "m").alias("label"))
-        step = cut(step.join(step.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        if step.where(F.col("old") != F.col("label")).isEmpty():
-            return step.select("node", F.col("label").alias("component"))
-        now = step.select("node", "label")
-
-
 def song_groups(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``song_id, artist, group_id``: rows of one artist that share a title key or a fingerprint, or that ``links(u, v)`` join.
 
@@ -134,7 +110,7 @@ def song_groups(rows: DataFrame, links: DataFrame | None = None) -> DataFrame:
     printed = rows.where("fp is not null")
     by_fp = printed.join(printed.groupBy("artist", "fp").agg(F.min("song_id").alias("v")), ["artist", "fp"]).select(F.col("song_id").alias("u"), "v")
     edges = by_key.union(by_fp)
-    comp = label_components(edges if links is None else edges.union(links.select("u", "v")))
+    comp = components(edges if links is None else edges.union(links.select("u", "v")), Tables(rows.sparkSession, "groups"))
     return rows.join(comp.withColumnRenamed("node", "song_id"), "song_id", "left").select("song_id", "artist", F.coalesce("component", "song_id").alias("group_id"))
 
 
@@ -253,7 +229,8 @@ def medleys(pairs: DataFrame, words: DataFrame, keys: DataFrame, bigger: float =
     ``most`` of it; then it is linked to that one. Other wholes are linked to
     their parts.
     """
-    words, pairs = cut(words), cut(pairs)
+    tables = Tables(words.sparkSession, "medleys")
+    words, pairs = tables.write(words), tables.write(pairs)
     sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n"))
     n_of = lambda name, column: sizes.select(F.col("song_id").alias(name), F.col("n").alias(column))
     held = pairs.select("artist", "part", "whole")
