@@ -8,9 +8,10 @@ query runs a beam search in each shard, and the shards' best are merged.
 
 Equal vectors are pre-aggregated, so a vector that a third of all rows share is
 one node, and so are vectors of one direction in a shard. Distances are lengths
-of differences of unit vectors in double precision, so vectors that differ only
-in late digits are told apart. Where the whole beam lies at the distance of the
-k-th, the shard is searched exactly for that query.
+of differences of unit vectors, which lose nothing to cancellation: in single
+precision while the graph is built and walked, in double precision for all that
+a beam ends with. Where the whole beam lies at the distance of the k-th, within
+what single precision tells apart, the shard is searched exactly for that query.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ from strophe.llm.common import Tables, ship
 SHARD, DEGREE, BUILD_BEAM, BEAM, RELAXED = 16384, 28, 56, 128, 1.2
 #: Nodes inserted together, best nodes expanded together, and entry points besides the medoid.
 BATCH, EXPAND, ENTRIES = 512, 4, 12
-#: Decimals to which the distance of unit vectors is taken: their rounding is some 1e-15.
-DECIMALS = 12
+#: Decimals to which the distance of unit vectors is taken: their rounding is some 1e-15. Distances that single precision may confuse.
+DECIMALS, CONFUSED = 12, 2e-6
 
 
 def distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distance of unit vectors: of each query to its row of ids (-1: infinite)."""
-    d = np.empty(ids.shape)
+    d = np.empty(ids.shape, x.dtype)
     step = max(1, (1 << 18) // max(1, ids.shape[1] * x.shape[1]))
     for at in range(0, len(ids), step):
         apart = x[ids[at:at + step]]
@@ -164,7 +165,8 @@ def search_shards(k: int, beam: int, degree: int):
         for w, i in zip(of.ravel().tolist(), ids, strict=True):
             own[w] += i
         x = x[first]
-        return x, [sorted(set(i))[:k + 1] for i in own], *build_graph(x, degree)
+        single = x.astype(np.float32)
+        return x, single, [sorted(set(i))[:k + 1] for i in own], *build_graph(single, degree)
 
     def within(x: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
         """For each query all nodes that are no farther than the (k+1)-th nearest, float error included."""
@@ -175,12 +177,14 @@ def search_shards(k: int, beam: int, degree: int):
             yield from (np.flatnonzero(row >= low - 1e-11) for row, low in zip(s, least, strict=True))
 
     def answer(state: tuple, q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        x, ids, graph, entries = state
+        x, single, ids, graph, entries = state
         q = unit(q)
-        found, d = beam_search(x, graph, entries, q, min(max(beam, 2 * k), len(x) + 2 * k))
-        d = np.sqrt(d)
+        found, edge = beam_search(single, graph, entries, q.astype(np.float32), min(max(beam, 2 * k), len(x) + 2 * k))
+        d = np.sqrt(distances(x, q, found))
+        order = np.argsort(d, axis=1, kind="stable")
+        found, d = np.take_along_axis(found, order, 1), np.take_along_axis(d, order, 1)
         # a beam that ends at the distance of the k-th may have left out others of that distance
-        tied = np.flatnonzero((found[:, -1] >= 0) & (d[:, -1] - d[:, k] <= 10.0 ** (1 - DECIMALS))) if k < min(len(x), found.shape[1]) else np.empty(0, np.int64)
+        tied = np.flatnonzero((found[:, -1] >= 0) & (np.sqrt(edge[:, -1]) - d[:, k] <= CONFUSED)) if k < min(len(x), found.shape[1]) else np.empty(0, np.int64)
         exact = dict(zip(tied.tolist(), within(x, q[tied]), strict=True))
         out = []
         for at, (row, q_id, vec) in enumerate(zip(found, q_ids.tolist(), q, strict=True)):
