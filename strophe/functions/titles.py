@@ -100,6 +100,24 @@ def title_key(title: Column, artist: Column | None = None) -> Column:
     return bound(k, lambda x: bound(F.regexp_replace(x, r"\s+(?:19|20)\d{2}$", ""), lambda short: F.when(F.length(short) >= 3, short).otherwise(x)))
 
 
+#: Words of a last part after a dash that make it no part of the title, and of a bracket that stays.
+DASH_JUNK = r"(?i)remaster|edit|acoustic|live|version|mix|demo"
+FEATURED = r"(?i)\b(?:feat\.?|ft\.?|featuring)\b"
+
+
+def clean_title(title: Column) -> Column:
+    """Without a last part after a dash that names a version, and without brackets but those that credit a guest."""
+
+    def bare(t: Column) -> Column:
+        parts = F.split(t, " - ")
+        kept = F.when((F.size(parts) > 1) & F.element_at(parts, -1).rlike(DASH_JUNK), F.array_join(F.slice(parts, 1, F.size(parts) - 1), " - ")).otherwise(t)
+        brackets = lambda k: F.filter(F.regexp_extract_all(k, F.lit(r"\([^)]*\)|\[[^\]]*\]"), F.lit(0)), lambda b: ~b.rlike(FEATURED))
+        gone = bound(kept, lambda k: stripped(F.aggregate(brackets(k), k, lambda a, b: F.replace(a, b, F.lit("")))))
+        return bound(gone, lambda g: F.when(g == "", t).otherwise(g))
+
+    return bound(title, bare)
+
+
 def guarded(title: Column) -> Column:
     """Titles whose words keep them from the junk rules."""
     return title.rlike(GUARD)

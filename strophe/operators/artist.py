@@ -104,11 +104,11 @@ def density_curve(curves: DataFrame, least: int = 5) -> DataFrame:
 
 
 def album_rollup(counted: DataFrame, tokens: DataFrame, least: int = 3, k: int = 12) -> DataFrame:
-    """``artist, album, songs, words, unique_words, avg_ttr`` of the largest albums (``lang`` stands for the album)."""
-    sums = counted.groupBy("artist", "lang").agg(F.count(F.lit(1)).alias("songs"), F.sum("wc").alias("words"), mean("ttr").alias("avg_ttr")).where(F.col("songs") >= least)
+    """``artist, album, songs, words, unique_words, avg_ttr, avg_wpm`` of the ``k`` largest albums of ``least`` songs (``lang`` stands for the album)."""
+    sums = counted.groupBy("artist", "lang").agg(F.count(F.lit(1)).alias("songs"), F.sum("wc").alias("words"), mean("ttr").alias("avg_ttr"), mean("wpm").alias("avg_wpm")).where(F.col("songs") >= least)
     vocabulary = tokens.select("artist", "lang", "word").distinct().groupBy("artist", "lang").agg(F.count(F.lit(1)).alias("unique_words"))
     ranked = sums.join(vocabulary, ["artist", "lang"]).withColumn("r", F.row_number().over(W.partitionBy("artist").orderBy(F.desc("songs"), "lang")))
-    return ranked.where(F.col("r") <= k).select("artist", F.col("lang").alias("album"), "songs", "words", "unique_words", "avg_ttr")
+    return ranked.where(F.col("r") <= k).select("artist", F.col("lang").alias("album"), "songs", "words", "unique_words", "avg_ttr", "avg_wpm")
 
 
 def catalogue_list(counted: DataFrame, k: int = 500) -> DataFrame:

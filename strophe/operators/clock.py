@@ -75,4 +75,4 @@ def silences(timed: DataFrame, least: float) -> DataFrame:
 
 def words_per_minute(stats: DataFrame) -> DataFrame:
     """Adds ``wpm`` from ``wc`` and ``duration`` (null under 30 seconds)."""
-    return stats.withColumn("wpm", F.when(F.col("duration") >= 30, F.bround(F.col("wc") / (F.col("duration") / 60), 1)))
+    return stats.withColumn("wpm", F.when(F.col("duration") >= 30, F.rint(F.col("wc") * 600 / F.col("duration")) / 10))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strophe.functions.text import name_tokens, ordinal, token_array, unaccented
-from strophe.functions.titles import display_title, squashed, version_clauses
+from strophe.functions.text import minutes, name_key, name_tokens, ordinal, percent, token_array, unaccented
+from strophe.functions.titles import clean_title, display_title, squashed, title_key, version_clauses
 from strophe.functions.words import CREDITS, EN_SPELLINGS, LABELS, SPLIT_SCRIPT
 
 #: Titles of mash-ups, and of versions that a quote is taken from only where nothing else has the word.
@@ -51,7 +51,7 @@ def signature_words(words: DataFrame, stop: tuple[str, ...], k: int = 150, uses:
     rows = own.where(F.col("uses") >= uses).join(freq, "word").join(totals, "artist").join(F.broadcast(corpus))
     rows = rows.withColumn("x", (F.col("uses") / F.col("total") * 1000) / F.greatest(F.col("freq") / F.col("corpus") * 1000, F.lit(0.0005))).where(F.col("x") >= ratio)
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("artist").orderBy(F.desc(F.bround("x", 6)), "word")).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("artist", "rank", "word", F.bround("x", 4).alias("ratio"))
+    return ranked.where(F.col("rank") <= k).select("artist", "rank", "word", F.bround("x", 1).alias("ratio"))
 
 
 def unpivoted(rows: DataFrame, metrics: list[str], *keep: str) -> DataFrame:
@@ -302,6 +302,47 @@ def interesting(places: DataFrame, key: str) -> DataFrame:
     return third.select(key, "metric", "pct", F.lit("high").alias("side")).union(low.select(key, "metric", "pct", F.lit("low").alias("side")))
 
 
-def verdict(pct: Column, name: str) -> Column:
-    """A sentence for a percentile."""
-    return F.when(pct >= 90, F.lit(f"{name} far above most songs")).when(pct >= 50, F.lit(f"{name} above the middle")).when(pct <= 10, F.lit(f"{name} far below most songs")).otherwise(F.lit(f"{name} below the middle"))
+def song_verdict(rows: DataFrame) -> Column:
+    """Two or three plain sentences on a song's length, repetition and pace; null for a song that none is true of.
+
+    Reads ``wc, rep, first_s, wpm`` and the percentiles ``wc_pct, rep_pct,
+    wpm_pct``; a percentile that is missing says nothing.
+    """
+    said = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("long").cast("string")
+    pct, text = F.col, lambda c: F.col(c).cast("string")
+    other = lambda c: (100 - F.col(c)).cast("string")
+    length = (
+        F.when(pct("wc_pct") >= 80, said("Long for a song: ", F.format_number("wc", 0), " words, more than ", text("wc_pct"), "% of everything we have read."))
+        .when(pct("wc_pct") <= 20, said("Short: ", text("wc"), " words, fewer than ", other("wc_pct"), "% of everything we have read."))
+        .when(pct("wc_pct").isNotNull(), said(text("wc"), " words, an ordinary length."))
+    )
+    again = (
+        F.when(F.col("rep") == 0, "No line is sung twice.")
+        .when(pct("rep_pct") >= 75, said("It leans on repetition: ", percent(F.col("rep")), " of its lines come back, more than in ", text("rep_pct"), "% of songs."))
+        .when(pct("rep_pct") <= 25, said("It rarely repeats itself: only ", percent(F.col("rep")), " of its lines come back."))
+    )
+    pace = (
+        F.when(F.col("first_s") >= 30, said("The first word waits ", minutes(F.col("first_s")), "."))
+        .when(pct("wpm_pct") >= 85, said("And it moves: ", whole("wpm"), " words a minute, faster than ", text("wpm_pct"), "% of songs."))
+        .when(pct("wpm_pct") <= 15, said("It takes its time: ", whole("wpm"), " words a minute, slower than ", other("wpm_pct"), "% of songs."))
+    )
+    return F.nullif(F.concat_ws(" ", length, again, pace), F.lit(""))
+
+
+def pick_rows(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``artist, place, song_id``: the row that stands for each title of a catalogue.
+
+    ``rows``: ``artist, song_id, title, wc``; ``catalogue``: ``artist, place,
+    title, wc``. A title has three keys: its own, that of its clean form, and
+    its title key; a key that several catalogue titles share is the first
+    one's. A row goes to the title of the first of its keys that is wanted. Of
+    a title's rows the first of the same word count is taken, else the first.
+    """
+    keys = lambda: F.array(name_key(F.col("title")), name_key(clean_title(F.col("title"))), F.concat(F.lit("k:"), title_key(F.col("title"))))
+    wanted = catalogue.select("artist", "place", F.col("wc").alias("_wc"), F.explode(keys()).alias("k")).where("k not in ('', 'k:')")
+    first = wanted.groupBy("artist", "k").agg(F.min(F.struct("place", "_wc")).alias("w"))
+    asked = rows.select("artist", "song_id", "wc", F.posexplode(keys()).alias("i", "k")).join(first, ["artist", "k"])
+    mine = asked.groupBy("artist", "song_id", "wc").agg(F.min(F.struct("i", "w")).alias("b"))
+    best = mine.groupBy("artist", F.col("b.w.place").alias("place")).agg(F.min(F.struct((F.coalesce(F.col("wc") != F.col("b.w._wc"), F.lit(True))).alias("d"), "song_id")).alias("r"))
+    return best.select("artist", "place", F.col("r.song_id").alias("song_id"))

@@ -9,26 +9,28 @@ from pyspark.sql import functions as F
 from strophe.functions.text import name_key, token_array
 from strophe.functions.titles import pseudo_artist, title_key
 from strophe.functions.words import SPLIT_SCRIPT
+from strophe.operators.artist import highlight_columns, highlight_parts, mean
 from strophe.operators.classify import JUNK, filler
 from strophe.operators.lookup import seeded_hash
 from strophe.operators.resolve import canonical_dedupe
 
 
 def build_catalogues(songs: DataFrame, least: int = 5) -> DataFrame:
-    """``artist, song_count, total_words, words_per_song, longest_song`` of what stays of an artist's rows.
+    """``artist, song_count, total_words, words_per_song, avg_ttr`` and the records of what stays of an artist's rows.
 
-    ``songs``: ``artist, song_id, title, wc, reason``. Rows with a reason go,
-    versions of a title count once (the longest), and artists of fewer than
-    ``least`` songs have no catalogue. Names that differ in case are one
-    artist, shown as most of its rows spell it (then by code point).
+    ``songs``: ``artist, song_id, title, wc, ttr, reason``. Rows with a reason
+    go, versions of a title count once (the longest, under the shortest
+    title), and artists of fewer than ``least`` songs have no catalogue. Names
+    that differ in case are one artist, shown as most of its rows spell it
+    (then by code point).
     """
     rows = songs.where("reason is null").withColumn("a", F.lower(F.trim("artist")))
     spelled = rows.groupBy("a", "artist").agg(F.count(F.lit(1)).alias("n"))
     shown = spelled.groupBy("a").agg(F.max(F.struct("n", "artist")).alias("s")).select("a", F.col("s.artist").alias("shown"))
-    one = canonical_dedupe(rows.select(F.col("a").alias("artist"), title_key(F.col("title")).alias("key"), "song_id", "title", "wc"))
-    sums = one.groupBy(F.col("artist").alias("a")).agg(F.count(F.lit(1)).alias("song_count"), F.sum("wc").alias("total_words"), F.max(F.struct("wc", (-F.col("song_id")).alias("o"))).alias("l"))
+    one = canonical_dedupe(rows.select(F.col("a").alias("artist"), title_key(F.col("title")).alias("key"), "song_id", "title", "wc")).join(rows.select("song_id", "ttr"), "song_id")
+    sums = one.groupBy(F.col("artist").alias("a")).agg(F.count(F.lit(1)).alias("song_count"), F.sum("wc").alias("total_words"), mean("ttr").alias("avg_ttr"), *highlight_parts())
     full = sums.where(F.col("song_count") >= least).join(shown, "a")
-    return full.select(F.col("shown").alias("artist"), "song_count", "total_words", F.bround(F.col("total_words") / F.col("song_count"), 4).alias("words_per_song"), (-F.col("l.o")).alias("longest_song"))
+    return full.select(F.col("shown").alias("artist"), "song_count", "total_words", F.bround(F.col("total_words") / F.col("song_count"), 4).alias("words_per_song"), "avg_ttr", *highlight_columns())
 
 
 def clock_fold(clocks: DataFrame, songs: DataFrame) -> DataFrame:

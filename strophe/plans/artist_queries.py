@@ -38,7 +38,8 @@ def density_curve(spark, sf):
 
 def album_rollup(spark, sf):
     s = songs(spark, sf)
-    return artist.album_rollup(artist.counted_songs(s), token_table(s))
+    counted = artist.counted_songs(s).withColumn("duration", F.col("song_id") % 300 + 20)
+    return artist.album_rollup(clock.words_per_minute(counted), token_table(s))
 
 
 def catalogue_list(spark, sf):
@@ -101,9 +102,10 @@ ORACLES = {
         s as (select artist, unnest(range(10)) part from k where songs >= 5)
         select artist, part, round_even(coalesce(n, 0)::double / (sum(coalesce(n, 0)) over (partition by artist))::double, 3) share from s left join p using (artist, part)""",
     "album_rollup": f"""
-        with {COUNTED}, s as (select artist, lang, count(*) songs, sum(wc)::bigint words, round_even(sum(round(ttr * 10000)::bigint)::double / count(*)::double, 0) / 10000 avg_ttr from counted group by 1, 2 having count(*) >= 3),
+        with {COUNTED}, s as (select artist, lang, count(*) songs, sum(wc)::bigint words, round_even(sum(round(ttr * 10000)::bigint)::double / count(*)::double, 0) / 10000 avg_ttr,
+          round_even(sum(round(wpm * 10000)::bigint)::double / count(wpm)::double, 0) / 10000 avg_wpm from (select *, case when song_id % 300 + 20 >= 30 then round_even(wc * 600 / (song_id % 300 + 20)::double, 0) / 10 end wpm from counted) group by 1, 2 having count(*) >= 3),
         v as (select artist, lang, count(distinct word) unique_words from tokens group by 1, 2)
-        select artist, lang album, songs, words, unique_words, avg_ttr from s join v using (artist, lang) qualify row_number() over (partition by artist order by songs desc, lang) <= 12""",
+        select artist, lang album, songs, words, unique_words, avg_ttr, avg_wpm from s join v using (artist, lang) qualify row_number() over (partition by artist order by songs desc, lang) <= 12""",
     "catalogue_list": f"""
         with {COUNTED} select artist, row_number() over (partition by artist order by wc desc, song_id) place, song_id, wc, uniq from counted qualify place <= 500""",
     "artist_texture": f"""

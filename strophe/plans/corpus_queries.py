@@ -170,7 +170,7 @@ def percentile_places(spark, sf):
 
 
 def interesting_stats(spark, sf):
-    return corpus.interesting(percentile_places(spark, sf), "song_id").withColumn("verdict", corpus.verdict(F.col("pct"), "stands"))
+    return corpus.interesting(percentile_places(spark, sf), "song_id")
 
 
 def catalogue_standing(spark, sf):
@@ -298,7 +298,7 @@ ORACLES = {
     "signature_words": f"""
         with {CANDIDATES}, f as (select word, sum(uses) freq from cand group by 1), t as (select artist, sum(uses) total from aw group by 1), k as (select sum(uses) corpus from aw),
         x as (select artist, word, (uses::double / total::double * 1000) / greatest(freq::double / corpus::double * 1000, 0.0005) x from cand join f using (word) join t using (artist), k where uses >= 5)
-        select artist, row_number() over (partition by artist order by round_even(x, 6) desc, word) "rank", word, round_even(x, 4) ratio from x where x >= 2 qualify "rank" <= 150""",
+        select artist, row_number() over (partition by artist order by round_even(x, 6) desc, word) "rank", word, round_even(x, 1) ratio from x where x >= 2 qualify "rank" <= 150""",
     "language_word_df": f"with {LANG_DF} select lang, word, n, artists, idf, share from ldf",
     "foreign_words": f"with {LANG_DF_OF('song_id', 1, 1)}, b as (select *, max(share) over (partition by word) best from ldf) select lang, word from b where best > share and best >= 0.02 and share < 0.003",
     "function_words": f"with {LANG_DF} select lang, word, word in ({STOP}) or share >= 0.5 is_function from ldf",
@@ -309,7 +309,7 @@ ORACLES = {
         hi as (select *, row_number() over (partition by song_id order by away desc, metric) r from z where pct >= 50 qualify r <= 3),
         lo as (select *, row_number() over (partition by song_id order by away desc, metric) r from z where pct < 50 qualify r = 1),
         u as (select song_id, metric, pct, 'high' side from hi where r <= 2 or song_id not in (select song_id from lo) union all select song_id, metric, pct, 'low' from lo)
-        select *, case when pct >= 90 then 'stands far above most songs' when pct >= 50 then 'stands above the middle' when pct <= 10 then 'stands far below most songs' else 'stands below the middle' end verdict from u""",
+        select * from u""",
     "catalogue_standing": f"""
         {LONG_LINES}, o2 as (select artist, song_id, wc, row_number() over (partition by artist order by wc, song_id) i, count(*) over (partition by artist) n from rows_)
         select artist, song_id, rank() over (partition by artist order by wc desc) "rank", n "of", max(wc) filter (i = n // 2 + 1) over (partition by artist) "median", min(wc) over (partition by artist) low, max(wc) over (partition by artist) high from o2""",

@@ -15,7 +15,7 @@ from strophe.sources.tables import songs, table
 
 def built_catalogues(spark, sf):
     s = songs(spark, sf)
-    rows = artist.counted_songs(s).select("artist", "song_id", "title", "wc").join(corpus_queries.non_song_reasons(spark, sf), "song_id")
+    rows = artist.counted_songs(s).select("artist", "song_id", "title", "wc", "ttr").join(corpus_queries.non_song_reasons(spark, sf), "song_id")
     return editorial.build_catalogues(rows)
 
 
@@ -91,10 +91,13 @@ KEYS = f"n0 as (select song_id, artist, title, regexp_replace(title, {q(SITE)},
 ORACLES = {
     "built_catalogues": f"""
         with {artist_queries.COUNTED}, rs as ({C["non_song_reasons"]}), {KEYS},
-        x as (select keys.*, wc from keys join counted using (song_id) join rs using (song_id) where reason is null),
-        d as (select lower(trim(artist)) a, key, max(wc) wc, arg_min(song_id, (-wc, song_id)) song_id from x group by 1, 2),
-        sp as (select lower(trim(artist)) a, arg_max(artist, (n, artist)) artist from (select artist, count(*) n from x group by 1) group by 1)
-        select sp.artist, count(*) song_count, sum(wc)::bigint total_words, round_even(sum(wc)::double / count(*)::double, 4) words_per_song, arg_min(song_id, (-wc, song_id)) longest_song from d join sp using (a) group by sp.artist having count(*) >= 5""",
+        x as (select keys.*, wc, ttr from keys join counted using (song_id) join rs using (song_id) where reason is null),
+        d as (select lower(trim(artist)) a, key, max(wc) wc, arg_min(song_id, (-wc, song_id)) song_id, arg_min(ttr, (-wc, song_id)) ttr, arg_min(title, (length(title), -song_id)) title from x group by 1, 2),
+        sp as (select lower(trim(artist)) a, arg_max(artist, (n, artist)) artist from (select artist, count(*) n from x group by 1) group by 1),
+        f as (select *, wc >= 80 and not regexp_matches(lower(title), '[(\\[](?:demo|snippet|teaser|promo|skit)[)\\]]') fit from d), pool as (select * from f qualify fit or not bool_or(fit) over (partition by a)),
+        hi as (select a, arg_min(song_id, (-wc, song_id)) longest_song, max(wc) longest_words, arg_min(song_id, (wc, song_id)) shortest_song, arg_min(song_id, (-ttr, song_id)) richest_song from pool group by 1),
+        su as (select a, count(*) song_count, sum(wc)::bigint total_words, round_even(sum(wc)::double / count(*)::double, 4) words_per_song, round_even(sum(round(ttr * 10000)::bigint)::double / count(*)::double, 0) / 10000 avg_ttr from d group by 1 having count(*) >= 5)
+        select sp.artist, song_count, total_words, words_per_song, avg_ttr, longest_song, longest_words, shortest_song, richest_song from su join sp using (a) join hi using (a)""",
     "clock_fold": f"""
         with c as ({S["clock_summary"]}), p as (select distinct user_id song_id, user_id % 10 artist from events)
         select artist, round_even(count(first_s)::double / count(*)::double, 4) synced_share, round_even(sum(round(first_s * 10)::bigint)::double / count(first_s)::double, 0) / 10 avg_first_s, max(gap_s) longest_silence_s,

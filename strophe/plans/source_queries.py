@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strophe.functions import text, unicode
-from strophe.functions.titles import canonical_title
-from strophe.operators import artist, clock, editorial, fold, lookup, payload, resolve, song
-from strophe.plans.resolve_queries import DECORATED, canonical_sql, decorated_parts
+from strophe.functions.titles import SITE, canonical_title
+from strophe.functions.words import NO_ARTIST_TRACKS
+from strophe.operators import artist, classify, clock, corpus, editorial, fold, lookup, payload, resolve, song
+from strophe.plans import corpus_queries
+from strophe.plans.resolve_queries import DECORATED, canonical_sql, decorated_parts, numbered_sql
 from strophe.plans.song_queries import ORACLES as SONG_SQL
 from strophe.plans.sqltext import SONGS, TOKEN, TOKENS, q
 from strophe.sources import sinks, tables
@@ -170,9 +172,42 @@ def years_backfilled(spark, sf):
 def fold_rows(spark, sf):
     s = songs(spark, sf)
     clocks = clock.clock_summary(clock.first_stamps(synced_songs(spark, sf))).select("song_id", "first_s", "gap_s", "fast")
-    duration = F.col("song_id") % 300 + 20
-    rows = song.song_reading(s).join(song.title_drops(s), "song_id").join(s.select("song_id", "title"), "song_id").join(clocks, "song_id", "left")
-    return rows.withColumns({"wpm": F.when(duration >= 30, F.rint(F.col("wc") * 600 / duration) / 10), "has_synced": F.col("first_s").isNotNull()})
+    rows = song.song_reading(s).withColumn("duration", F.col("song_id") % 300 + 20)
+    rows = clock.words_per_minute(rows).join(song.title_drops(s), "song_id").join(s.select("song_id", "title"), "song_id").join(clocks, "song_id", "left")
+    return rows.withColumn("has_synced", F.col("first_s").isNotNull())
+
+
+EXTRA = ("question_share", "avg_repetition_ratio", "avg_word_length", "total_unique_words", "avg_ttr", "avg_wpm", "avg_hook_share", "avg_rhyme", "avg_words_per_song")
+
+
+def extra_percentiles(spark, sf):
+    """Where artists of 25 songs or more stand by what the fold doesn't place them by."""
+    return corpus.percent_below(folded_artists(spark, sf).where("song_count >= 25"), "artist", list(EXTRA))
+
+
+def picked_rows(spark, sf):
+    """A quarter of the parts as a catalogue, all as uploads."""
+    rows = decorated_parts(spark, sf)
+    listed = table(spark, sf, "part").where("p_partkey % 4 = 0").select(F.col("p_brand").alias("artist"), F.col("p_partkey").alias("place"), F.col("p_name").alias("title"), (F.col("p_size") * 10).cast("long").alias("wc"))
+    return corpus.pick_rows(rows, listed)
+
+
+def junk_artists(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit(" Tribute Band"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Genius "), "c_name")).when(F.col("c_custkey") % 20 == 2, " NaN ").otherwise(F.col("c_name")).alias("name"))
+    return c.select("c_custkey", classify.junk_artist(F.col("name")).alias("pages"), classify.junk_artist(F.col("name"), NO_ARTIST_TRACKS).alias("tracks"))
+
+
+def whole_words(spark, sf):
+    """Documents in letters of a script whose vowel signs break words, and what the lines give back."""
+    s = songs(spark, sf).where("lang = 'en'").withColumn("lyrics", F.translate(F.lower("lyrics"), "aeioubcdfghklmnprstvwy", "ािीुूकखगघचछजटडणतदनपफबम"))
+    return editorial.whole_words(text.token_table(s).select("word").distinct(), text.line_table(s).select("line"))
+
+
+def verdicts(spark, sf):
+    rows = corpus_queries.archive_rows(spark, sf)
+    places = corpus_queries.archive_places(spark, sf).where("metric in ('wc', 'rep', 'wpm')").groupBy("song_id").pivot("metric", ["wc", "rep", "wpm"]).agg(F.first("pct")).toDF("song_id", "wc_pct", "rep_pct", "wpm_pct")
+    both = rows.join(places, "song_id", "left")
+    return both.select("song_id", corpus.song_verdict(both).alias("verdict"))
 
 
 def folded_artists(spark, sf):
@@ -185,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         table_columns, keyed_rows, sampled_songs, song_sample, artist_sample, slim_meta, patched_customers, trimmed_orders, kept_customers, restored_customers,
-        unicode_forms, name_forms, date_forms, cleaned_raw, lrc_events, synced_clock, aligned_lines, clock_backfill, refreshed_readings, years_backfilled, folded_artists,
+        unicode_forms, name_forms, date_forms, cleaned_raw, lrc_events, synced_clock, aligned_lines, clock_backfill, refreshed_readings, years_backfilled, folded_artists, extra_percentiles, picked_rows, junk_artists, whole_words, verdicts,
     )
 }
 
@@ -254,3 +289,29 @@ ORACLES = {
         w as (select artist, word, count(*) n, min((song_id, pos)) f from tokens where song_id in (select song_id from x) group by 1, 2), v as (select artist, count(*) total_unique_words, arg_min(word, (-n, f)) top_word, max(n) top_word_n from w group by 1)
         select a.*, total_unique_words, top_word, top_word_n, longest_song, longest_words, shortest_song, richest_song from a join v using (artist) join hi using (artist)""",
 }
+
+ORACLES["extra_percentiles"] = f"""
+    with fold as ({ORACLES["folded_artists"]}), long as (select artist, metric, value from (select artist, {", ".join(f"{m}::double {m}" for m in EXTRA)} from fold where song_count >= 25) unpivot (value for metric in ({", ".join(EXTRA)})))
+    select artist, metric, value, round_even(100.0::double * (rank() over (partition by metric order by value) - 1) / count(*) over (partition by metric), 0)::bigint pct from long"""
+CLEAN = r"""trim(regexp_replace(regexp_replace({t}, ' - [^-]*(?:remaster|edit|acoustic|live|version|mix|demo)[^-]*$', '', 'i'), '\([^)]*\)|\[[^\]]*\]', '', 'g'))"""
+ORACLES["picked_rows"] = rf"""
+    with {DECORATED}, t as (select distinct title from dp union select p_name from part), n0 as (select title, regexp_replace(title, {q(SITE)}, '') n from t), n1 as (select title, {canonical_sql(numbered_sql('n'))} k from n0),
+    ks as (select title, unnest([{KEY}, {KEY.replace("title", "coalesce(nullif(" + CLEAN.format(t="title") + ", ''), title)")}, 'k:' || case when length(regexp_replace(k, '\s+(?:19|20)\d{{2}}$', '')) >= 3 then regexp_replace(k, '\s+(?:19|20)\d{{2}}$', '') else k end]) k, unnest([0, 1, 2]) i from n1),
+    ct as (select p_brand artist, p_partkey place, p_size * 10 wc, k from part join ks on ks.title = p_name where p_partkey % 4 = 0 and k not in ('', 'k:')), fi as (select artist, k, min((place, wc)) w from ct group by 1, 2),
+    ak as (select dp.song_id, dp.artist, p_size * 10 wc, i, w from dp join part on p_partkey = dp.song_id join ks using (title) join fi on fi.artist = dp.artist and fi.k = ks.k), mi as (select song_id, artist, wc, arg_min(w, i) w from ak group by 1, 2, 3)
+    select artist, w[1] place, arg_min(song_id, (wc <> w[2], song_id)) song_id from mi group by 1, 2"""
+ORACLES["junk_artists"] = """
+    with n as (select c_custkey, lower(trim(case when c_custkey % 4 = 0 then c_name || ' Tribute Band' when c_custkey % 4 = 1 then 'Genius ' || c_name when c_custkey % 20 = 2 then ' NaN ' else c_name end)) n from customer)
+    select c_custkey, n in ('', 'nan') or regexp_matches(n, 'genius|translation|romanization|spotify|apple music|soundcloud|annotated|tracklist|booklet') pages,
+      n in ('', 'nan') or regexp_matches(n, 'various artists|soundtrack|original cast|karaoke|tribute|unknown artist|genius|translation') tracks from n"""
+ORACLES["whole_words"] = rf"""
+    with s as (select doc_id song_id, translate(lower(text), 'aeioubcdfghklmnprstvwy', 'ािीुूकखगघचछजटडणतदनपफबम') t from documents where lang = 'en'), w as (select distinct unnest(regexp_extract_all(t, {q(TOKEN)}, 1)) word from s),
+    l as (select unnest(string_split(t, chr(10))) line from s), sp as (select unnest(regexp_extract_all(line, '((?:[\p{{L}}\p{{Nl}}\p{{No}}]|[\x{{0900}}-\x{{0DFF}}]|\x{{200D}})+)', 1)) whole from l where regexp_matches(line, '\S') and not regexp_matches(line, '^\s*\[[^\]]*\]\s*$')),
+    c as (select whole, count(*) n from sp where regexp_matches(whole, '[\x{{0900}}-\x{{0DFF}}]') group by 1), p as (select whole, n, unnest(list_distinct(regexp_extract_all(whole, {q(TOKEN)}, 1))) word from c), b as (select word, arg_max(whole, (n, whole)) whole from p group by 1)
+    select word, coalesce(whole, word) whole from w left join b using (word)"""
+ORACLES["verdicts"] = f"""
+    with pl as ({corpus_queries.ORACLES["archive_places"]}), {corpus_queries.ARCHIVE.replace("l as (", "al as (", 1).replace("from l join", "from al join")}, p as (select song_id, max(pct) filter (metric = 'wc') w, max(pct) filter (metric = 'rep') r, max(pct) filter (metric = 'wpm') m from pl group by 1),
+    x as (select ar.*, w, r, m from ar left join p using (song_id))
+    select song_id, nullif(concat_ws(' ', case when w >= 80 then 'Long for a song: ' || wc || ' words, more than ' || w || '% of everything we have read.' when w <= 20 then 'Short: ' || wc || ' words, fewer than ' || 100 - w || '% of everything we have read.' when w is not null then wc || ' words, an ordinary length.' end,
+      case when rep = 0 then 'No line is sung twice.' when r >= 75 then 'It leans on repetition: ' || floor(rep * 100 + 0.5)::bigint || '% of its lines come back, more than in ' || r || '% of songs.' when r <= 25 then 'It rarely repeats itself: only ' || floor(rep * 100 + 0.5)::bigint || '% of its lines come back.' end,
+      case when first_s >= 30 then 'The first word waits ' || first_s // 60 || ':' || lpad((first_s % 60)::varchar, 2, '0') || '.' when m >= 85 then 'And it moves: ' || floor(wpm + 0.5)::bigint || ' words a minute, faster than ' || m || '% of songs.' when m <= 15 then 'It takes its time: ' || floor(wpm + 0.5)::bigint || ' words a minute, slower than ' || 100 - m || '% of songs.' end), '') verdict from x"""

@@ -6,9 +6,9 @@ from strophe.operators import editorial
 
 
 def test_catalogues(spark):
-    rows = [("Moss", i, f"song {i}", 100 + i, None) for i in range(5)] + [("moss", 9, "Song 1 (Live)", 300, None), ("Moss", 10, "an interview", 5000, "long"), ("Few", 11, "x", 90, None)]
-    got = editorial.build_catalogues(spark.createDataFrame(rows, "artist string, song_id long, title string, wc long, reason string")).collect()
-    assert [(r.artist, r.song_count, r.total_words, r.longest_song) for r in got] == [("Moss", 5, 100 + 102 + 103 + 104 + 300, 9)]
+    rows = [("Moss", i, f"song {i}", 100 + i, 0.5, None) for i in range(5)] + [("moss", 9, "Song 1 (Live)", 300, 0.4, None), ("Moss", 10, "an interview", 5000, 0.1, "long"), ("Few", 11, "x", 90, 0.2, None)]
+    got = editorial.build_catalogues(spark.createDataFrame(rows, "artist string, song_id long, title string, wc long, ttr double, reason string")).collect()
+    assert [(r.artist, r.song_count, r.total_words, r.longest_song, r.avg_ttr, r.shortest_song) for r in got] == [("Moss", 5, 100 + 102 + 103 + 104 + 300, 9, 0.48, 0)]
 
 
 def test_words_and_quotes(spark):
