@@ -17,7 +17,10 @@ strings in them), so the corpus can be dealt into shards by anchor:
    permuted common prefixes show which windows are equal;
 4. an anchor with very many bytes of different segments (a passage that stands
    in a large share of all documents, next to different text each time) is
-   dealt anew by the digest of whole windows, so no task gathers it.
+   dealt anew by what its windows must share around the anchor, up to all but
+   ``SLACK`` bytes of them, and these smaller shards go through steps 2 and 3.
+   Only windows that differ from very many others within those last bytes are
+   dealt by their digests, so no task gathers them.
 
 No counts, anchors or segments reach the driver, and every pre-aggregation is
 combined before its shuffle.
@@ -41,6 +44,8 @@ ANCHOR = 24
 #: Bytes of segments per shard (what fits a core's cache), shards per task up to ``TASKS_PER_CORE`` tasks (then a task takes more), and bytes
 #: of different segments of one anchor above which it is dealt by window.
 SHARD_BYTES, SHARDS_PER_TASK, TASKS_PER_CORE, CROWDED = 1_000_000, 3, 64, 2_000_000
+#: Bytes of a window that the parts of a crowded anchor's segments may differ in.
+SLACK = 10
 #: Letters of a leftmost-smaller substring up to which substrings of large alphabets are sorted directly.
 DIRECT = 256
 
@@ -286,6 +291,18 @@ def spread(x: np.ndarray, reach: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:len(x) - (reach - span)], x[reach - span:]) if span < reach else x
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``ANCHOR`` bytes from each place on."""
+    w = words_at(data, 16)
+    m = len(data) - ANCHOR + 1
+    h = w[:m] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(31)
+    h += w[8:8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(28)
+    h += w[16:16 + m] * np.uint64(0x165667B19E3779F9)
+    return mixed(h)
+
+
 def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int, count: bool = False) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: document, place in it, windows, anchor.
 
@@ -297,14 +314,7 @@ def anchor_runs(data: np.ndarray, sizes: np.ndarray, width: int, count: bool = F
     n = len(data) - width + 1
     if n < 1 or not (sizes >= width).any():
         return (none, none, none, none, none) if count else (none, none, none, none)
-    w = words_at(data, 16)
-    m = len(data) - ANCHOR + 1
-    h = w[:m] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    h += w[8:8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(28)
-    h += w[16:16 + m] * np.uint64(0x165667B19E3779F9)
-    h = mixed(h)
+    h = gram_hashes(data)
     reach = width - ANCHOR + 1
     least = spread(h, reach, np.minimum)
     # windows that stay inside their document
@@ -434,6 +444,36 @@ def shard_repeats(width: int, limit: int):
     return run
 
 
+def split_segments(width: int):
+    """Parts of the segments of a crowded anchor: runs of windows that share ``width - SLACK`` bytes, with the hash of these.
+
+    A window is told by where its first anchor stands in it. Windows in which
+    it stands up to ``SLACK`` places apart share what lies around it, and equal
+    windows have equal places, so they are in parts of one hash.
+    """
+    reach = width - ANCHOR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, s, u, p in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "uid", "place")), strict=True):
+                n = len(s) - width + 1
+                held = np.flatnonzero(gram_hashes(np.frombuffer(s, np.uint8)) == np.uint64(anchor & (1 << 64) - 1))
+                at = held[np.searchsorted(held, np.arange(n))]
+                low = (at - np.arange(n)) // SLACK * SLACK
+                first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (low[1:] != low[:-1])))
+                for a, b in zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True):
+                    lo, around = int(low[a]), int(at[a])
+                    hi = min(lo + SLACK - 1, reach)
+                    key = hashlib.md5(b"%d " % lo + s[around - lo:around + ANCHOR + reach - hi]).digest()
+                    part = s[a:b + width - 1]
+                    out.append((int.from_bytes(key[:8], "little", signed=True), hashlib.md5(part).digest(), part, u, p + a))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["anchor", "sid", "segment", "uid", "place"])
+
+    return run
+
+
 def single_windows(width: int):
     """Digest, document and place of each window of the segments."""
 
@@ -512,19 +552,36 @@ def repeated_windows(rows: DataFrame, tables: Tables, width: int = 100, shard_by
     later = joined.where("later").select("uid", "place", "n")
     parts = joined.where("open and not later").groupBy("uid").agg(F.collect_list(F.struct("anchor", "place", "n")).alias("parts"))
     first = tables.write(texts.join(parts, "uid").mapInArrow(cut_segments(width), "anchor long, segment binary, uid long, place long"))
-    sizes = tables.write(first.groupBy("anchor").agg(F.sum(F.length("segment")).alias("b")))
+    calm, crowd = sharded(first, tables, width, shard_bytes, crowded)
+    out = later.union(calm)
+    if crowd is not None:
+        parts = tables.write(crowd.mapInArrow(split_segments(width), "anchor long, sid binary, segment binary, uid long, place long"))
+        groups = tables.write(parts.groupBy("anchor", "sid").agg(F.min(in_order()).alias("f"), F.count(F.lit(1)).alias("c")))
+        several = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor", F.lit(True).alias("open"))
+        tagged = tables.write(groups.join(several, "anchor", "left").where("c > 1 or open"))
+        told = tables.write(parts.join(tagged, ["anchor", "sid"]).withColumn("later", in_order() > F.col("f")))
+        again = told.where("later").select("uid", "place", (F.length("segment") - (width - 1)).cast("long").alias("n"))
+        calm, crowd = sharded(told.where("open and not later").select("anchor", "segment", "uid", "place"), tables, width, shard_bytes, crowded)
+        out = out.union(again).union(calm)
+        if crowd is not None:
+            split = tables.write(crowd.mapInArrow(single_windows(width), "window binary, uid long, place long"))
+            out = out.union(tables.write(later_windows(split)))
+            tables.drop(split)
+        tables.drop(parts, groups, tagged)
+    tables.drop(first)
+    return out
+
+
+def sharded(segments: DataFrame, tables: Tables, width: int, shard_bytes: int, crowded: int) -> tuple[DataFrame, DataFrame | None]:
+    """Repeated windows (``uid, place, n``) among ``segments(anchor, segment, uid, place)`` by suffix arrays, and the segments of crowded anchors, if any."""
+    sizes = tables.write(segments.groupBy("anchor").agg(F.sum(F.length("segment")).alias("b")))
     crowds = tables.write(sizes.where(F.col("b") > crowded).select("anchor"))
     total = sizes.agg(F.sum("b")).first()[0] or 0
-    tasks = max(1, min(-(-total // (shard_bytes * SHARDS_PER_TASK)), TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism))
-    calm = first.join(crowds, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor", "uid", "place")
+    tasks = max(1, min(-(-total // (shard_bytes * SHARDS_PER_TASK)), TASKS_PER_CORE * segments.sparkSession.sparkContext.defaultParallelism))
+    calm = segments.join(crowds, "anchor", "left_anti").repartition(tasks, "anchor").sortWithinPartitions("anchor", "uid", "place")
     found = tables.write(calm.select("anchor", "segment", "uid", "place").mapInArrow(shard_repeats(width, shard_bytes), "uid long, place long, n long"))
-    out = later.union(found)
-    if not crowds.isEmpty():
-        split = tables.write(first.join(crowds, "anchor", "left_semi").select("segment", "uid", "place").mapInArrow(single_windows(width), "window binary, uid long, place long"))
-        out = out.union(tables.write(later_windows(split)))
-        tables.drop(split)
-    tables.drop(first, crowds)
-    return out
+    tables.drop(sizes)
+    return found, None if crowds.isEmpty() else segments.join(crowds, "anchor", "left_semi").select("anchor", "segment", "uid", "place")
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED) -> DataFrame:

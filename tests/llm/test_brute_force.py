@@ -36,6 +36,19 @@ def test_suffix_array_of_long_ascents():
     assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_suffix_dedup_of_a_crowded_passage(spark):
+    """One passage in most documents, next to other text each time, and texts that repeat a short period."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) + passage[:rng.randint(150, len(passage))] + rng.choice("xy") + " ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    texts += ["ab" * rng.randint(60, 300) + word() for _ in range(12)] + [passage] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowded in (20_000, 900):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, shard_bytes=20_000, crowded=crowded).collect()}
+        assert [got[i] for i in range(len(texts))] == removed(texts, 100)
+
+
 def test_removed_spans(spark):
     rng = random.Random(7)
     own = ["".join(rng.choice("abcdefgh ") for _ in range(260)) for _ in range(4)]
@@ -67,7 +80,7 @@ def removed(texts: list[str], width: int) -> list[tuple[int, int, int, str]]:
     return out
 
 
-@pytest.mark.parametrize("crowded", [2_000_000, 600])
+@pytest.mark.parametrize("crowded", [2_000_000, 3000, 600])
 def test_suffix_dedup(spark, crowded):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(300)]
