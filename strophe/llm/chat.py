@@ -131,9 +131,16 @@ class Expression:
         raise TemplateError(f"unexpected {value!r}")
 
 
+#: A tag; the signs that end one may stand in its strings.
+STRING = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"""
+TAG = re.compile(rf"""(\{{\#.*?\#\}}|\{{\{{(?:{STRING}|[^\"'])*?\}}\}}|\{{%(?:{STRING}|[^\"'])*?%\}})""", re.S)
+
+
 def parse(template: str) -> tuple:
     """The tree: ``("block", [nodes])``. A ``-`` inside a tag trims blanks on that side."""
-    parts = re.split(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", template, flags=re.S)
+    parts = TAG.split(template)
+    if left := next((p for p in parts[::2] if re.search(r"\{[{%#]", p)), None):
+        raise TemplateError(f"a tag is open in {left!r}")
     for k in range(1, len(parts), 2):
         if parts[k][2] == "-":
             parts[k - 1] = parts[k - 1].rstrip()
@@ -161,7 +168,7 @@ def parse(template: str) -> tuple:
         if part.startswith("{{"):
             add(("put", Expression(inside).whole()))
             continue
-        word, _, rest = inside.partition(" ")
+        word, rest = re.match(r"(\w*)\s*(.*)", inside, re.S).groups()
         if word == "for":
             m = re.fullmatch(r"([A-Za-z]\w*)\s+in\s+(.+)", rest.strip(), re.S)
             if not m:

@@ -225,13 +225,14 @@ def test_quality_accuracy(spark):
         ("{% if x == 'y' %}yes{% elif x %}some{% else %}no{% endif %}", {"x": "z"}, [("some", False)]),
         ("{% for m in ms %}{% if not loop.first %}, {% endif %}{% generation %}{{ m.a | up }}{% endgeneration %}{% endfor %}.", {"ms": [{"a": "q"}, {"a": "r"}]}, [("Q", True), (", ", False), ("R", True), (".", False)]),
         ("{% if false %}{{ x }}{% endif %} {{- ' t' }}", {}, [(" t", False)]),
+        ("{{ '}}' + \"%}\" }}{% if\n  x == '%}' %}yes{% endif\n%}{# it's {{ open #}", {"x": "%}"}, [("}}%}", False), ("yes", False)]),
     ],
 )
 def test_templates(template, names, want):
     assert list(chat.compile_template(template, {"up": str.upper})(names)) == want
 
 
-@pytest.mark.parametrize("template", ["{{ x.__class__ }}", "{{ _x }}", "{{ f() }}", "{% while x %}{% endwhile %}", "{% for x in y %}", "{{ x | nothing }}", "{{ 'open }}", "{% endif %}"])
+@pytest.mark.parametrize("template", ["{{ x.__class__ }}", "{{ _x }}", "{{ f() }}", "{% while x %}{% endwhile %}", "{% for x in y %}", "{{ x | nothing }}", "{{ 'open }}", "{% endif %}", "text {% if x", "{{ x"])
 def test_sandbox(template):
     with pytest.raises((chat.TemplateError, IndexError)):
         chat.compile_template(template, {})
