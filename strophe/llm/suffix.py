@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from strophe.llm.common import Tables, ordered, ship, text_parts
 ANCHOR = 24
 #: Bytes of segments per shard (what fits a core's cache), shards per task up to ``TASKS_PER_CORE`` tasks (then a task takes more), and bytes
 #: of different segments of one anchor above which it is dealt by window.
-SHARD_BYTES, SHARDS_PER_TASK, TASKS_PER_CORE, CROWDED = 1_000_000, 3, 64, 2_000_000
+SHARD_BYTES, SHARDS_PER_TASK, TASKS_PER_CORE, CROWDED = 1_000_000, 3, 64, 1_000_000
 #: Bytes of a window that the parts of a crowded anchor's segments may differ in.
 SLACK = 10
 #: Letters of a leftmost-smaller substring up to which substrings of large alphabets are sorted directly.
@@ -453,23 +454,27 @@ def split_segments(width: int):
     """
     reach = width - ANCHOR
 
+    kinds = (("anchor", pa.int64()), ("sid", pa.binary()), ("segment", pa.binary()), ("uid", pa.int64()), ("place", pa.int64()))
+
+    def parts(anchor: int, s: bytes, u: int, p: int) -> Iterator[tuple]:
+        n = len(s) - width + 1
+        held = np.flatnonzero(gram_hashes(np.frombuffer(s, np.uint8)) == np.uint64(anchor & (1 << 64) - 1))
+        at = held[np.searchsorted(held, np.arange(n))]
+        low = (at - np.arange(n)) // SLACK * SLACK
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (low[1:] != low[:-1])))
+        for a, b in zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True):
+            lo, around = int(low[a]), int(at[a])
+            hi = min(lo + SLACK - 1, reach)
+            key = hashlib.md5(b"%d " % lo + s[around - lo:around + ANCHOR + reach - hi]).digest()
+            part = s[a:b + width - 1]
+            yield int.from_bytes(key[:8], "little", signed=True), hashlib.md5(part).digest(), part, u, p + a
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for anchor, s, u, p in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "uid", "place")), strict=True):
-                n = len(s) - width + 1
-                held = np.flatnonzero(gram_hashes(np.frombuffer(s, np.uint8)) == np.uint64(anchor & (1 << 64) - 1))
-                at = held[np.searchsorted(held, np.arange(n))]
-                low = (at - np.arange(n)) // SLACK * SLACK
-                first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (low[1:] != low[:-1])))
-                for a, b in zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True):
-                    lo, around = int(low[a]), int(at[a])
-                    hi = min(lo + SLACK - 1, reach)
-                    key = hashlib.md5(b"%d " % lo + s[around - lo:around + ANCHOR + reach - hi]).digest()
-                    part = s[a:b + width - 1]
-                    out.append((int.from_bytes(key[:8], "little", signed=True), hashlib.md5(part).digest(), part, u, p + a))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["anchor", "sid", "segment", "uid", "place"])
+            every = chain.from_iterable(parts(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "uid", "place")), strict=True))
+            # a segment that repeats a short period has very many parts
+            while some := list(islice(every, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*some, strict=True), kinds, strict=True)], names=[name for name, _ in kinds])
 
     return run
 
