@@ -74,18 +74,23 @@ def containment_pairs(tokens: DataFrame, stop: tuple[str, ...], least: float = 0
     share of uses that the larger one has.
     """
     # read four times below
-    words = Tables(tokens.sparkSession, "containment").write(word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses"))
+    tables = Tables(tokens.sparkSession, "containment")
+    words = tables.write(word_counts(tokens.where(~F.col("word").isin(*stop) & (F.length("word") >= 3)), "artist", "song_id").select("artist", "song_id", "word", "uses"))
     sizes = words.groupBy("artist", "song_id").agg(F.sum("uses").alias("n")).where(F.col("n") >= size)
     df = words.groupBy("artist", "word").agg(F.count(F.lit(1)).alias("df"))
     keyed = words.join(sizes, ["artist", "song_id"]).join(df, ["artist", "word"])
-    leading = keyed.withColumn("r", F.row_number().over(W.partitionBy("artist", "song_id").orderBy(F.desc("uses"), "df", "word"))).where((F.col("r") <= top) & F.col("df").between(2, posting))
-    index = leading.select("artist", "word", "song_id", "n")
+    leading = tables.write(keyed.withColumn("r", F.row_number().over(W.partitionBy("artist", "song_id").orderBy(F.desc("uses"), "df", "word"))).where(F.col("r") <= top))
+    index = leading.where(F.col("df").between(2, posting)).select("artist", "word", "song_id", "n")
     other = index.select("artist", "word", F.col("song_id").alias("song_b"), F.col("n").alias("n_b"))
     pairs = index.join(other, ["artist", "word"]).where((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("song_id") < F.col("song_b"))))
     pairs = pairs.select("artist", F.col("song_id").alias("part"), F.col("song_b").alias("whole"), "n").distinct()
     a = words.select(F.col("song_id").alias("part"), "word", F.col("uses").alias("u"))
     b = words.select(F.col("song_id").alias("whole"), "word", F.col("uses").alias("v"))
-    got = pairs.join(a, "part").join(b, ["whole", "word"]).groupBy("artist", "part", "whole", "n").agg(F.sum(F.least("u", "v")).alias("s"))
+    # what the whole lacks of the part's leading words alone rules most pairs out, before all words are compared
+    heads = leading.select(F.col("song_id").alias("part"), "word", F.col("uses").alias("u"))
+    lost = pairs.join(heads, "part").join(b, ["whole", "word"], "left").groupBy("artist", "part", "whole", "n").agg(F.sum(F.col("u") - F.coalesce(F.least("u", "v"), F.lit(0))).alias("lost"))
+    near = lost.where(F.col("lost") <= F.col("n") * (1 - least + 0.0001)).drop("lost")
+    got = near.join(a, "part").join(b, ["whole", "word"]).groupBy("artist", "part", "whole", "n").agg(F.sum(F.least("u", "v")).alias("s"))
     return got.withColumn("shared", F.bround(F.col("s") / F.col("n"), 4)).where(F.col("shared") >= least).select("artist", "part", "whole", "shared")
 
 

@@ -16,7 +16,7 @@ SF = os.environ.get("STROPHE_SF", "/root/testdata/sf0.001")
 def spark():
     from strophe.session import local_session
 
-    s = local_session(4, 4)
+    s = local_session(os.environ.get("TEST_CPUS", "8"), 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
