@@ -220,7 +220,10 @@ def motif_quotes(lines: DataFrame, motifs: DataFrame) -> DataFrame:
         F.when(n.between(6, 12), 20).otherwise(0) + F.when((F.upper(first) == first) & (F.lower(first) != first), 10).otherwise(0)
         - F.when((F.upper(line) == line) & (F.lower(line) != line), 20).otherwise(0) - F.when(few, 50).otherwise(0)
     )
-    hits = lines.select("artist", "song_id", "line_no", "line", score.cast("long").alias("score"), F.explode(F.array_distinct(token_array(line))).alias("word")).join(motifs.select("artist", "word"), ["artist", "word"])
+    # lines meet an artist's words all at once, and only the words they have make rows
+    wanted = motifs.where("word is not null").groupBy("artist").agg(F.collect_set("word").alias("wanted"))
+    met = lines.select("artist", "song_id", "line_no", "line").join(wanted, "artist").select("artist", "song_id", "line_no", "line", F.array_intersect(token_array(line), "wanted").alias("found"))
+    hits = met.where(F.size("found") > 0).select("artist", "song_id", "line_no", "line", score.cast("long").alias("score"), F.explode("found").alias("word"))
     best = hits.groupBy("artist", "word").agg(F.max(F.struct("score", (-F.col("song_id")).alias("o"), (-F.col("line_no")).alias("p"), "line")).alias("b"))
     return best.select("artist", "word", (-F.col("b.o")).alias("song_id"), F.col("b.line").alias("line"), F.col("b.score").alias("score"))
 

@@ -12,6 +12,7 @@ from strophe.plans.artist_queries import COUNTED, LONG_LINES, orders_as_catalogu
 from strophe.plans.artist_queries import ORACLES as ARTIST_SQL
 from strophe.plans.song_queries import ORACLES as SONG_SQL
 from strophe.plans.sqltext import LINE_PARTS, SONGS, TOKEN, TOKENS, holds_sql, q, words_sql
+from strophe.sources.scratch import Tables
 from strophe.sources.tables import songs, table
 
 METRICS = ["word_count", "unique_words", "ttr", "hapax_ratio", "avg_word_length", "line_count", "avg_words_per_line", "repetition_ratio"]
@@ -92,10 +93,15 @@ def turn_songs(spark, sf):
 
 
 def motif_quotes(spark, sf):
-    own = corpus.exclusive_words(artist_words(spark, sf), ALL_STOPWORDS, 30).select("artist", "rank", "word")
-    top = artist.artist_top_words(token_table(songs(spark, sf)), 30).select("artist", "rank", "word")
+    # the words are read four times and the motifs are few, which a written table tells the planner
+    tables = Tables(spark, "motifs")
+    words = tables.write(artist_words(spark, sf))
+    own = tables.write(corpus.exclusive_words(words, ALL_STOPWORDS, 30).select("artist", "rank", "word"))
+    top = tables.write(artist.most_used(words.select("artist", "word", "uses"), 30).select("artist", "rank", "word"))
     people = own.select("artist").union(top.select("artist")).distinct().withColumn("display", F.col("artist"))
-    return corpus.motif_quotes(line_table(songs(spark, sf)), corpus.motif_word(own, top, people, ("ooh", "ah", "oh", "uh", "la", "da", "na")))
+    motifs = tables.write(corpus.motif_word(own, top, people, ("ooh", "ah", "oh", "uh", "la", "da", "na")))
+    tables.drop(words, own, top)
+    return corpus.motif_quotes(line_table(songs(spark, sf)), motifs)
 
 
 def curated_motifs(spark, sf):
